@@ -52,6 +52,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))
 
 
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm.reply_trees import format_conversations, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    out = format_conversations(rows.union(extra))
+    return out.select("conv", "formatted", "loss").mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op9_partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm.partition_search import partition_search
+
+    return partition_search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
