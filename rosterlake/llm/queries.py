@@ -22,6 +22,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc(column: str, divisor: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def op2_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm import lang_crf
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(_crc("doc_id", 4) == 2, F.lit(False))
+    tagger = lang_crf.fit(docs, ~held)
+    out = lang_crf.identify(docs.select("doc_id", held.alias("held_out"), "text"), tagger)
+    return out.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rosterlake.llm.phrase_dedup import phrase_dedup
 
@@ -37,6 +51,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def op5_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm.piece_dropout import decode, encode
+
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = decode(rows)
+    same = F.col("_decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.size("_pieces").cast("long").alias("n_pieces"), F.col("_pieces").alias("pieces"), same.alias("lossless"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rosterlake.llm.quality_rules import quality_rules
 
@@ -68,6 +91,17 @@ def op9_partition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition_search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm import quality_knn
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    held = F.coalesce(_crc("doc_id", 3) == 1, F.lit(False))
+    voter = quality_knn.fit(docs, labels, ~held)
+    out = quality_knn.score_quality(docs.select("doc_id", held.alias("held_out"), "text"), voter)
+    return out.select("doc_id", "held_out", F.col("_quality").alias("score"), F.when(F.col("_quality") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
