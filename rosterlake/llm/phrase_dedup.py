@@ -157,10 +157,18 @@ def _finish(window: int):
 
 
 def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: int = 4000) -> DataFrame:
-    """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at words s to s + n - 1 go."""
+    """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at words s to s + n - 1 go. _th counts with
+    its lowest 23 bits: it only tells rows of one id apart."""
+    if not 1 <= gram <= window <= gram + 30:
+        raise ValueError("a window has 1 to 31 grams")
     seg = materialise(docs.select("_id", "_th", "text").mapInArrow(_segments(window, gram), "_id long, _th long, s int, n smallint, p smallint, a long, seg long"), "phrases")
     again = materialise(seg.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a"), "recurring")
-    found = materialise(seg.join(again, "a", "left_semi"), "candidates")
+    # the widest shuffle: a segment is four words, its place and the row's hash being packed into one
+    packed = F.shiftleft("_th", 41).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 10)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 5)).bitwiseOR(F.col("p").cast("long"))
+    found = seg.select("a", "seg", "_id", packed.alias("x")).join(again, "a", "left_semi")
+    bits = lambda at, width: F.shiftrightunsigned("x", at).bitwiseAND(F.lit((1 << width) - 1))
+    found = found.select("a", "seg", "_id", bits(41, 23).alias("_th"), bits(10, 31).cast("int").alias("s"), bits(5, 5).cast("smallint").alias("n"), bits(0, 5).cast("smallint").alias("p"))
+    found = materialise(found, "candidates")
     classes = materialise(found.groupBy("a", "seg").agg(F.min(F.struct("_id", "_th", "s", "n", "p")).alias("r")), "classes")
     many = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
     need = classes.join(many, "a").select("r._id", "r._th", F.struct("r.s", "r.n", "r.p", "a", "seg", "k", F.col("r._id").alias("lo")).alias("g"))
@@ -185,6 +193,7 @@ def phrase_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     if text_col != "text":
         src = src.withColumn("_own", F.col("text")) if "text" in names else src
         src = src.withColumn("text", F.col(text_col))
+    src = src.withColumn("_th", F.col("_th").bitwiseAND(F.lit((1 << 23) - 1)))
     runs = materialise(repeated_passages(src, window, gram, shard), "passages")
     per = runs.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
     full = src.join(per, ["_id", "_th"], "left")
