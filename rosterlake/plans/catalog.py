@@ -18,9 +18,15 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    from rosterlake.plans import lifecycle, reading  # noqa: F401  modules register as they load
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)

@@ -1 +1,34 @@
+"""Structured Streaming: upserts by micro-batch, windows, sessions, de-duplication with a time limit."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rosterlake.store import Store
+
+
+def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def upsert_stream(rows: DataFrame, store: Store, checkpoint: str, seconds: int | None = None):
+    """Each micro-batch folds onto the store. A batch met twice after a failure folds to the same rows, as merging is
+    idempotent for equal sequences. seconds sets the trigger; None takes what there is and stops."""
+    write = rows.writeStream.foreachBatch(lambda df, _: store.upsert(df)).option("checkpointLocation", checkpoint)
+    return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()
+
+
+def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    w = F.window("ts", width)
+    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    s = F.session_window("ts", gap)
+    return events.withWatermark("ts", late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
+
+
+def fresh_only(fetches: DataFrame, ttl: str = "7 days") -> DataFrame:
+    """The first response of each URL within the time to live."""
+    return fetches.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["url"])
