@@ -191,7 +191,7 @@ def socials(links: DataFrame) -> DataFrame:
     """First link of each platform on a page, without its query."""
     low = F.lower("url")
     named = F.array(*[F.when(F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: F.contains(low, h)), F.lit(p)) for p, hosts in V.SOCIAL_HOSTS.items()])
-    each = links.select("page_id", "pos", F.substring_index("url", "?", 1).alias("url"), F.explode(F.array_compact(named)).alias("platform"))
+    each = links.select("page_id", "pos", F.substring_index("url", "?", 1).alias("bare"), F.explode(F.array_compact(named)).alias("platform")).withColumnRenamed("bare", "url")
     return each.groupBy("page_id", "platform").agg(F.min_by("url", "pos").alias("url"))
 
 

@@ -19,7 +19,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from rosterlake.plans import lifecycle, reading  # noqa: F401  modules register as they load
+    from rosterlake.plans import lifecycle, reading, texts  # noqa: F401  modules register as they load
 
 
 def queries() -> dict:

@@ -166,7 +166,7 @@ def filter_companies(spark, sf_dir):
 
 @register("filter_people", cte("people") + " SELECT key FROM people WHERE NOT departed AND (email IS NOT NULL OR email2 IS NOT NULL) AND is_coach AND phone IS NOT NULL")
 def filter_people(spark, sf_dir):
-    return Q.filter_people(_people(spark, sf_dir), has_phone=True, coaches_only=True, direct_email=True).select("key")
+    return Q.filter_people(_people(spark, sf_dir).withColumn("shared_email", F.lit(False)), has_phone=True, coaches_only=True, direct_email=True).select("key")
 
 
 @register("departed_only", cte("people") + " SELECT key FROM people WHERE departed")
