@@ -16,3 +16,28 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def null_last(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(LAST))
+
+
+class Shield:
+    """A frame whose columns have been numbered, so that no name of the caller's, repeated ones included, meets a name of
+    the operator's. The text column is `text`, and is not carried twice."""
+
+    def __init__(self, df: DataFrame, text_col: str = "text", id_col: str | None = None):
+        self.names = df.columns
+        place = lambda name: next(i for i, c in enumerate(self.names) if c == name)
+        self.own = [f"c{i}_" for i in range(len(self.names))]
+        self.own[place(text_col)] = "text"
+        self.df = df.toDF(*self.own)
+        self.id = self.own[place(id_col)] if id_col else None
+        self.of = lambda name: self.own[place(name)]
+
+    def keyed(self) -> DataFrame:
+        return keyed(self.df, self.id, "text")
+
+    def restore(self, out: DataFrame, *added: str) -> DataFrame:
+        """The caller's columns under their names, then those added; an added name replaces one of the caller's."""
+        return out.select(*[F.col(c).alias(n) for c, n in zip(self.own, self.names) if n not in added], *added)
+
+
+def schema_of(df: DataFrame, *but: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in but)

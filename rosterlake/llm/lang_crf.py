@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
+from rosterlake.llm.keys import Shield, schema_of
 
 U = np.uint64
 TABLE = 1 << 15
@@ -245,12 +246,14 @@ def fit(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col:
 
 def identify(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
     """docs with _lang and _lang_score instead of the text."""
-    names = [c for c in docs.columns if c not in (text_col, "_lang", "_lang_score")]
+    shield = Shield(docs, text_col)
+    names = [c for c in shield.own if c != "text"]
 
     def run(batches):
-        for rows, buf, off in B.slices(batches, text_col):
+        for rows, buf, off in B.slices(batches, "text"):
             langs, score = tagger.label(buf, off)
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(langs, pa.string()), pa.array(score)], names=[*names, "_lang", "_lang_score"])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names]
-    return docs.select(*names, text_col).mapInArrow(run, ", ".join([*schema, "_lang string", "_lang_score double"]))
+    schema = [x for x in (schema_of(shield.df, "text"), "_lang string, _lang_score double") if x]
+    out = shield.df.mapInArrow(run, ", ".join(schema))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(shield.own, shield.names) if c != "text" and n not in ("_lang", "_lang_score")], "_lang", "_lang_score")

@@ -24,6 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.llm.keys import Shield
 from rosterlake.llm.quality_rules import word_count
 from rosterlake.tables import materialise
 
@@ -66,9 +67,10 @@ def exponent(totals: DataFrame, target_entropy: float | None = None, max_repeats
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | str = "cover", seed: int = 17, block: int = BLOCK) -> DataFrame:
     """docs as the mixture reads them: a row for each reading, with the columns named above."""
-    names = [c for c in docs.columns if c not in ("_tokens", "_epoch", "_block", "_place")]
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(*names, word_count(F.col(text_col)).alias("_tokens"), key.alias("_key"))
+    shield = Shield(docs, text_col, id_col)
+    names, source_col = shield.own, shield.of(source_col)
+    key = F.xxhash64(F.lit(seed), F.col(shield.id).cast("string"), F.coalesce("text", F.lit("")))
+    rows = shield.df.select(*names, word_count(F.col("text")).alias("_tokens"), key.alias("_key"))
     plan_rows = materialise(rows.select(F.col(source_col).alias("_s"), "_tokens", "_key"), "tokens")
     totals = materialise(plan_rows.groupBy("_s").agg(F.sum("_tokens").alias("t"), F.count("*").alias("n")), "sources")
     a = exponent(totals.where("t > 0"), target_entropy, max_repeats, budget)
@@ -76,9 +78,9 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     z = share["z"] or 1.0
     # tokens of a source = budget * t**a / z; covering all needs budget >= z * t**(1 - a) for each
     wanted = (share["cover"] or 0.0) * z if budget == "cover" else float(budget)
-    # the smallest share of a token is forgiven, so that a source meant to be read once is read whole
     target = F.lit(wanted) * F.pow("t", F.lit(a)) / F.lit(z)
     source = totals.select("_s", F.ceil(F.col("n") / block).cast("long").alias("blocks"), "t", F.when(F.col("t") > 0, target).otherwise(F.lit(0.0)).alias("target"))
+    # the smallest share of a token is forgiven, so that a source meant to be read once is read whole
     passes = F.when(F.col("t") > 0, F.floor(F.col("target") / F.col("t") + 1e-9)).otherwise(F.lit(1)).cast("long")
     source = source.withColumn("passes", passes).withColumn("left", F.greatest(F.lit(0).cast("long"), F.floor(F.col("target") - F.col("passes") * F.col("t") + 1e-6).cast("long")))
     source = materialise(source.select("_s", "blocks", "passes", "left"), "plan")
@@ -108,4 +110,5 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     partly = dealt.join(cut.select("_of", "_b", "room"), on).withColumn("_run", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("_run <= room").select(*names, "_tokens", "_key", "_block", F.col("passes").alias("_epoch"))
     out = full.unionByName(wholly).unionByName(partly)
     place = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block"), F.col("_key"))
-    return out.select(*names, "_tokens", F.col("_epoch").cast("int").alias("_epoch"), "_block", place.alias("_place"))
+    out = out.select(*names, "_tokens", F.col("_epoch").cast("int").alias("_epoch"), "_block", place.alias("_place"))
+    return shield.restore(out, "_tokens", "_epoch", "_block", "_place")

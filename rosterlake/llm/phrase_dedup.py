@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import keyed
+from rosterlake.llm.keys import Shield, schema_of
 from rosterlake.tables import materialise
 
 DEAL = 2000
@@ -187,18 +187,10 @@ def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: i
 def phrase_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 13, gram: int = 4, shard: int = 4000) -> DataFrame:
     """docs with _words (count), _spans (array of struct<start,end> in words) and _kept (the words left, joined by one
     space)."""
-    docs = docs.drop("_words", "_spans", "_kept", "_id", "_th", "segs")
-    names = docs.columns
-    src = keyed(docs, id_col, text_col)
-    if text_col != "text":
-        src = src.withColumn("_own", F.col("text")) if "text" in names else src
-        src = src.withColumn("text", F.col(text_col))
-    src = src.withColumn("_th", F.col("_th").bitwiseAND(F.lit((1 << 23) - 1)))
+    shield = Shield(docs, text_col, id_col)
+    src = shield.keyed().withColumn("_th", F.col("_th").bitwiseAND(F.lit((1 << 23) - 1)))
     runs = materialise(repeated_passages(src, window, gram, shard), "passages")
     per = runs.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
     full = src.join(per, ["_id", "_th"], "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema.fields if f.name not in ("segs", "_id", "_th"))
-    out = full.mapInArrow(_finish(window), schema + ", _words bigint, _spans array<struct<start:bigint,end:bigint>>, _kept string")
-    if text_col != "text":
-        out = out.drop("text").withColumnRenamed("_own", "text") if "_own" in out.columns else out.drop("text")
-    return out.select(*names, "_words", "_spans", "_kept")
+    out = full.mapInArrow(_finish(window), schema_of(full, "segs", "_id", "_th") + ", _words bigint, _spans array<struct<start:bigint,end:bigint>>, _kept string")
+    return shield.restore(out, "_words", "_spans", "_kept")

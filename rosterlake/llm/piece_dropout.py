@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
+from rosterlake.llm.keys import Shield, schema_of
 
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = np.int32(2**31 - 1)
 SHORT = 48
+#: Bytes of text that are encoded at once: what a worker holds beside its batches.
+SLICE = 512 << 10
 
 
 @dataclass
@@ -244,34 +247,35 @@ def decode_slice(m: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 29, variants: int = 8, model: str = MODEL) -> DataFrame:
     """docs with _pieces (array<int>). A row's variant is a keyed hash of its id, of `variants` many."""
     m = load(model)
-    names = [c for c in docs.columns if c not in ("_pieces", "_variant")]
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(variants)).alias("_variant")
+    shield = Shield(docs, text_col, id_col)
+    names = shield.own
+    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(shield.id).cast("string")), F.lit(variants)).alias("_variant")
 
     def run(batches):
-        for rows, buf, off in B.slices(batches, text_col):
+        for rows, buf, off in B.slices(batches, "text", SLICE):
             v = rows.column("_variant").to_numpy(zero_copy_only=False)
             ids, at = encode_slice(m, buf, off, v, dropout, seed)
             pieces = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pieces], names=[*names, "_pieces"])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names]
-    return docs.select(*names, variant).mapInArrow(run, ", ".join([*schema, "_pieces array<int>"]))
+    return shield.restore(shield.df.select(*names, variant).mapInArrow(run, schema_of(shield.df) + ", _pieces array<int>"), "_pieces")
 
 
 def decode(rows: DataFrame, pieces_col: str = "_pieces", out_col: str = "_decoded", model: str = MODEL) -> DataFrame:
     """rows with the text of their pieces; null pieces give an empty text."""
     m = load(model)
-    names = [c for c in rows.columns if c != out_col]
+    shield = Shield(rows, pieces_col)
+    names = shield.own
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                lists = part.column(part.schema.get_field_index(pieces_col))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                lists = part.column(part.schema.get_field_index("text"))
                 size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 data, off = decode_slice(m, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(size)))
                 text = pa.StringArray.from_buffers(len(size), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], text], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], text], names=[*names, "_out"])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names]
-    return rows.mapInArrow(run, ", ".join([*schema, f"`{out_col}` string"]))
+    out = shield.df.mapInArrow(run, schema_of(shield.df) + ", _out string")
+    return out.select(*[F.col(c).alias(n) for c, n in zip(shield.own, shield.names) if n != out_col], F.col("_out").alias(out_col))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
+from rosterlake.llm.keys import Shield, schema_of
 
 GRAMS, FORMS = 1024, 64
 TERMS = GRAMS + FORMS
@@ -157,11 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column, text_col: str =
 
 def score_quality(docs: DataFrame, voter: Voter, text_col: str = "text") -> DataFrame:
     """docs with _quality instead of the text."""
-    names = [c for c in docs.columns if c not in (text_col, "_quality")]
+    shield = Shield(docs, text_col)
+    names = [c for c in shield.own if c != "text"]
 
     def run(batches):
-        for rows, buf, off in B.slices(batches, text_col):
+        for rows, buf, off in B.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(voter.scores(buf, off))], names=[*names, "_quality"])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names]
-    return docs.select(*names, text_col).mapInArrow(run, ", ".join([*schema, "_quality double"]))
+    schema = [x for x in (schema_of(shield.df, "text"), "_quality double") if x]
+    out = shield.df.mapInArrow(run, ", ".join(schema))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(shield.own, shield.names) if c != "text" and n != "_quality"], "_quality")

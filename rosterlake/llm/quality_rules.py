@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.llm.keys import Shield
 from rosterlake.tables import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -119,7 +120,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.75) -> DataFrame:
     """docs without the rows that the rules or their host's verdict reject; texts aren't shuffled."""
-    names = docs.columns
-    marked = materialise(with_base(row_metrics(docs, text_col)).select(*names, "_base_failed"), "marked")
-    hosts = materialise(host_verdicts(marked, host_col, host_limit), "hosts")
-    return join_verdicts(marked, hosts, host_col).where("_kept").select(*names)
+    shield = Shield(docs, text_col)
+    host = shield.of(host_col)
+    marked = materialise(with_base(row_metrics(shield.df)).select(*shield.own, "_base_failed"), "marked")
+    hosts = materialise(host_verdicts(marked, host, host_limit), "hosts")
+    return shield.restore(join_verdicts(marked, hosts, host).where("_kept"))

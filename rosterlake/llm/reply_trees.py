@@ -67,21 +67,25 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def reply_paths(nodes: DataFrame, keep: int = 1, max_rounds: int = 40) -> DataFrame:
+def reply_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """nodes(node, parent, score; node unique) -> (root, leaf, node, pos from 0, branch_score, branch_rank <= keep)."""
     base = nodes.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = base.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     base = materialise(base.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"), "nodes")
     up = [base.where("parent is not null").select("node", F.col("parent").alias("anc"))]
+    size = base.count()
+    rootless = None
     while up[-1].limit(1).count():
-        if len(up) > max_rounds:
+        if 1 << (len(up) - 1) >= size:
+            rootless = up[-1].select("node").distinct()  # an ancestor as far up as there are nodes: below a cycle
             break
         far = up[-1]
         step = far.alias("a").join(far.alias("b"), F.col("a.anc") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.anc").alias("anc"))
-        cyclic = len(up) > max_rounds - 1
-        up.append(materialise(step.limit(0) if cyclic else step, "up"))
+        up.append(materialise(step, "up"))
     up.pop()
     leaves = base.select("node").join(base.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
+    if rootless is not None:
+        leaves = leaves.join(rootless, "node", "left_anti")
     reach = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
     for k in reversed(range(len(up))):
         more = reach.join(up[k], "node").select("leaf", F.col("anc").alias("node"), (F.col("dist") + F.lit(1 << k)).alias("dist"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
 from rosterlake.llm.graph import connected_components
-from rosterlake.llm.keys import LAST, keyed
+from rosterlake.llm.keys import LAST, Shield
 from rosterlake.tables import materialise
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -277,7 +277,7 @@ def near_links(distinct: DataFrame, distance: int = 2, hot: int = 20_000) -> Dat
 def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
     """One row per row of docs: the id, _id and _th (its row key), _fp (long, the fingerprint's bits), _root (the
     component's least fingerprint), _component (the least id reachable, itself included; null if all ids there are null)."""
-    src = keyed(docs.drop("_id", "_th"), id_col, text_col).select("_id", "_th", F.col(text_col).alias("text"))
+    src = Shield(docs.select(id_col, text_col), text_col, id_col).keyed().select("_id", "_th", "text")
     marked = materialise(src.mapInArrow(_fingerprint(shingle, seed), "_id long, _th long, fp long"), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("_id").alias("lo")), "distinct")
     links = near_links(distinct, distance)
@@ -294,4 +294,5 @@ def simhash_keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """docs with one row left of each component: the one of the least id (of equal ids, the least text hash)."""
     marked = simhash_components(docs, text_col, id_col, **params)
     stay = marked.groupBy("_root").agg(F.min(F.struct("_id", "_th")).alias("r")).select("r._id", "r._th")
-    return keyed(docs, id_col, text_col).join(stay, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    shield = Shield(docs, text_col, id_col)
+    return shield.restore(shield.keyed().join(stay, ["_id", "_th"]).dropDuplicates(["_id", "_th"]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import keyed
+from rosterlake.llm.keys import Shield, schema_of
 from rosterlake.tables import materialise
 
 #: Classes of one gram in a bucket, about; beyond it the gram is dealt by window offset.
@@ -154,25 +154,29 @@ def _bucket(min_bytes: int, gram: int, hold: int = 3 << 20):
     return run
 
 
-def _finish(min_bytes: int, schema: pa.Schema | None = None):
+def _finish(min_bytes: int, with_text: bool):
     def run(batches):
         for rows, buf, off in B.slices(batches, "text"):
-            spans, kept = [], []
+            spans, kept, text = [], [], []
             for i, segs in enumerate(rows.column("segs")):
                 b, e = int(off[i]), int(off[i + 1])
                 if not segs.is_valid or len(segs.values) == 0:
                     spans.append([])
                     kept.append(buf[b:e].tobytes())
+                    text.append(kept[-1].decode() if with_text else "")
                     continue
                 s = np.asarray(segs.values.field("s"), np.int64)
                 lo, hi = B.union(s, s + np.asarray(segs.values.field("n"), np.int64) - 1 + min_bytes)
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi)])
                 edge = [0, *(int(v) for pair in zip(lo, hi) for v in pair), e - b]
-                kept.append(b"".join(buf[b + x : b + y].tobytes() for x, y in zip(edge[::2], edge[1::2])))
+                parts = [buf[b + x : b + y].tobytes() for x, y in zip(edge[::2], edge[1::2])]
+                kept.append(b"".join(parts))
+                # bytes left of a character that a cut splits are no text
+                text.append("".join(x.decode("utf-8", "ignore") for x in parts) if with_text else "")
             names = [x for x in rows.schema.names if x not in ("segs", "_id", "_th")]
             arrays = [rows.column(x) for x in names]
-            arrays += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_spans", "_kept"])
+            arrays += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), *([pa.array(text, pa.string())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_spans", "_kept", *(["_kept_text"] if with_text else [])])
 
     return run
 
@@ -195,21 +199,15 @@ def repeated_windows(docs: DataFrame, min_bytes: int = 400, gram: int = 208) ->
     return copies.union(sorted_.mapInArrow(_bucket(min_bytes, gram), "_id long, _th long, s int, n int"))
 
 
-def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_bytes: int = 400, gram: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_bytes: int = 400, gram: int | None = None, with_text: bool = False) -> DataFrame:
     """docs with _spans (array of struct<start,end>, the removed byte runs, maximal, in order) and _kept (binary,
-    the other bytes of the UTF-8 text). min_bytes is 16 or more; gram, less than it, only sets the sampling."""
-    docs = docs.drop("_spans", "_kept", "_id", "_th", "segs")
+    the other bytes of the UTF-8 text); with_text adds _kept_text, whole characters only. min_bytes is 16 or more; gram,
+    less than it, only sets the sampling."""
     gram = gram or (min_bytes * 13) // 25
-    names = [c for c in docs.columns]
-    src = keyed(docs, id_col, text_col)
-    if text_col != "text":
-        src = src.drop("text").withColumn("text", F.col(text_col)) if "text" not in names else src.withColumn("_own", F.col("text")).withColumn("text", F.col(text_col))
+    shield = Shield(docs, text_col, id_col)
+    src = shield.keyed()
     runs = materialise(repeated_windows(src, min_bytes, gram), "windows")
     per = runs.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
     full = src.join(per, ["_id", "_th"], "left")
-    keep = [F.col(c) for c in full.columns]
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema.fields if f.name not in ("segs", "_id", "_th"))
-    out = full.select(*keep).mapInArrow(_finish(min_bytes), out_schema + ", _spans array<struct<start:bigint,end:bigint>>, _kept binary")
-    if text_col != "text":
-        out = out.drop("text").withColumnRenamed("_own", "text") if "_own" in out.columns else out.drop("text")
-    return out.select(*names, "_spans", "_kept")
+    out = full.mapInArrow(_finish(min_bytes, with_text), schema_of(full, "segs", "_id", "_th") + ", _spans array<struct<start:bigint,end:bigint>>, _kept binary" + ", _kept_text string" * with_text)
+    return shield.restore(out, "_spans", "_kept", *(["_kept_text"] if with_text else []))
