@@ -7,18 +7,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests, a laptop)."""
+    """This application's folder in the one all executors share, gone when the driver's JVM ends. A root of our own only
+    where the session names none (tests, a laptop)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="rosterlake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    path = f"{root.rstrip('/')}/rosterlake-{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(jvm_path)
+        fs.deleteOnExit(jvm_path)
+        _MADE.add(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str = "part") -> DataFrame:
