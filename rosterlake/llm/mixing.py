@@ -91,24 +91,29 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
         side = source.withColumnRenamed("_s", "_of")
         return df.join(F.broadcast(side) if few else side, F.col(on).eqNullSafe(F.col("_of"))).drop("_of")
 
-    sums = with_source(plan_rows, "_s").withColumn("_block", F.pmod("_key", "blocks")).groupBy("_s", "_block").agg(F.sum("_tokens").alias("t"), F.first("passes").alias("passes"), F.first("left").alias("left"))
+    dealt = with_source(plan_rows, "_s").withColumn("_block", F.pmod("_key", "blocks"))
+    sums = dealt.groupBy("_s", "_block").agg(F.sum("_tokens").alias("t"), F.first("passes").alias("passes"), F.first("left").alias("left"))
     order = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), F.col("passes"), F.col("_block")), "_block")
     before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sums.withColumn("before", before).withColumn("room", F.greatest(F.lit(0).cast("long"), F.least("t", F.col("left") - F.col("before"))))
-    placed = materialise(placed.select(F.col("_s").alias("_of"), F.col("_block").alias("_b"), "t", "room"), "blocks")
-
-    dealt = with_source(rows, source_col).withColumn("_block", F.pmod("_key", "blocks"))
-    full = dealt.where("passes > 0").select(
-        *names, "_tokens", "_key", "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("_epoch")
-    )
-    take = placed.where("room > 0 and room = t")
-    on = F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b"))
-    wholly = dealt.join(take.select("_of", "_b"), on).select(*names, "_tokens", "_key", "_block", F.col("passes").alias("_epoch"))
-    # one block a source at most is cut: its documents, in permuted order, while they fit
-    cut = placed.where("room > 0 and room < t")
-    inside = Window.partitionBy("_of", "_b").orderBy(F.xxhash64(F.col("passes"), F.col("_key")), "_key")
-    partly = dealt.join(cut.select("_of", "_b", "room"), on).withColumn("_run", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("_run <= room").select(*names, "_tokens", "_key", "_block", F.col("passes").alias("_epoch"))
-    out = full.unionByName(wholly).unionByName(partly)
+    room = F.greatest(F.lit(0).cast("long"), F.least("t", F.col("left") - before))
+    placed = materialise(sums.select("_s", "_block", "passes", "t", room.alias("room")), "blocks")
+    # one block a source at most is cut: its documents, in permuted order, up to the last that fits
+    turn = F.xxhash64(F.col("passes"), F.col("_key"))
+    cut = placed.where("room > 0 and room < t").select(F.col("_s").alias("_of"), F.col("_block").alias("_b"), "room")
+    inside = Window.partitionBy("_of", "_b").orderBy("turn", "_key")
+    fits = dealt.join(cut, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b"))).select("_of", "_b", "room", "_key", "_tokens", turn.alias("turn"))
+    fits = fits.withColumn("_run", F.sum("_tokens").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("_run <= room")
+    edge = fits.groupBy("_of", "_b").agg(F.max(F.struct("turn", "_key")).alias("edge"))
+    plan = placed.join(edge, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b")), "left")
+    plan = materialise(plan.select(F.col("_s").alias("_of"), F.col("_block").alias("_b"), "passes", F.when((F.col("room") > 0) & (F.col("room") == F.col("t")), 1).otherwise(0).alias("whole"), "edge"), "reading")
+    few_blocks = plan.limit(100_001).count() <= 100_000
+
+    home = source.select(F.col("_s").alias("_of0"), "blocks")
+    out = rows.join(F.broadcast(home) if few else home, F.col(source_col).eqNullSafe(F.col("_of0"))).withColumn("_block", F.pmod("_key", "blocks"))
+    out = out.join(F.broadcast(plan) if few_blocks else plan, F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b")))
+    partly = F.coalesce(F.struct(turn.alias("turn"), F.col("_key")) <= F.col("edge"), F.lit(False)).cast("int")
+    readings = F.col("passes") + F.col("whole") + partly
+    out = out.withColumn("_n", readings).where("_n > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     place = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block"), F.col("_key"))
     out = out.select(*names, "_tokens", F.col("_epoch").cast("int").alias("_epoch"), "_block", place.alias("_place"))
     return shield.restore(out, "_tokens", "_epoch", "_block", "_place")
