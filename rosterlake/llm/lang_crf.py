@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import Shield, schema_of
+from rosterlake.llm.keys import Shield, bounded_sample, schema_of
 
 U = np.uint64
 TABLE = 1 << 15
@@ -239,8 +239,10 @@ def train(texts: list[str], labels: list[str], chain: int = 64, rounds: int = 30
 
 def fit(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1200) -> Tagger:
     """Trains on at most `sample` rows with text and language where train_where holds, those of the least hash."""
-    rows = docs.where(train_where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    got = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")).orderBy("h", "l").limit(sample).collect()
+    rows = docs.where(train_where & F.col(lang_col).isNotNull())
+    n = rows.count()  # reads no text
+    rows = rows.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    got = bounded_sample(rows, ["i", "l"], sample, n).collect()
     return train([r["t"] for r in got], [r["l"] for r in got])
 
 
