@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import Shield, schema_of
+from rosterlake.llm.keys import Shield, bounded_sample, schema_of
 
 GRAMS, FORMS = 1024, 64
 TERMS = GRAMS + FORMS
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column, text_col: str =
     idf = np.log((1 + total) / (1 + df)) + 0.1
     # labels that contradict each other for one id leave it out
     chosen = labels.where(train_where & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
-    chosen = chosen.select("_id", F.col("lo").alias("y")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
+    chosen = chosen.select("_id", F.col("lo").alias("y"))
+    chosen = bounded_sample(chosen, ["_id"], sample, chosen.count())
 
     def counted(batches):
         for rows, buf, off in B.slices(batches, "text"):
