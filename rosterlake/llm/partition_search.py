@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.llm.keys import bounded_sample
 from rosterlake.tables import materialise
 
 
@@ -211,7 +212,7 @@ def partition_search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     n = entry.count()
     if n == 0:
         return empty
-    raw = [r["x"] for r in entry.orderBy(F.xxhash64("x"), "x").select("x").limit(sample).collect()]
+    raw = [r["x"] for r in bounded_sample(entry.select("x"), ["x"], sample, n).collect()]
     x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
     parts = 1
     while parts < 32 and n // (parts * 2) >= 800 and len(x) // (parts * 2) >= 48:
