@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _words(width: int) -> str:
+    """words(doc_id, i, x) and windows(doc_id, i, q): each word and each window of `width` words by place."""
+    ahead = " || ' ' || ".join(["x", *[f"lead(x, {k}) OVER o" for k in range(1, width)]])
+    return rf"""
+    d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+    words AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS x FROM d),
+    windows AS (SELECT * FROM (SELECT doc_id, i, {ahead} AS q FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE q IS NOT NULL)"""
+
+
+OP3 = f"""WITH {_words(13)},
+    first AS (SELECT q, min(doc_id) AS lo FROM windows GROUP BY q),
+    gone AS (SELECT doc_id, i FROM windows JOIN first USING (q) WHERE lo < doc_id),
+    marked AS (SELECT w.doc_id, w.i, x, max(CASE WHEN g.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS cut
+               FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i),
+    per AS (SELECT doc_id, sum(cut)::BIGINT AS n, string_agg(x, ' ' ORDER BY i) FILTER (WHERE cut = 0) AS kept FROM marked GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN per ON d.doc_id = per.doc_id"""
+
+OP6 = rf"""WITH {_words(8)},
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, q) AS n FROM windows) WHERE n > 1),
+    rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM again) GROUP BY doc_id),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+    base AS (SELECT t.doc_id, t.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                    (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+             FROM documents t JOIN d ON t.doc_id = d.doc_id LEFT JOIN lines ON t.doc_id = lines.doc_id LEFT JOIN rep ON t.doc_id = rep.doc_id),
+    failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+    host AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM failed GROUP BY source),
+    moments AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS m2 FROM host),
+    prior AS (SELECT m, CASE WHEN m2 - m * m > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / (m2 - m * m) - 1)) ELSE 1e6 END AS w FROM moments),
+    verdict AS (SELECT source, (f + m * w) / (n + w) <= 0.75 AS ok FROM host, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source"""
+
+OP7 = r"""WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           (7 + sum(16 + length(role) + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))))::BIGINT AS formatted_chars FROM r GROUP BY conv_id"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op3_phrase_dedup": OP3, "op6_quality_rules": OP6, "op7_reply_trees": OP7}
