@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm.keys import bounded_sample
@@ -172,13 +172,15 @@ def _route(router: Router, dim: int, probes: int, query: bool, every: int):
 def _rerank(dim: int, keep: int, hold: int = 1024):
     def run(left, right):
         raw = left.column("x").to_pylist()
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        kind = pa.list_(pa.struct([("neg", pa.float64()), ("vec_id", pa.int64())]))
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "salt": pa.array([], pa.int32()), "top": pa.array([], kind)})
         if not raw or not right.num_rows:
             return empty
         x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
         ids = left.column("ids").to_pylist()
         qid, q = right.column("q").to_numpy(), np.frombuffer(b"".join(right.column("x").to_pylist()), np.float64).reshape(-1, dim)
-        out_q, out_i, out_s = [], [], []
+        salt = int(left.column("part")[0].as_py() * 31 + left.column("b")[0].as_py()) % 16
+        tops = []
         take = min(keep + 1, len(x))
         for i in range(0, len(q), hold):
             s = q[i : i + hold] @ x.T
@@ -188,11 +190,8 @@ def _rerank(dim: int, keep: int, hold: int = 1024):
                 exact = (x[c] * q[i + j]).sum(1)
                 flat = [(-e, v) for e, w in zip(exact.tolist(), c) for v in ids[w] if v != qid[i + j]]
                 flat.sort()
-                for e, v in flat[:keep]:
-                    out_q.append(int(qid[i + j]))
-                    out_i.append(v)
-                    out_s.append(-e)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.float64())})
+                tops.append([{"neg": e, "vec_id": v} for e, v in flat[:keep]])
+        return pa.table({"query_id": pa.array(qid, pa.int64()), "salt": pa.array(np.full(len(q), salt, np.int32)), "top": pa.array(tops, kind)})
 
     return run
 
@@ -230,6 +229,10 @@ def partition_search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     routed = routed.withColumn("w", share)
     shares = max(1, n // (every * 4096))
     dealt = dealt.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    near = dealt.groupBy("part", "b", "w").cogroup(routed.groupBy("part", "b", "w")).applyInArrow(_rerank(dim, keep), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("query_id", "rank", "vec_id", "score")
+    near = dealt.groupBy("part", "b", "w").cogroup(routed.groupBy("part", "b", "w")).applyInArrow(_rerank(dim, keep), "query_id long, salt int, top array<struct<neg:double,vec_id:long>>")
+    # a query's lists meet in two steps, so no list grows with the number of blocks
+    first = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, keep)
+    some = near.groupBy("query_id", "salt").agg(first("top").alias("top"))
+    best = some.groupBy("query_id").agg(first("top").alias("top"))
+    out = best.select("query_id", F.posexplode("top").alias("pos", "t"))
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.neg")).alias("score"))
