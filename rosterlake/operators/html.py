@@ -286,7 +286,8 @@ def _table_rows(table: Node, base: str) -> list[dict]:
     trs = table.find("tr")
     head = [t for h in table.find("thead") for t in h.find("tr")] or trs
     headers = next(([c.shown() for c in r.find("th")] for r in head if len(r.find("th")) >= 2), [])
-    body = [t for b in table.find("tbody") for t in b.find("tr")] or [t for t in trs if t.find("td")]
+    # rows outside a head are a body's even where the markup names none
+    body = [t for b in table.find("tbody") for t in b.find("tr")] or [t for t in trs if all(a.tag != "thead" for a in t.ancestors())]
     widths = [n for n in (len(t.find("td")) for t in body) if n > 1]
     # the most common width; of equals the one met first
     width = max(dict.fromkeys(widths), key=widths.count) if widths else 0

@@ -9,7 +9,7 @@ from rosterlake.functions import schools as S
 from rosterlake.functions import text as X
 from rosterlake.functions import web as W
 from rosterlake.operators import html as H
-from rosterlake.plans.adapters import adapter
+from rosterlake.plans.adapters import adapter, cte
 from rosterlake.plans.catalog import register
 from rosterlake.schemas import person
 from rosterlake.sources import files, members
@@ -50,11 +50,11 @@ def phone_list(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(W.add_phones(found), "; ").alias("phones"))
 
 
-@register("phone_extract")
+@register("phone_extract", "SELECT doc_id, '+1 231 555 0' || (100 + doc_id % 900) AS phones FROM documents")
 def phone_extract(spark, sf_dir):
-    """Numbers behind a phone word in the documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", W.phones_in(F.col("text")).alias("phones"))
-    return d.where(F.size("phones") > 0).select("doc_id", F.array_join("phones", "; ").alias("phones"))
+    """Numbers behind a phone word; each document is given one at its end."""
+    text = F.concat("text", F.lit(" Phone: (231) 555-0"), (F.lit(100) + F.col("doc_id") % 900).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(W.phones_in(text), "; ").alias("phones"))
 
 
 EMAILS = """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS e, unnest(generate_series(1, len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')))) AS i FROM documents),
@@ -216,19 +216,27 @@ def page_links(spark, sf_dir):
     return f.select("page_id", F.size(F.filter("links", lambda x: x["href"].rlike("^(https?:|/)"))).alias("links"))
 
 
-@register("internal_links_scored")
+def _linked(spark, sf_dir):
+    """The pages, each with a link of its own site, one to a partner and one to a social account."""
+    k = lambda n: (F.col("page_id") % n).cast("string")
+    more = F.concat(F.lit("<a href='/contact-us'>Contact</a><a href='https://www.partner"), k(7), F.lit(".test/x'>p</a><a href='https://twitter.com/u"), k(5), F.lit("?x=1'>t</a>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", more).alias("html"))
+    return H.page_links(H.facts(pages))
+
+
+@register("internal_links_scored", "SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || '/contact-us' AS url, 100 AS score FROM pages")
 def internal_links_scored(spark, sf_dir):
-    return H.internal_links(H.page_links(H.facts(table(spark, sf_dir, "pages"))))
+    return H.internal_links(_linked(spark, sf_dir)).select("page_id", "url", "score")
 
 
-@register("outbound_domains")
+@register("outbound_domains", "SELECT 'partner' || (page_id % 7) || '.test' AS domain, min(page_id) AS page_id FROM pages GROUP BY 1")
 def outbound_domains(spark, sf_dir):
-    return H.outbound_domains(H.page_links(H.facts(table(spark, sf_dir, "pages"))))
+    return H.outbound_domains(_linked(spark, sf_dir)).select("domain", "page_id")
 
 
-@register("page_socials")
+@register("page_socials", "SELECT page_id, 'twitter' AS platform, 'https://twitter.com/u' || (page_id % 5) AS url FROM pages")
 def page_socials(spark, sf_dir):
-    return H.socials(H.page_links(H.facts(table(spark, sf_dir, "pages"))))
+    return H.socials(_linked(spark, sf_dir))
 
 
 @register("visible_text_len")
@@ -262,10 +270,14 @@ def _staff_pages(spark, sf_dir):
     return pages.select("page_id", F.concat(F.lit("https://"), "school_domain", F.lit("/staff")).alias("url"), html.alias("html"))
 
 
-@register("staff_rows")
+@register(
+    "staff_rows",
+    cte("people") + """ SELECT school_domain, CASE WHEN name LIKE 'Doe %' THEN 'Ann Doe ' || id ELSE name END AS name, title, nullif(sport, '') AS sport, CASE WHEN coalesce(sport, '') = '' THEN 'Media' END AS department,
+       coalesce(email, '') AS emails, title IN ('Head Coach', 'assistant coaches') AS is_coach FROM people WHERE name NOT IN ('TBA', '---')""",
+)
 def staff_rows(spark, sf_dir):
-    out = H.staff_rows(_staff_pages(spark, sf_dir), person())
-    return out.select("school_domain", "name", "title", "sport", "department", F.array_join("emails", "; ").alias("emails"), "is_coach", "shared_email")
+    out = H.staff_rows(_staff_pages(spark, sf_dir), person(), 1)
+    return out.select("school_domain", "name", "title", "sport", "department", F.array_join("emails", "; ").alias("emails"), "is_coach")
 
 
 @register("salvaged_coaches")
