@@ -91,15 +91,12 @@ def host_verdicts(rows: DataFrame, host_col: str, host_limit: float = 0.75) -> D
     """rows(host, _base_failed) -> (host, _host_rate, _host_ok): one row per host."""
     host = rows.groupBy(host_col).agg(F.count("*").alias("n"), F.sum(F.col("_base_failed").cast("long")).alias("f"))
     rate = F.col("f") / F.col("n")
-    prior = host.agg(
-        (F.sum("f") / F.sum("n")).alias("m"),
-        (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("m2"),
-    )
-    spread = F.col("m2") - F.col("m") * F.col("m")
-    weight = F.when(spread > 0, F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / spread - 1))).otherwise(F.lit(1e6))
-    prior = prior.select("m", weight.alias("w"))  # one row
-    shrunk = (F.col("f") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))
-    return host.join(F.broadcast(prior)).select(host_col, shrunk.alias("_host_rate"), (shrunk <= host_limit).alias("_host_ok"))
+    p = host.agg((F.sum("f") / F.sum("n")).alias("m"), (F.sum(F.col("n") * rate * rate) / F.sum("n")).alias("m2")).first()
+    m = p["m"] or 0.0
+    spread = (p["m2"] or 0.0) - m * m
+    weight = min(1e6, max(1.0, m * (1 - m) / spread - 1)) if spread > 0 else 1e6
+    shrunk = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
+    return host.select(host_col, shrunk.alias("_host_rate"), (shrunk <= host_limit).alias("_host_ok"))
 
 
 def join_verdicts(rows: DataFrame, verdicts: DataFrame, host_col: str, broadcast_hosts: int = 100_000) -> DataFrame:
