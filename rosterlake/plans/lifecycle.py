@@ -110,12 +110,12 @@ FAILING = cte("site_outcomes") + """, bad AS (SELECT domain, arg_max(status, (ru
 
 @register("still_failing_hosts", FAILING + " SELECT domain, status FROM bad WHERE domain NOT IN (SELECT domain FROM good)")
 def still_failing_hosts(spark, sf_dir):
-    return R.still_failing(adapter(spark, sf_dir, "site_outcomes").where("run_id > '2024-01-25'"))
+    return R.still_failing(adapter(spark, sf_dir, "site_outcomes"))
 
 
 @register("recovered_hosts", FAILING + " SELECT count(*) AS recovered FROM bad WHERE domain IN (SELECT domain FROM good)")
 def recovered_hosts(spark, sf_dir):
-    return R.recovered(adapter(spark, sf_dir, "site_outcomes").where("run_id > '2024-01-25'"))
+    return R.recovered(adapter(spark, sf_dir, "site_outcomes"))
 
 
 @register("retry_allow_list", cte("site_outcomes") + """ SELECT r.domain, r.pos, r.domain IN (SELECT domain FROM site_outcomes WHERE status IN ('blocked', 'network', 'error') AND people = 0) AS accepted
