@@ -10,6 +10,9 @@ Copies of a vector are one entry with its `keep` + 1 least ids: more can't be am
 ids. Partitions are dealt in blocks of about `block` vectors, so a full partition is many tasks; queries meet each block.
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; nor
 rows with a null id; repeated rows count once. An empty table gives an empty result.
+
+Below 1,600 distinct vectors there is one partition: nothing is fitted and the search is exact brute force in blocks. From
+there on the partitions double, up to 32, while each has 800 vectors and 48 of the sample.
 """
 
 from __future__ import annotations
