@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -105,6 +106,61 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", target: int
             i = j
 
 
+def pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text", target: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """slices, with a long text cut into pieces of about target bytes: (rows, bytes, offsets, byte of the text at which they
+    begin). Neighbours share overlap bytes, so a window of up to overlap + 1 bytes lies in one piece at least, and
+    one that starts in the shared bytes and is longer lies in the later piece only."""
+    for rows, buf, off in slices(batches, column, target):
+        if len(buf) <= 2 * target:
+            yield rows, buf, off, 0
+            continue
+        for at in range(0, len(buf), target):
+            part = buf[at : at + target + overlap]
+            yield rows, part, np.array([0, len(part)]), at
+
+
+def word_pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text", target: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """As pieces, cut between words: neighbours share overlap words, and the last number is the word of the text at which
+    they begin. A window of overlap + 1 words lies in exactly one piece."""
+    for rows, buf, off in slices(batches, column, target):
+        if len(buf) <= 2 * target:
+            yield rows, buf, off, 0
+            continue
+        at, first = 0, 0
+        while at < len(buf):
+            stop = at + target
+            while stop < len(buf):  # to the next space, and at least overlap + 1 words
+                gap = np.flatnonzero(_SPACE[buf[stop : stop + target]])
+                stop = stop + int(gap[0]) if len(gap) else min(len(buf), stop + target)
+                if len(gap):
+                    start, _, _ = words(buf[at:stop], np.array([0, stop - at]))
+                    if len(start) > overlap:
+                        break
+                    stop += target
+            part = buf[at:stop]
+            yield rows, part, np.array([0, len(part)]), first
+            if stop >= len(buf):
+                break
+            keep = len(start) - overlap
+            first += keep
+            at += int(start[keep]) if overlap else len(part)
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH3 of each run of bytes: what equal content is told by, where prefix sums modulo 2**64 are too weak."""
+    f = xxhash.xxh3_64_intdigest
+    return np.fromiter((f(raw[a:b], seed) for a, b in zip(start.tolist(), end.tolist())), U, len(start))
+
+
+def joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words one after another, each after one space but the first: the bytes, and where each starts and ends."""
+    lens = end - start
+    at = np.cumsum(lens + 1) - (lens + 1)
+    out = np.full(int(at[-1] + lens[-1]) if len(at) else 0, 32, np.uint8)
+    out[ranges(at, lens)] = buf[ranges(start, lens)]
+    return out, at, at + lens
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the offsets of each text's words among them."""
     if not len(buf):

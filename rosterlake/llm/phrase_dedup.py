@@ -1,17 +1,20 @@
 """Substring dedup: words covered by a passage of `window` words that also starts in a document with a smaller id.
 
 1. Recurring passages: each window of words names its least-hashed gram of words; windows of one text that share it are
-   a segment, and only grams met in two documents are kept. Segments of equal content are one class with its least id.
+   a segment. Texts are read twice: once for the grams, of which those met in two documents are kept, and once for the segments
+   that hold such a gram. Segments of equal content (equal gram hash and equal XXH3 of their words, two unlike hashes) are
+   one class with its least id.
 2. Automata: the passages of the classes of a gram are compiled into Aho-Corasick automata over word numbers
    (pyahocorasick), each with the least id of its passages. A shard holds whole grams, up to `shard` segments; a gram with
-   more classes is dealt by the offset of its windows, in which equal windows agree.
+   more classes is dealt passage by passage, by a hash of the passage, into as many parts as it needs.
 3. Streaming: the text of every class is streamed through the automaton of its shard, and every occurrence takes the
    least id. A text meets only the shards its own grams name, so shards and documents don't multiply. What a class
    learns holds for all documents that have it.
 
 Passages in one document only don't count. Null text has no words; a null id is the greatest, and two null ids don't
 count against each other; rows of the same id neither. Ties don't arise: the least id alone counts. An empty table gives
-an empty result. Columns of the input are kept; _words, _spans (runs of removed words) and _kept are added or replaced.
+an empty result. A very long text is read in pieces that share window - 1 words, so it takes the memory of its bytes and of one
+piece. Columns of the input are kept, whatever their names; _words, _spans (runs of removed words) and _kept are added or replaced.
 """
 
 from __future__ import annotations
@@ -26,88 +29,121 @@ from rosterlake.llm import blocks as B
 from rosterlake.llm.keys import Shield, schema_of
 from rosterlake.tables import materialise
 
+#: Classes of one gram in a shard, about; beyond it the gram's passages are dealt by their hash.
 DEAL = 2000
 
 
-def _segments(window: int, gram: int):
+def _windows(batches, window: int, gram: int):
+    """Segments of each piece of text: rows, its words joined by spaces with their starts and ends, the first word of each text
+    there, the word of the text at which the piece begins; row, first window, windows, anchor (in words of the piece), gram hash."""
     w = window - gram + 1
+    for rows, buf, off, shift in B.word_pieces(batches, window - 1, "text"):
+        if not len(buf):
+            continue
+        start, end, first = B.words(buf, off)
+        at = B.ranges(first[:-1], np.diff(first) - window + 1)
+        if not len(at):
+            continue
+        flat, start, end = B.joined(buf, start, end)
+        sums = B.prefix(B.span(B.prefix(B.byte_values(flat)), start, end))
+        g = np.arange(len(start) - gram + 1)
+        hashes = B.span(sums, g, g + gram)
+        p = B.sliding_argmin(hashes, w)[at]
+        head, n = B.runs_of(p, at)
+        s, p = at[head], p[head]
+        yield rows, flat, start, end, first, shift, np.searchsorted(first, s, "right") - 1, s, n, p, hashes[p]
+
+
+def _grams(window: int, gram: int):
+    """Each gram of a piece with the least and the greatest id that has it."""
 
     def run(batches):
-        for rows, buf, off in B.slices(batches, "text"):
-            if not len(buf):
-                continue
-            start, end, first = B.words(buf, off)
-            if len(start) < window:
-                continue
-            sums = B.prefix(B.span(B.prefix(B.byte_values(buf)), start, end))
-            at = B.ranges(first[:-1], np.diff(first) - window + 1)
-            if not len(at):
-                continue
-            doc = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(first) - window + 1, 0))
-            g = np.arange(len(start) - gram + 1)
-            hashes = B.span(sums, g, g + gram)
-            p = B.sliding_argmin(hashes, w)[at]
-            head, n = B.runs_of(p, at)
-            s, p, d = at[head], p[head], doc[head]
+        for rows, *_, d, _, _, _, a in _windows(batches, window, gram):
+            ids = rows.column("_id").to_numpy()[d]
+            o = np.argsort(a, kind="stable")
+            a, ids = a[o], ids[o]
+            head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            yield pa.RecordBatch.from_arrays([B.signed(a[head]), pa.array(np.minimum.reduceat(ids, head)), pa.array(np.maximum.reduceat(ids, head))], names=["a", "lo", "hi"])
+
+    return run
+
+
+def _segments(window: int, gram: int):
+    """x holds the first window's word (31 bits), the number of windows and the anchor's offset (16 each)."""
+
+    def run(batches):
+        for rows, flat, start, end, first, shift, d, s, n, p, a in _windows(batches, window, gram):
+            seg = B.digests(flat.tobytes(), start[s], end[s + n - 2 + window])
+            x = (s - first[d] + shift) << 32 | n << 16 | (p - s)
             take = pa.array(d)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("_id").take(take), rows.column("_th").take(take), pa.array((s - first[d]).astype(np.int32)), pa.array(n.astype(np.int16)), pa.array((p - s).astype(np.int16)), B.signed(hashes[p]), B.signed(B.span(sums, s, s + n - 1 + window))],
-                names=["_id", "_th", "s", "n", "p", "a", "seg"],
-            )
+            yield pa.RecordBatch.from_arrays([rows.column("_id").take(take), rows.column("_th").take(take), pa.array(x), B.signed(a), B.signed(seg)], names=["_id", "_th", "x", "a", "seg"])
 
     return run
 
 
-_CUT = "a long, part int, seg long, lo long, n int, p int, words array<string>"
+_CUT = pa.schema([("a", pa.int64()), ("part", pa.int64()), ("seg", pa.int64()), ("lo", pa.int64()), ("own", pa.list_(pa.int32())), ("words", pa.string())])
 
 
-def _cut(window: int, gram: int):
-    width = window - gram + 1
-    kind = pa.schema([("a", pa.int64()), ("part", pa.int32()), ("seg", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("words", pa.list_(pa.string()))])
+def _cut(window: int, hold: int = 8 << 20):
+    """Segments as text, each with the windows that are to be settled in its part of the gram."""
 
     def run(batches):
         for rows, buf, off in B.slices(batches, "text"):
             start, end, first = B.words(buf, off)
-            raw = buf.tobytes()
-            out = {k: [] for k in kind.names}
-            for i, segs in enumerate(rows.column("segs").to_pylist()):
-                for g in segs:
-                    b = first[i] + g["s"]
-                    text = [raw[x:y].decode() for x, y in zip(start[b : b + g["n"] - 1 + window], end[b : b + g["n"] - 1 + window])]
-                    parts = min(width, -(-g["k"] // DEAL))
-                    low, high = g["p"] - g["n"] + 1, g["p"]
-                    for part in range(low * parts // width, high * parts // width + 1):
-                        for k, v in zip(kind.names, (g["a"], part * 65536 + parts, g["seg"], g["lo"], g["n"], g["p"], text)):
+            flat, start, end = B.joined(buf, start, end)
+            raw = flat.tobytes()
+            sums = B.prefix(B.span(B.prefix(B.byte_values(flat)), start, end)) if len(raw) <= 4 << 20 else None
+            out, size = {k: [] for k in _CUT.names}, 0
+            for i, segs in enumerate(rows.column("segs")):
+                for g in segs.as_py():
+                    b, n = int(first[i]) + (g["x"] >> 32), g["x"] >> 16 & 0xFFFF
+                    text = raw[start[b] : end[b + n - 2 + window]].decode()
+                    parts = -(-g["k"] // DEAL)
+                    j = np.arange(n)
+                    if parts == 1:
+                        dealt = [(0, j)]
+                    else:
+                        if sums is not None:
+                            h = B.span(sums, b + j, b + j + window)
+                        else:  # of a very long text, the segment's own
+                            a = np.array([0, end[b + n - 2 + window] - start[b]])
+                            w = slice(b, b + n - 1 + window)
+                            own = B.prefix(B.span(B.prefix(B.byte_values(flat[start[b] : start[b] + a[1]])), start[w] - start[b], end[w] - start[b]))
+                            h = B.span(own, j, j + window)
+                        part = (h % B.U(parts)).astype(np.int64)
+                        dealt = [(int(q), j[part == q]) for q in np.unique(part)]
+                    for part, own in dealt:
+                        for k, v in zip(out, (g["a"], part, g["seg"], g["lo"], own.tolist(), text)):
                             out[k].append(v)
-            if out["a"]:
-                yield pa.RecordBatch.from_pydict(out, schema=kind)
+                        size += len(text)
+                if size > hold:
+                    yield pa.RecordBatch.from_pydict(out, schema=_CUT)
+                    out, size = {k: [] for k in _CUT.names}, 0
+            if size:
+                yield pa.RecordBatch.from_pydict(out, schema=_CUT)
 
     return run
 
 
-def _shard(window: int, gram: int, shard: int):
+def _shard(window: int, shard: int):
     """Compile and stream one shard after another; rows come sorted by (a, part)."""
-    width = window - gram + 1
 
     def settle(rows: list[dict]):
         number: dict[str, int] = {}
-        # a number of its own before each gram keeps the grams of a shard apart
-        seqs = [tuple(number.setdefault(w, len(number) + 1) for w in r["words"]) for r in rows]
+        seqs = [tuple([number.setdefault(w, len(number) + 1) for w in r["words"].split(" ")]) for r in rows]
         least: dict[tuple, int] = {}
-        mine = []
         for r, q in zip(rows, seqs):
-            part, parts = r["part"] >> 16, r["part"] & 0xFFFF
-            own = {j for j in range(r["n"]) if (r["p"] - j) * parts // width == part}
-            mine.append(own)
-            for j in own:
+            lo = r["lo"]
+            for j in r["own"]:
                 key = q[j : j + window]
-                if (old := least.get(key)) is None or r["lo"] < old:
-                    least[key] = r["lo"]
+                if (old := least.get(key)) is None or lo < old:
+                    least[key] = lo
         auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, lo in least.items():
             auto.add_word(key, lo)
         auto.make_automaton()
-        for r, q, own in zip(rows, seqs, mine):
+        for r, q in zip(rows, seqs):
+            own = set(r["own"])
             hit = sorted(j for stop, lo in auto.iter(q) if (j := stop - window + 1) in own and lo < r["lo"])
             for j in hit:
                 yield r["a"], r["seg"], j
@@ -137,7 +173,8 @@ def _finish(window: int):
         for rows, buf, off in B.slices(batches, "text"):
             start, end, first = B.words(buf, off)
             spans, kept, count = [], [], np.diff(first)
-            raw = buf.tobytes()
+            flat, at, to = B.joined(buf, start, end)
+            raw = flat.tobytes()
             for i, segs in enumerate(rows.column("segs")):
                 b, e = int(first[i]), int(first[i + 1])
                 runs, edge = [], [b, e]
@@ -147,7 +184,7 @@ def _finish(window: int):
                     runs = [{"start": int(x), "end": int(y)} for x, y in zip(lo, hi)]
                     edge = [b, *(b + int(v) for pair in zip(lo, hi) for v in pair), e]
                 spans.append(runs)
-                kept.append(b" ".join(raw[x:y] for u, v in zip(edge[::2], edge[1::2]) for x, y in zip(start[u:v].tolist(), end[u:v].tolist())).decode())
+                kept.append(b" ".join(raw[at[u] : to[v - 1]] for u, v in zip(edge[::2], edge[1::2]) if u < v).decode())
             names = [x for x in rows.schema.names if x not in ("segs", "_id", "_th")]
             arrays = [rows.column(x) for x in names]
             arrays += [pa.array(count.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
@@ -157,38 +194,34 @@ def _finish(window: int):
 
 
 def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: int = 4000) -> DataFrame:
-    """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at words s to s + n - 1 go. _th counts with
-    its lowest 23 bits: it only tells rows of one id apart."""
-    if not 1 <= gram <= window <= gram + 30:
-        raise ValueError("a window has 1 to 31 grams")
-    seg = materialise(docs.select("_id", "_th", "text").mapInArrow(_segments(window, gram), "_id long, _th long, s int, n smallint, p smallint, a long, seg long"), "phrases")
-    again = materialise(seg.groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("a"), "recurring")
-    # the widest shuffle: a segment is four words, its place and the row's hash being packed into one
-    packed = F.shiftleft("_th", 41).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 10)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 5)).bitwiseOR(F.col("p").cast("long"))
-    found = seg.select("a", "seg", "_id", packed.alias("x")).join(again, "a", "left_semi")
-    bits = lambda at, width: F.shiftrightunsigned("x", at).bitwiseAND(F.lit((1 << width) - 1))
-    found = found.select("a", "seg", "_id", bits(41, 23).alias("_th"), bits(10, 31).cast("int").alias("s"), bits(5, 5).cast("smallint").alias("n"), bits(0, 5).cast("smallint").alias("p"))
-    found = materialise(found, "candidates")
-    classes = materialise(found.groupBy("a", "seg").agg(F.min(F.struct("_id", "_th", "s", "n", "p")).alias("r")), "classes")
+    """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at words s to s + n - 1 go."""
+    if not 1 <= gram <= window <= 65_535:
+        raise ValueError("a window has a gram of one word or more, and 65,535 words at most")
+    src = docs.select("_id", "_th", "text")
+    met = src.mapInArrow(_grams(window, gram), "a long, lo long, hi long").groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    again = materialise(met.where("lo < hi").select("a"), "recurring")
+    found = materialise(src.mapInArrow(_segments(window, gram), "_id long, _th long, x long, a long, seg long").join(again, "a", "left_semi"), "candidates")
+    classes = materialise(found.groupBy("a", "seg").agg(F.min(F.struct("_id", "_th", "x")).alias("r")), "classes")
     many = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
-    need = classes.join(many, "a").select("r._id", "r._th", F.struct("r.s", "r.n", "r.p", "a", "seg", "k", F.col("r._id").alias("lo")).alias("g"))
+    need = classes.join(many, "a").select("r._id", "r._th", F.struct("r.x", "a", "seg", "k", F.col("r._id").alias("lo")).alias("g"))
     need = need.groupBy("_id", "_th").agg(F.collect_list("g").alias("segs"))
-    one = docs.select("_id", "_th", "text").join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    texts = one.mapInArrow(_cut(window, gram), _CUT).repartition("a", "part").sortWithinPartitions("a", "part")
-    met = texts.mapInArrow(_shard(window, gram, shard), "a long, seg long, j int")
+    one = src.join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    texts = one.mapInArrow(_cut(window), "a long, part long, seg long, lo long, own array<int>, words string").repartition("a", "part").sortWithinPartitions("a", "part")
+    met = texts.mapInArrow(_shard(window, shard), "a long, seg long, j int")
     met = met.groupBy("a", "seg").agg(F.collect_set("j").alias("js"))
     verdict = materialise(classes.select("a", "seg", F.col("r._id").alias("lo")).join(met, ["a", "seg"], "left"), "verdicts")
-    j = found.join(verdict, ["a", "seg"])
-    whole = j.where("_id > lo").select("_id", "_th", "s", "n")
-    part = j.where("_id = lo and js is not null").select("_id", "_th", "s", F.explode("js").alias("j")).select("_id", "_th", (F.col("s") + F.col("j")).alias("s"), F.lit(1).cast("smallint").alias("n"))
-    return whole.union(part)
+    at, n = F.shiftright("x", 32).cast("int"), F.shiftright("x", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    j = found.join(verdict, ["a", "seg"]).select("_id", "_th", at.alias("s"), n.alias("n"), "lo", "js")
+    # a later document loses the whole segment, the first one the windows that an earlier document has in another class
+    run = F.when(F.col("_id") > F.col("lo"), F.array(F.struct("s", "n"))).otherwise(F.transform("js", lambda k: F.struct((F.col("s") + k).alias("s"), F.lit(1).alias("n"))))
+    return j.where("_id > lo or js is not null").select("_id", "_th", F.explode(run).alias("r")).select("_id", "_th", "r.s", "r.n")
 
 
 def phrase_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 13, gram: int = 4, shard: int = 4000) -> DataFrame:
     """docs with _words (count), _spans (array of struct<start,end> in words) and _kept (the words left, joined by one
     space)."""
     shield = Shield(docs, text_col, id_col)
-    src = shield.keyed().withColumn("_th", F.col("_th").bitwiseAND(F.lit((1 << 23) - 1)))
+    src = shield.keyed()
     runs = materialise(repeated_passages(src, window, gram, shard), "passages")
     per = runs.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
     full = src.join(per, ["_id", "_th"], "left")

@@ -3,25 +3,29 @@
 All suffixes of a corpus are far more than the corpus, so the array is sparse and still exact:
 
 1. Every window of min_bytes bytes names an anchor, the least-hashed gram in it; equal windows name the same gram at
-   the same offset. Windows of one text that share an anchor are a segment. Only segments whose gram occurs at
-   another anchor can repeat; the others leave here.
-2. Segments with equal content are one class with a multiplicity: copies are settled by it, all windows repeated.
+   the same offset. Windows of one text that share an anchor are a segment. Texts are read twice: once for the grams, of which
+   those met twice or more are kept, and once for the segments that hold such a gram.
+2. Segments with equal content (equal gram hash and equal XXH3 of their bytes, two unlike hashes) are one class with a
+   multiplicity: copies are settled by it, all windows repeated.
 3. A class alone in its content, beside other classes of its gram, goes to the suffix array: sampled splitters range-
    partition by the leading bytes at the anchor, a bucket sorts its window suffixes by multikey refinement, eight-byte
    token by token, and equal neighbours at full depth are repeats. Splitters are leading bytes, so a run of equal
    leading bytes never crosses a boundary: neighbours across one differ within the leading token, which is the whole
-   comparison there. A gram with very many classes is dealt by window offset as well (equal windows have equal
-   offsets), so its work spreads over up to min_bytes - gram + 1 buckets.
+   comparison there. A gram with very many classes is dealt by ranges of the window offset (equal windows have equal
+   offsets), and each range by the bytes that all its windows share, so its work has no fixed number of buckets.
 
 Matches never cross documents; they may overlap, and lie within one document. Null text counts as empty; a text shorter
-than min_bytes is kept whole; repeated rows are copies of each other; a null id is an id like another; an empty table
-gives an empty result. Columns of the input are kept, and the names added are _spans and _kept (replaced if there).
+than min_bytes is kept whole; repeated rows are copies of each other, and no result depends on the order of ties; a null id
+is an id like another; an empty table gives an empty result. A very long text is read in pieces that share min_bytes - 1
+bytes, so it takes the memory of its bytes and of one piece. Columns of the input are kept, whatever their names; those
+added are _spans and _kept (replaced if there).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,53 +38,74 @@ DEAL = 2000
 LEAD = 32
 
 
-def _segments(min_bytes: int, gram: int):
+def _windows(batches, min_bytes: int, gram: int):
+    """Segments of each piece of text: rows, row of each, first window, windows, anchor (in bytes of the piece), gram hash."""
     w = min_bytes - gram + 1
+    for rows, buf, off, shift in B.pieces(batches, min_bytes - 1, "text"):
+        if len(buf) < min_bytes:
+            continue
+        at = B.ranges(off[:-1], np.diff(off) - min_bytes + 1)
+        if not len(at):
+            continue
+        sums = B.prefix(B.byte_values(buf))
+        grams = np.arange(len(buf) - gram + 1)
+        hashes = B.span(sums, grams, grams + gram)
+        p = B.sliding_argmin(hashes, w)[at]
+        first, n = B.runs_of(p, at)
+        s, p = at[first], p[first]
+        yield rows, buf, off, shift, np.searchsorted(off, s, "right") - 1, s, n, p, hashes[p]
+
+
+def _grams(min_bytes: int, gram: int):
+    def run(batches):
+        for *_, a in _windows(batches, min_bytes, gram):
+            a, k = np.unique(a, return_counts=True)
+            yield pa.RecordBatch.from_arrays([B.signed(a), pa.array(k)], names=["a", "k"])
+
+    return run
+
+
+def _segments(min_bytes: int, gram: int):
+    """x holds the first window's byte (31 bits), the number of windows and the anchor's offset (16 each)."""
 
     def run(batches):
-        for rows, buf, off in B.slices(batches, "text"):
-            if len(buf) < min_bytes:
-                continue
-            sums = B.prefix(B.byte_values(buf))
-            grams = np.arange(len(buf) - gram + 1)
-            hashes = B.span(sums, grams, grams + gram)
-            anchor = B.sliding_argmin(hashes, w)
-            at = B.ranges(off[:-1], np.diff(off) - min_bytes + 1)
-            doc = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - min_bytes + 1, 0))
-            if not len(at):
-                continue
-            p = anchor[at]
-            first, n = B.runs_of(p, at)
-            s, p, d = at[first], p[first], doc[first]
-            whole = B.span(sums, s, s + n - 1 + min_bytes)
+        for rows, buf, off, shift, d, s, n, p, a in _windows(batches, min_bytes, gram):
+            seg = B.digests(buf.tobytes(), s, s + n - 1 + min_bytes)
+            x = (s - off[d] + shift) << 32 | n << 16 | (p - s)
             take = pa.array(d)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("_id").take(take), rows.column("_th").take(take), pa.array((s - off[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((p - s).astype(np.int32)), B.signed(hashes[p]), B.signed(whole)],
-                names=["_id", "_th", "s", "n", "p", "a", "seg"],
-            )
+            yield pa.RecordBatch.from_arrays([rows.column("_id").take(take), rows.column("_th").take(take), pa.array(x), B.signed(a), B.signed(seg)], names=["_id", "_th", "x", "a", "seg"])
 
     return run
 
 
-def _cut(min_bytes: int, gram: int):
+_CUT = pa.schema([("lead", pa.binary()), ("part", pa.int32()), ("core", pa.int64()), ("text", pa.binary()), ("a", pa.int64()), ("_id", pa.int64()), ("_th", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("p", pa.int32()), ("lone", pa.bool_())])
+
+
+def _cut(min_bytes: int, gram: int, hold: int = 8 << 20):
     """Segment texts of the classes in question, dealt by window offset where their gram is hot."""
     width = min_bytes - gram + 1
 
     def run(batches):
         for rows, buf, off in B.slices(batches, "text"):
-            out = {k: [] for k in ("lead", "part", "text", "a", "_id", "_th", "s", "n", "p", "lone")}
+            out, size = {k: [] for k in _CUT.names}, 0
             ids, ths = rows.column("_id").to_pylist(), rows.column("_th").to_pylist()
-            for i, segs in enumerate(rows.column("segs").to_pylist()):
-                for g in segs:
-                    b = off[i] + g["s"]
-                    text = buf[b : b + g["n"] - 1 + min_bytes].tobytes()
+            for i, segs in enumerate(rows.column("segs")):
+                for g in segs.as_py():
+                    s, n, p = g["x"] >> 32, g["x"] >> 16 & 0xFFFF, g["x"] & 0xFFFF
+                    text = buf[off[i] + s : off[i] + s + n - 1 + min_bytes].tobytes()
                     parts = min(width, -(-g["k"] // DEAL))
-                    low, high = max(0, g["p"] - g["n"] + 1), g["p"]  # offsets of the anchor in this segment's windows
+                    low, high = max(0, p - n + 1), p  # offsets of the anchor in this segment's windows
                     for part in range(low * parts // width, high * parts // width + 1):
-                        for k, v in zip(out, (text[g["p"] : g["p"] + LEAD], part * 65536 + parts, text, g["a"], ids[i], ths[i], g["s"], g["n"], g["p"], g["c"] == 1)):
+                        least, most = -(-part * width // parts), -(-(part + 1) * width // parts) - 1
+                        core = xxhash.xxh3_64_intdigest(text[p - least : p - most + min_bytes]) - (1 << 63)  # in every window of this part
+                        for k, v in zip(out, (text[p : p + LEAD], part * 65536 + parts, core, text, g["a"], ids[i], ths[i], s, n, p, g["c"] == 1)):
                             out[k].append(v)
-            if out["a"]:
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lead", pa.binary()), ("part", pa.int32()), ("text", pa.binary()), ("a", pa.int64()), ("_id", pa.int64()), ("_th", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("p", pa.int32()), ("lone", pa.bool_())]))
+                        size += len(text)
+                    if size > hold:
+                        yield pa.RecordBatch.from_pydict(out, schema=_CUT)
+                        out, size = {k: [] for k in _CUT.names}, 0
+            if size:
+                yield pa.RecordBatch.from_pydict(out, schema=_CUT)
 
     return run
 
@@ -141,7 +166,7 @@ def _bucket(min_bytes: int, gram: int, hold: int = 3 << 20):
 
         for batch in batches:
             for r in batch.to_pylist():
-                now = (r["lead"], r["part"])
+                now = (r["lead"], r["part"], r["core"])
                 if size > hold and now != last:
                     yield out(settle(rows))
                     rows, size = [], 0
@@ -183,26 +208,27 @@ def _finish(min_bytes: int, with_text: bool):
 
 def repeated_windows(docs: DataFrame, min_bytes: int = 400, gram: int = 208) -> DataFrame:
     """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at bytes s to s + n - 1 are repeated."""
-    seg = materialise(docs.select("_id", "_th", "text").mapInArrow(_segments(min_bytes, gram), "_id long, _th long, s int, n int, p int, a long, seg long"), "segments")
-    again = materialise(seg.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "grams")
-    found = materialise(seg.join(again, "a", "left_semi"), "candidates")
-    classes = materialise(found.groupBy("a", "seg").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_th", "s", "n", "p")).alias("r")), "classes")
-    copies = found.join(classes.where("c > 1").select("a", "seg"), ["a", "seg"], "left_semi").select("_id", "_th", "s", "n")
+    if not 8 <= gram <= min_bytes <= 65_535:
+        raise ValueError("a window has a gram of 8 bytes or more and 65,535 bytes at most")
+    src = docs.select("_id", "_th", "text")
+    again = materialise(src.mapInArrow(_grams(min_bytes, gram), "a long, k long").groupBy("a").agg(F.sum("k").alias("k")).where("k > 1").select("a"), "grams")
+    found = materialise(src.mapInArrow(_segments(min_bytes, gram), "_id long, _th long, x long, a long, seg long").join(again, "a", "left_semi"), "candidates")
+    classes = materialise(found.groupBy("a", "seg").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_th", "x")).alias("r")), "classes")
+    copies = found.join(classes.where("c > 1").select("a", "seg"), ["a", "seg"], "left_semi").select("_id", "_th", "x")
+    copies = copies.select("_id", "_th", F.shiftright("x", 32).cast("int").alias("s"), F.shiftright("x", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("n"))
     open_ = classes.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("a", "k")
-    need = classes.join(open_, "a").select("r._id", "r._th", F.struct("r.s", "r.n", "r.p", "a", "c", "k").alias("g"))
+    need = classes.join(open_, "a").select("r._id", "r._th", F.struct("r.x", "a", "c", "k").alias("g"))
     need = need.groupBy("_id", "_th").agg(F.collect_list("g").alias("segs"))
-    one = docs.select("_id", "_th", "text").join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    texts = materialise(
-        one.mapInArrow(_cut(min_bytes, gram), "lead binary, part int, text binary, a long, _id long, _th long, s int, n int, p int, lone boolean"), "suffixes"
-    )
-    sorted_ = texts.repartitionByRange("lead", "part").sortWithinPartitions("lead", "part")
+    one = src.join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    texts = materialise(one.mapInArrow(_cut(min_bytes, gram), "lead binary, part int, core long, text binary, a long, _id long, _th long, s int, n int, p int, lone boolean"), "suffixes")
+    sorted_ = texts.repartitionByRange("lead", "part", "core").sortWithinPartitions("lead", "part", "core")
     return copies.union(sorted_.mapInArrow(_bucket(min_bytes, gram), "_id long, _th long, s int, n int"))
 
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_bytes: int = 400, gram: int | None = None, with_text: bool = False) -> DataFrame:
     """docs with _spans (array of struct<start,end>, the removed byte runs, maximal, in order) and _kept (binary,
     the other bytes of the UTF-8 text); with_text adds _kept_text, whole characters only. min_bytes is 16 or more; gram,
-    less than it, only sets the sampling."""
+    8 or more and less than it, only sets the sampling."""
     gram = gram or (min_bytes * 13) // 25
     shield = Shield(docs, text_col, id_col)
     src = shield.keyed()
