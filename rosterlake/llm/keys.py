@@ -50,3 +50,13 @@ def bounded_sample(rows: DataFrame, on: list[str], size: int, of: int) -> DataFr
     if of > 2 * size:
         rows = rows.where(F.pmod(h, F.lit(1 << 40)) < F.lit(int((1 << 40) * 2 * size / of)))
     return rows.orderBy(F.pmod(h, F.lit(1 << 40)), *on).limit(size)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: list[str], how: str, count: str = "c", hot: int = 4096, few: int = 20_000) -> DataFrame:
+    """rows (a table) joined, inner or left_semi, with side (a table, one row a key, `count` the key's rows): the keys of more than
+    `hot` rows are broadcast where they are `few` at most, counted here, so none of them becomes a task; the rest is shuffled."""
+    large = side.where(F.col(count) > hot).drop(count)
+    if not 0 < large.limit(few + 1).count() <= few:
+        return rows.join(side.drop(count), on, how)
+    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(side.where(F.col(count) <= hot).drop(count), on, how)
+    return rows.join(F.broadcast(large), on, how).unionByName(rest)

@@ -6,19 +6,22 @@ of its neighbours in each partition. Index: every vector goes to its most probab
 its several most probable partitions, as many as the sample needs for `recall` of its own neighbours, and is reranked there
 by exact inner products in double precision, block against block.
 
+The number of partitions doubles while each has 60 vectors and 48 of the sample, so it grows with the table up to what the
+sample can teach (128 with the default); below 120 distinct vectors there is one, and the search is exact. Where vectors are
+spread evenly in all directions, most partitions are needed; that is measured, not assumed.
+
 Copies of a vector are one entry with its `keep` + 1 least ids: more can't be among the first `keep`, as ties go to smaller
-ids. Partitions are dealt in blocks of about `block` vectors, so a full partition is many tasks; queries meet each block.
+ids. A partition of over `block` vectors is several blocks, and over `block` queries of one partition are several shares; each block
+meets each share in a task of its own, so no task grows with the table.
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; nor
-rows with a null id; repeated rows count once. An empty table gives an empty result.
-
-Below 1,600 distinct vectors there is one partition: nothing is fitted and the search is exact brute force in blocks. From
-there on the partitions double, up to 32, while each has 800 vectors and 48 of the sample.
+rows with a null id; repeated rows count once. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +34,14 @@ def _valid(dim: int, keep: int):
 
     def run(batches):
         for rows in batches:
-            ids, vec = rows.column("id"), rows.column("v")
-            good, out = [], []
-            for i, (a, b) in enumerate(zip(ids.to_pylist(), vec)):
-                if a is None or not b.is_valid or len(b.values) != dim or b.values.null_count:
-                    continue
-                good.append(i)
-                out.append(b.values.to_numpy(zero_copy_only=False).astype(np.float64))
-            if not good:
+            fit = pc.and_(pc.equal(pc.fill_null(pc.list_value_length(rows.column("v")), -1), dim), pc.is_valid(rows.column("id")))
+            rows = rows.filter(fit)
+            if not rows.num_rows:
                 continue
-            x = np.array(out)
+            own = rows.column("id").to_numpy()
+            x = pc.fill_null(rows.column("v").flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim)
             fine = np.isfinite(x).all(1) & (x != 0).any(1)
-            x, own = x[fine] + 0.0, np.array(ids.to_pylist(), object)[good][fine].astype(np.int64)
+            x, own = x[fine] + 0.0, own[fine]
             if not len(x):
                 continue
             key, inverse = np.unique(x, axis=0, return_inverse=True)
@@ -172,7 +171,7 @@ def _route(router: Router, dim: int, probes: int, query: bool, every: int):
     return run
 
 
-def _rerank(dim: int, keep: int, hold: int = 1024):
+def _rerank(dim: int, keep: int, hold: int = 256):
     def run(left, right):
         raw = left.column("x").to_pylist()
         kind = pa.list_(pa.struct([("neg", pa.float64()), ("vec_id", pa.int64())]))
@@ -182,7 +181,7 @@ def _rerank(dim: int, keep: int, hold: int = 1024):
         x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
         ids = left.column("ids").to_pylist()
         qid, q = right.column("q").to_numpy(), np.frombuffer(b"".join(right.column("x").to_pylist()), np.float64).reshape(-1, dim)
-        salt = int(left.column("part")[0].as_py() * 31 + left.column("b")[0].as_py()) % 16
+        salt = int(left.column("part")[0].as_py() + left.column("b")[0].as_py() * 31) % 16
         tops = []
         take = min(keep + 1, len(x))
         for i in range(0, len(q), hold):
@@ -199,7 +198,7 @@ def _rerank(dim: int, keep: int, hold: int = 1024):
     return run
 
 
-def partition_search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", keep: int = 20, every: int = 20, sample: int = 4096, recall: float = 0.94, block: int = 2048) -> DataFrame:
+def partition_search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", keep: int = 20, every: int = 20, sample: int = 8192, recall: float = 0.94, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by `every`, the `keep` nearest found."""
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
@@ -217,22 +216,24 @@ def partition_search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     raw = [r["x"] for r in bounded_sample(entry.select("x"), ["x"], sample, n).collect()]
     x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
     parts = 1
-    while parts < 32 and n // (parts * 2) >= 800 and len(x) // (parts * 2) >= 48:
+    while n // (parts * 2) >= 60 and len(x) // (parts * 2) >= 48:
         parts *= 2
     router, probes = fit_router(x, parts, keep, recall) if parts > 1 else (Router(dim, 1), 1)
     index = materialise(entry.mapInArrow(_route(router, dim, 1, False, every), "part int, x binary, ids array<bigint>"), "index")
-    sizes = index.groupBy("part").count().select("part", F.ceil(F.col("count") / block).cast("int").alias("blocks"))  # at most 32 rows
-    dealt = index.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("b"), "x", "ids")
+    held = [r["count"] for r in index.groupBy("part").count().collect()]  # a row a partition at most
+    held = sorted([0] * (parts - len(held)) + held)
+    while probes < parts and sum(held[:probes]) <= keep:  # even the emptiest partitions give a full list
+        probes += 1
     # every query: a hot vector's ids beyond the least ones ask too
     asks = src.where((F.col("id") % every) == 0).mapInArrow(_valid(dim, 1 << 40), "x binary, ids array<bigint>").select(F.explode("ids").alias("q"), "x").distinct()
-    routed = asks.mapInArrow(_route(router, dim, probes, True, every), "part int, q long, x binary")
-    routed = routed.join(F.broadcast(sizes), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "q", "x")
-    # queries of a block come in shares too, so neither side of a meeting grows with the table
-    share = F.pmod(F.xxhash64("q"), F.lit(max(1, n // (every * 4096)))).cast("int")
-    routed = routed.withColumn("w", share)
-    shares = max(1, n // (every * 4096))
-    dealt = dealt.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    near = dealt.groupBy("part", "b", "w").cogroup(routed.groupBy("part", "b", "w")).applyInArrow(_rerank(dim, keep), "query_id long, salt int, top array<struct<neg:double,vec_id:long>>")
+    routed = materialise(asks.mapInArrow(_route(router, dim, probes, True, every), "part int, q long, x binary"), "routed")
+    deals = lambda df, name: df.groupBy("part").count().select("part", F.ceil(F.col("count") / block).cast("int").alias(name))
+    sizes = materialise(deals(index, "blocks").join(deals(routed, "shares"), "part"), "sizes")  # a row a partition at most
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    dealt = index.join(F.broadcast(sizes), "part").select("part", own("x", "blocks").alias("b"), each("shares").alias("w"), "x", "ids")
+    asked = routed.join(F.broadcast(sizes), "part").select("part", each("blocks").alias("b"), own("q", "shares").alias("w"), "q", "x")
+    near = dealt.groupBy("part", "b", "w").cogroup(asked.groupBy("part", "b", "w")).applyInArrow(_rerank(dim, keep), "query_id long, salt int, top array<struct<neg:double,vec_id:long>>")
     # a query's lists meet in two steps, so no list grows with the number of blocks
     first = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, keep)
     some = near.groupBy("query_id", "salt").agg(first("top").alias("top"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import Shield, schema_of
+from rosterlake.llm.keys import Shield, join_hot, schema_of
 from rosterlake.tables import materialise
 
 #: Classes of one gram in a shard, about; beyond it the gram's passages are dealt by their hash.
@@ -201,7 +201,7 @@ def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: i
     met = src.mapInArrow(_grams(window, gram), "a long, lo long, hi long").groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     again = materialise(met.where("lo < hi").select("a"), "recurring")
     found = materialise(src.mapInArrow(_segments(window, gram), "_id long, _th long, x long, a long, seg long").join(again, "a", "left_semi"), "candidates")
-    classes = materialise(found.groupBy("a", "seg").agg(F.min(F.struct("_id", "_th", "x")).alias("r")), "classes")
+    classes = materialise(found.groupBy("a", "seg").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_th", "x")).alias("r")), "classes")
     many = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
     need = classes.join(many, "a").select("r._id", "r._th", F.struct("r.x", "a", "seg", "k", F.col("r._id").alias("lo")).alias("g"))
     need = need.groupBy("_id", "_th").agg(F.collect_list("g").alias("segs"))
@@ -209,9 +209,9 @@ def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: i
     texts = one.mapInArrow(_cut(window), "a long, part long, seg long, lo long, own array<int>, words string").repartition("a", "part").sortWithinPartitions("a", "part")
     met = texts.mapInArrow(_shard(window, shard), "a long, seg long, j int")
     met = met.groupBy("a", "seg").agg(F.collect_set("j").alias("js"))
-    verdict = materialise(classes.select("a", "seg", F.col("r._id").alias("lo")).join(met, ["a", "seg"], "left"), "verdicts")
+    verdict = materialise(classes.select("a", "seg", "c", F.col("r._id").alias("lo")).join(met, ["a", "seg"], "left"), "verdicts")
     at, n = F.shiftright("x", 32).cast("int"), F.shiftright("x", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    j = found.join(verdict, ["a", "seg"]).select("_id", "_th", at.alias("s"), n.alias("n"), "lo", "js")
+    j = join_hot(found, verdict, ["a", "seg"], "inner").select("_id", "_th", at.alias("s"), n.alias("n"), "lo", "js")
     # a later document loses the whole segment, the first one the windows that an earlier document has in another class
     run = F.when(F.col("_id") > F.col("lo"), F.array(F.struct("s", "n"))).otherwise(F.transform("js", lambda k: F.struct((F.col("s") + k).alias("s"), F.lit(1).alias("n"))))
     return j.where("_id > lo or js is not null").select("_id", "_th", F.explode(run).alias("r")).select("_id", "_th", "r.s", "r.n")

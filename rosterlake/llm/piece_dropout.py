@@ -7,11 +7,14 @@ same key always gives the same segmentation, another variant another. dropout 0
 vocabulary can't spell becomes byte pieces, so decoding gives back the exact text, with or without dropout.
 
 No piece goes from a non-space on to a space, or over a control character, so a text falls into units (spaces, then
-other characters) that don't affect each other. Equal units of one variant are merged once per slice; short ones are
-merged side by side in arrays, longer ones by a heap.
-
-Null and empty texts have no pieces; a literal U+2581 becomes bytes, so it isn't taken for a space; repeated rows
-encode alike; an empty table gives an empty result. The model's path is a parameter and must be readable by the driver only.
+other characters) that don't affect each other. A unit of over SHORT characters (text without spaces) is cut once more,
+between two characters that follow each other in no piece. Equal units of one variant are merged once per slice; they are found by
+a hash and then compared byte by byte. Short ones are merged side by side in arrays, longer ones by a heap, in n log n steps.
+
+Null and empty texts have no pieces; a literal U+2581 becomes bytes, so it isn't taken for a space; equal scores of neighbours
+go to the left one; repeated rows encode alike; an empty table gives an empty result; a very long text is a slice of its own and
+takes about 60 bytes a byte. Columns of the input are kept, whatever their names; _pieces is added or replaced. The model's path is a
+parameter and must be readable by the driver only.
 """
 
 from __future__ import annotations
@@ -49,6 +52,10 @@ class Pieces:
     data: np.ndarray
     data_off: np.ndarray
     size: int
+    #: sorted keys left << 32 | right of the code points that follow each other in some piece
+    pairs: np.ndarray
+    #: the joins by key, made where a long unit needs them
+    table: dict | None = None
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -73,7 +80,8 @@ def load(path: str = MODEL) -> Pieces:
     keys, piece, order = (np.array(x) for x in zip(*rows))
     chars, char_piece = (np.array(x) for x in zip(*single))
     off = np.cumsum([0, *map(len, raw)])
-    return Pieces(keys.astype(U), piece.astype(np.int32), order.astype(np.int32), chars.astype(np.int64), char_piece.astype(np.int32), byte_piece, np.frombuffer(b"".join(raw), np.uint8), off, n)
+    pairs = np.array(sorted({ord(a) << 32 | ord(b) for p in ids for a, b in zip(p, p[1:])}), np.int64)
+    return Pieces(keys.astype(U), piece.astype(np.int32), order.astype(np.int32), chars.astype(np.int64), char_piece.astype(np.int32), byte_piece, np.frombuffer(b"".join(raw), np.uint8), off, n, pairs)
 
 
 def _joins(m: Pieces, left: np.ndarray, right: np.ndarray, salt: np.ndarray, place: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
@@ -127,21 +135,28 @@ def merge_rows(m: Pieces, sym: np.ndarray, length: np.ndarray, salt: np.ndarray,
     return out, out_len
 
 
+_MASK = (1 << 64) - 1
+
+
+def _mix1(h: int) -> int:
+    """B.mix of one number."""
+    h ^= h >> 31
+    h = h * 0xD6E8FEB86659FD93 & _MASK
+    h ^= h >> 32
+    h = h * 0xA0761D6478BD642F & _MASK
+    return h ^ h >> 29
+
+
 def merge_long(m: Pieces, sym: np.ndarray, salt: int, dropout: float) -> np.ndarray:
-    """One long unit by a heap of candidates."""
+    """One long unit by a heap of candidates: n log n steps."""
     n = len(sym)
+    if n < 2:
+        return sym
+    if m.table is None:
+        m.table = {k: (r, p) for k, r, p in zip(m.join_keys.tolist(), m.join_rank.tolist(), m.join_piece.tolist())}
+    table, limit = m.table, dropout * 2.0**53
     s = sym.tolist()
     left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    salts = np.full(1, salt, U)
-
-    def look(a):
-        b = right[a]
-        if b < 0:
-            return
-        rank, piece = _joins(m, np.array([s[a]]), np.array([s[b]]), salts, np.array([a]), dropout)
-        if rank[0] != NONE:
-            heapq.heappush(heap, (int(rank[0]), a, b, s[a], s[b], int(piece[0])))
-
     rank, piece = _joins(m, sym[:-1], sym[1:], np.full(n - 1, salt, U), np.arange(n - 1), dropout)
     heap = [(int(rank[a]), a, a + 1, s[a], s[a + 1], int(piece[a])) for a in np.flatnonzero(rank != NONE).tolist()]
     heapq.heapify(heap)
@@ -153,9 +168,16 @@ def merge_long(m: Pieces, sym: np.ndarray, salt: int, dropout: float) -> np.ndar
         right[a] = right[b]
         if right[b] >= 0:
             left[right[b]] = a
-        if left[a] >= 0:
-            look(left[a])
-        look(a)
+        for c in (left[a], a):
+            d = right[c] if c >= 0 else -1
+            if d < 0:
+                continue
+            key = s[c] << 32 | s[d]
+            if (found := table.get(key)) is None:
+                continue
+            if dropout > 0 and _mix1(salt ^ _mix1(key + c * 0x9E3779B97F4A7C15 & _MASK)) >> 11 < limit:
+                continue
+            heapq.heappush(heap, (found[0], c, d, s[c], s[d], found[1]))
     return np.array([x for x, ok in zip(s, alive) if ok], np.int64)
 
 
@@ -170,6 +192,36 @@ def _code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(x < 0x80, x, np.where(x < 0xE0, two, np.where(x < 0xF0, three, four))), at
 
 
+def _cut_long(m: Pieces, units: np.ndarray, code: np.ndarray, at: np.ndarray, stop: int) -> np.ndarray:
+    """units with those of over SHORT characters cut where no piece can go on."""
+    first = np.searchsorted(at, units)
+    count = np.diff(np.append(first, len(at)))
+    long = np.flatnonzero(count > SHORT)
+    if not len(long) or not len(m.pairs):
+        return units
+    inner = B.ranges(first[long] + 1, count[long] - 1)
+    pair = code[inner - 1] << 32 | code[inner]
+    known = m.pairs[np.minimum(np.searchsorted(m.pairs, pair), len(m.pairs) - 1)] == pair
+    return np.union1d(units, at[inner[~known]])
+
+
+def equal_units(text: np.ndarray, units: np.ndarray, ends: np.ndarray, key: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A representative of each different unit, and of each unit the place of its representative. Units of equal key are
+    compared; one that differs from its representative represents itself."""
+    _, idx, inverse = np.unique(key, return_index=True, return_inverse=True)
+    size, of = ends - units, idx[inverse]
+    same = (size == size[of]) & (variant == variant[of])
+    fit = np.flatnonzero(same)
+    if len(fit):
+        equal = text[B.ranges(units[fit], size[fit])] == text[B.ranges(units[of[fit]], size[fit])]
+        edge = np.cumsum(size[fit]) - size[fit]
+        same[fit] = np.logical_and.reduceat(equal, edge)
+    odd = np.flatnonzero(~same)
+    inverse = inverse.copy()
+    inverse[odd] = len(idx) + np.arange(len(odd))
+    return np.append(idx, odd), inverse
+
+
 def encode_slice(m: Pieces, buf: np.ndarray, off: np.ndarray, variant: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts, concatenated, and the offsets of each text's."""
     n = len(off) - 1
@@ -185,15 +237,16 @@ def encode_slice(m: Pieces, buf: np.ndarray, off: np.ndarray, variant: np.ndarra
     start = control.copy()
     start[1:] |= (space[1:] & ~space[:-1]) | control[:-1]
     start[begin] = True
-    units = np.flatnonzero(start)
+    code, at = _code_points(text)
+    code = np.where(code == 0x2581, -1, np.where(code == 32, 0x2581, code))
+    units = _cut_long(m, np.flatnonzero(start), code, at, len(text))
     ends = np.append(units[1:], len(text))
     doc = full[np.searchsorted(begin, units, "right") - 1]
     salt = B.mix(variant[doc].astype(U) + U(seed * 0xD1B54A32D192ED03 % (1 << 64)))
     salt = B.mix(B.span(B.prefix(B.byte_values(text)), units, ends) ^ salt)
-    uniq, idx, inverse = np.unique(salt, return_index=True, return_inverse=True)
-    code, at = _code_points(text)
+    idx, inverse = equal_units(text, units, ends, salt, variant[doc])
+    uniq = salt[idx]
     a, b = np.searchsorted(at, units[idx]), np.searchsorted(at, ends[idx])
-    code = np.where(code == 0x2581, -1, np.where(code == 32, 0x2581, code))
     where = np.minimum(np.searchsorted(m.chars, code), len(m.chars) - 1)
     # a character that isn't a piece stands for itself, past the vocabulary
     sym = np.where(m.chars[where] == code, m.char_piece[where], m.size + np.where(code == -1, 0x2581, code))

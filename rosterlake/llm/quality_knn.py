@@ -6,9 +6,10 @@ decomposition of the tf-idf rows of at most `sample` labelled training documents
 bound). These vectors and labels are what every document meets: exact cosines in blocks, then the `k` nearest vote, each
 with its similarity to the power `sharp`, halved towards the share of label 1 by one pseudo-vote.
 
-Empty and null texts are documents without terms: they get the vote of form marks alone. Equal similarities go to the
-labelled row of smaller hash. Repeated rows score alike; with no labelled row every score is 0.5; an empty table gives an
-empty result.
+Empty and null texts are documents without terms: they get the vote of form marks alone. Of equal similarities the
+labelled row of smaller id votes first. Repeated rows score alike; with no labelled row every score is 0.5; an empty table gives
+an empty result. Of an id's several texts the one of least hash is learned from, and contradicting labels leave the id out. A very
+long text is counted whole, in about 60 bytes a byte. Columns of the input are kept, whatever their names; _quality is added or replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
 from rosterlake.llm.keys import Shield, bounded_sample, schema_of
+from rosterlake.tables import materialise
 
 GRAMS, FORMS = 1024, 64
 TERMS = GRAMS + FORMS
@@ -94,15 +96,25 @@ def _frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(np.append(df, n))], names=["term", "df"])
 
 
-def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+def _weighted(logs: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = logs * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row; of equal ones the first."""
+    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(sim, top, 1).min(1)
+    for i in np.flatnonzero((sim >= edge[:, None]).sum(1) > k):
+        over, equal = np.flatnonzero(sim[i] > edge[i]), np.flatnonzero(sim[i] == edge[i])
+        top[i] = np.r_[over, equal[: k - len(over)]]
+    return top
+
+
 class Voter:
-    def __init__(self, idf: np.ndarray, counts: np.ndarray, labels: np.ndarray, rank: int = 48, k: int = 15, sharp: float = 4.0):
+    def __init__(self, idf: np.ndarray, logs: np.ndarray, labels: np.ndarray, rank: int = 48, k: int = 15, sharp: float = 4.0):
         self.idf, self.k, self.sharp = idf.astype(np.float32), k, sharp
-        x = _weighted(counts, self.idf) if len(counts) else np.zeros((0, TERMS), np.float32)
+        x = _weighted(logs, self.idf) if len(logs) else np.zeros((0, TERMS), np.float32)
         if len(x):
             values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
             self.basis = vectors[:, ::-1][:, : min(rank, len(x))].astype(np.float32)
@@ -119,11 +131,11 @@ class Voter:
         n, out = len(off) - 1, np.full(len(off) - 1, 0.5)
         if not len(self.vectors):
             return out
-        z = self._latent(_weighted(term_counts(buf, off), self.idf))
+        z = self._latent(_weighted(np.log1p(term_counts(buf, off)), self.idf))
         k = min(self.k, len(self.vectors))
         for i in range(0, n, hold):
             sim = z[i : i + hold] @ self.vectors.T
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            top = nearest(sim, k)
             w = np.maximum(np.take_along_axis(sim, top, 1), 0).astype(np.float64) ** self.sharp
             y = self.labels[top]
             out[i : i + hold] = ((w * y).sum(1) + 0.1 * self.share) / (w.sum(1) + 0.1)
@@ -143,18 +155,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column, text_col: str =
     idf = np.log((1 + total) / (1 + df)) + 0.1
     # labels that contradict each other for one id leave it out
     chosen = labels.where(train_where & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).where("lo = hi")
-    chosen = chosen.select("_id", F.col("lo").alias("y"))
+    # only those that have a document count towards the sample
+    chosen = materialise(chosen.select("_id", F.col("lo").alias("y")).join(text.select("_id").distinct(), "_id", "left_semi"), "labelled")
     chosen = bounded_sample(chosen, ["_id"], sample, chosen.count())
 
     def counted(batches):
         for rows, buf, off in B.slices(batches, "text"):
-            c = term_counts(buf, off)
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("y"), pa.array([r.tobytes() for r in c.astype(np.float16)], pa.binary())], names=["_id", "y", "c"])
+            c = np.log1p(term_counts(buf, off))
+            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_th"), rows.column("y"), pa.array([r.tobytes() for r in c], pa.binary())], names=["_id", "_th", "y", "c"])
 
-    got = text.join(F.broadcast(chosen), "_id").select("_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(counted, "_id long, y int, c binary").dropDuplicates(["_id"]).collect()
+    learned = text.join(F.broadcast(chosen), "_id").select("_id", F.xxhash64("text").alias("_th"), F.col("y").cast("int").alias("y"), "text")  # `sample` rows at most
+    got = learned.mapInArrow(counted, "_id long, _th long, y int, c binary").groupBy("_id").agg(F.min(F.struct("_th", "y", "c")).alias("r")).select("_id", "r.*").collect()
     got.sort(key=lambda r: r["_id"])
-    counts = np.frombuffer(b"".join(r["c"] for r in got), np.float16).reshape(-1, TERMS).astype(np.float32)
-    return Voter(idf, counts, np.array([r["y"] for r in got], float))
+    logs = np.frombuffer(b"".join(r["c"] for r in got), np.float32).reshape(-1, TERMS)
+    return Voter(idf, logs, np.array([r["y"] for r in got], float))
 
 
 def score_quality(docs: DataFrame, voter: Voter, text_col: str = "text") -> DataFrame:

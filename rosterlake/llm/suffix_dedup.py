@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import Shield, schema_of
+from rosterlake.llm.keys import Shield, join_hot, schema_of
 from rosterlake.tables import materialise
 
 #: Classes of one gram in a bucket, about; beyond it the gram is dealt by window offset.
@@ -214,7 +214,7 @@ def repeated_windows(docs: DataFrame, min_bytes: int = 400, gram: int = 208) ->
     again = materialise(src.mapInArrow(_grams(min_bytes, gram), "a long, k long").groupBy("a").agg(F.sum("k").alias("k")).where("k > 1").select("a"), "grams")
     found = materialise(src.mapInArrow(_segments(min_bytes, gram), "_id long, _th long, x long, a long, seg long").join(again, "a", "left_semi"), "candidates")
     classes = materialise(found.groupBy("a", "seg").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_th", "x")).alias("r")), "classes")
-    copies = found.join(classes.where("c > 1").select("a", "seg"), ["a", "seg"], "left_semi").select("_id", "_th", "x")
+    copies = join_hot(found, classes.where("c > 1").select("a", "seg", "c"), ["a", "seg"], "left_semi").select("_id", "_th", "x")
     copies = copies.select("_id", "_th", F.shiftright("x", 32).cast("int").alias("s"), F.shiftright("x", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("n"))
     open_ = classes.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("a", "k")
     need = classes.join(open_, "a").select("r._id", "r._th", F.struct("r.x", "a", "c", "k").alias("g"))

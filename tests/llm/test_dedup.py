@@ -71,6 +71,80 @@ def test_phrase_dedup(odd):
     assert phrase_dedup(empty(df)).count() == 0
 
 
+def thue_morse(n):
+    """Two words of n bytes, complements of each other, that every polynomial hash modulo 2**64 takes for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_phrase_dedup_unlike_words_of_equal_hash(spark):
+    a, b = thue_morse(2048)
+    rows = [(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, " ".join([a] * 6 + [b] + [a] * 6)), (4, " ".join([b] * 14))]
+    got = [(x["doc_id"], x["_words"], sum(s["end"] - s["start"] for s in x["_spans"]), brute.sha(x["_kept"])) for x in phrase_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute.phrases(rows)
+
+
+def test_suffix_dedup_unlike_bytes_of_equal_hash(spark):
+    a, b = thue_morse(4096)
+    rows = [(1, a), (2, b), (3, "x" + a), (4, prose(1, 99) + b[:1000]), (5, b[512:1100])]
+    out = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=400).collect()
+    got = [(x["doc_id"], len(x["text"].encode()), len(x["text"].encode()) - len(x["_kept"]), len(x["_spans"]), brute.sha(bytes(x["_kept"]))) for x in out]
+    assert sorted(got, key=str) == brute.suffix(rows)
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows without an id are told apart by the whole hash of their text."""
+    shared = prose(11, 14)
+    rows = [(1, prose(12, 20) + " " + shared)] + [(None, prose(100 + k, 15)) for k in range(4000)] + [(None, prose(5000 + k, 8) + " " + shared + " " + prose(9000 + k, 3)) for k in range(40)]
+    out = phrase_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(x["doc_id"], x["_words"], sum(s["end"] - s["start"] for s in x["_spans"]), brute.sha(x["_kept"])) for x in out.collect()]
+    assert sorted(got, key=str) == brute.phrases(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts that are read in pieces: repeats inside one, across its pieces' edges and with a short text."""
+    a = prose(21, 900_000)
+    assert len(a) > 4 << 20
+    edge = (2 << 20) - 150
+    rows = [(1, a), (2, a[edge : edge + 300]), (3, "§ " + a[3_000_000:3_000_500] + " §"), (4, prose(22, 50)), (5, "y" * (5 << 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x["doc_id"], x["_words"], sum(s["end"] - s["start"] for s in x["_spans"]), brute.sha(x["_kept"])) for x in phrase_dedup(df).collect()]
+    assert sorted(got, key=str) == brute.phrases(rows)
+    out = {x["doc_id"]: [(s["start"], s["end"]) for s in x["_spans"]] for x in suffix_dedup(df, min_bytes=64).collect()}
+    b = a.encode()
+    assert out[2] == [(0, len(rows[1][1].encode()))] and out[5] == [(0, 5 << 20)] and out[4] == []
+    own = {}
+    for k in range(len(b) - 63):
+        own.setdefault(hash(b[k : k + 64]), []).append(k)
+    planted = [(m := b.find(rows[1][1].encode()), m + len(rows[1][1].encode())), (m := b.find(a[3_000_000:3_000_500].encode()), m + len(a[3_000_000:3_000_500].encode()))]
+    assert max(map(len, own.values())) == 1 and out[1] == sorted(planted)
+
+
+def test_pieces_cover_each_window_once():
+    r = random.Random(8)
+    import numpy as np
+    import pyarrow as pa
+
+    from rosterlake.llm import blocks as B
+
+    for _ in range(30):
+        text = "".join(r.choice("ab  \n") for _ in range(r.randint(0, 400)))
+        batch = pa.record_batch({"text": [text]})
+        words, seen = text.split(), []
+        for _, buf, off, first in B.word_pieces([batch], 3, target=40):
+            start, end, _ = B.words(buf, off)
+            got = [buf[x:y].tobytes().decode() for x, y in zip(start, end)]
+            assert got == words[first : first + len(got)]
+            seen += range(first, first + len(got) - 3)
+        assert seen == list(range(max(0, len(words) - 3)))
+        byte = []
+        for _, buf, off, at in B.pieces([batch], 9, target=40):
+            assert buf.tobytes() == text.encode()[at : at + len(buf)]
+            byte += range(at, at + len(buf) - 9)
+        assert byte == list(range(max(0, len(text) - 9)))
+    assert np.all(B.joined(np.frombuffer(b"ab  c", np.uint8), np.array([0, 4]), np.array([2, 5]))[0] == np.frombuffer(b"ab c", np.uint8))
+
+
 def test_phrase_dedup_hot_gram(spark):
     from rosterlake.llm import phrase_dedup as P
 

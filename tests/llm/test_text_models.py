@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -48,6 +49,73 @@ def test_long_and_short_units_agree():
         assert out[0, : n[0]].tolist() == P.merge_long(M, np.array(code), int(salt[0]), 0.3).tolist()
 
 
+def _plain_unit(symbols, salt, dropout):
+    """The agenda by definition: each neighbouring pair is looked at once, when it comes to be; the best join goes first."""
+    table = {int(k): (int(r), int(p)) for k, r, p in zip(M.join_keys, M.join_rank, M.join_piece)}
+    items = [(s, i) for i, s in enumerate(symbols)]
+    judged = {}
+
+    def allowed(k):
+        (x, at), (y, to) = items[k], items[k + 1]
+        if (x, at, y, to) not in judged:
+            key = x << 32 | y
+            h = P._mix1(salt ^ P._mix1(key + at * 0x9E3779B97F4A7C15 & P._MASK))
+            judged[x, at, y, to] = table.get(key) if dropout == 0 or (h >> 11) * 2.0**-53 >= dropout else None
+        return judged[x, at, y, to]
+
+    while True:
+        found = [(allowed(k)[0], k) for k in range(len(items) - 1) if allowed(k)]
+        if not found:
+            return [s for s, _ in items]
+        k = min(found)[1]
+        items[k : k + 2] = [(allowed(k)[1], items[k][1])]
+
+
+def test_dropout_is_the_agenda_by_definition():
+    """Whole texts with dropout beside a plain version that knows no arrays, heaps or shared units."""
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("theandingsrom") for _ in range(r.randint(1, 9))) for _ in range(30)) for _ in range(4)] + ["x" * 70 + "日本" * 40, "a\n b", "The  end"]
+    for dropout in (0.1, 0.6):
+        ids, at = P.encode_slice(M, *pack(texts), np.arange(len(texts)) % 3, dropout, 5)
+        for i, t in enumerate(texts):
+            buf = np.frombuffer((" " + t).encode(), np.uint8)
+            units = [m.group().encode() for m in re.finditer(r"[\x09-\x0d]| *[^ \x09-\x0d]+| +", " " + t)]
+            want = []
+            for u in units:
+                code = [0x2581 if c == " " else ord(c) for c in u.decode()]
+                cut = [0, *[k for k in range(1, len(code)) if len(code) > P.SHORT and code[k - 1] << 32 | code[k] not in set(M.pairs.tolist())], len(code)]
+                for x, y in zip(cut, cut[1:]):
+                    raw = u.decode()[x:y].encode()
+                    h = P.B.span(P.B.prefix(P.B.byte_values(np.frombuffer(raw, np.uint8))), np.array([0]), np.array([len(raw)]))
+                    base = P.B.mix(np.array([i % 3], np.uint64) + np.uint64(5 * 0xD1B54A32D192ED03 % (1 << 64)))
+                    salt = int(P.B.mix(h ^ base)[0])
+                    known = dict(zip(M.chars.tolist(), M.char_piece.tolist()))
+                    for s in _plain_unit([known.get(c, M.size + c) for c in code[x:y]], salt, dropout):
+                        want += [int(M.byte_piece[v]) for v in chr(s - M.size).encode()] if s >= M.size else [s]
+            assert ids[at[i] : at[i + 1]].tolist() == want, t
+            assert len(buf)
+
+
+def test_units_of_equal_hash_are_told_apart():
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits) + " ", "".join("ba"[b] for b in bits) + " "] * 2
+    ids, at = P.encode_slice(M, *pack(texts), np.zeros(4, int), 0.1, 1)
+    out, off = P.decode_slice(M, ids.astype(np.int64), at)
+    assert [out[a:b].tobytes().decode() for a, b in zip(off, off[1:])] == texts
+
+
+def test_text_without_spaces_is_quick():
+    import base64
+    import time
+
+    texts = ["漢字かな交じり文" * 12_000, base64.b64encode(random.Random(1).randbytes(75_000)).decode()]
+    began = time.time()
+    ids, at = P.encode_slice(M, *pack(texts), np.zeros(2, int), 0.1, 1)
+    assert time.time() - began < 10
+    out, off = P.decode_slice(M, ids.astype(np.int64), at)
+    assert [out[a:b].tobytes().decode() for a, b in zip(off, off[1:])] == texts
+
+
 def test_dropout_is_keyed():
     text = ["the international organization for standardization"] * 3
     ids, at = P.encode_slice(M, *pack(text), np.array([1, 1, 2]), 0.4, 9)
@@ -132,10 +200,55 @@ def test_quality_frames(odd, spark):
     assert {r["_quality"] for r in quality_knn.score_quality(df, none).collect()} == {0.5}
 
 
+def test_a_term_many_times_over(spark):
+    """One labelled text with a trigram 100,000 times: no score leaves 0 to 1, and its own vector scores as it was learned."""
+    rows = [(k, " ".join(f"w{k * j % 97}" for j in range(60))) for k in range(40)] + [(100, "aaa" * 33_400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    voter = quality_knn.fit(docs, spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int"), F.lit(True))
+    assert np.isfinite(voter.vectors).all()
+    got = {r["doc_id"]: r["_quality"] for r in quality_knn.score_quality(docs, voter).collect()}
+    assert len(got) == 41 and all(0 <= s <= 1 for s in got.values())
+    z = voter._latent(quality_knn._weighted(np.log1p(quality_knn.term_counts(*pack([rows[-1][1]]))), voter.idf))
+    assert np.abs(z - voter.vectors[-1]).max() < 1e-5
+
+
+def test_ties_go_to_the_smaller_id():
+    sim = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2], [5, 4, 3, 2, 1]], np.float32)
+    assert [sorted(x) for x in quality_knn.nearest(sim, 2).tolist()] == [[0, 1], [0, 1], [0, 1]]
+
+
+def test_quality_end_to_end_by_definition(spark):
+    """Features, space and votes of whole tables beside a version without blocks and batches."""
+    r = random.Random(6)
+    rows = [(k, " ".join("".join(r.choice("abcde#A") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 40)))) for k in range(80)]
+    labels = [(k, int(rows[k][1].count("#") > 9)) for k in range(0, 80, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    voter = quality_knn.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("doc_id") % 4 == 0)
+    got = {x["doc_id"]: x["_quality"] for x in quality_knn.score_quality(docs, voter).collect()}
+    counts = np.concatenate([quality_knn.term_counts(*pack([t])) for _, t in rows])
+    for k, (_, t) in enumerate(rows):  # the trigram part by definition
+        raw, want = t.encode(), np.zeros(quality_knn.GRAMS)
+        for i in range(len(raw) - 2):
+            want[((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 % (1 << 32)) >> 22] += 1
+        assert (counts[k, : quality_knn.GRAMS] == want).all()
+    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 0.1
+    x = np.log1p(counts) * idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    own = [k for k, _ in labels if k % 4 == 0]
+    y = np.array([dict(labels)[k] for k in own], float)
+    z = x @ np.linalg.svd(x[own], full_matrices=False)[2][: min(48, len(own))].T
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    for k in range(len(rows)):
+        sim = z[own] @ z[k]
+        top = np.argsort(-sim, kind="stable")[:15]
+        w = np.maximum(sim[top], 0) ** 4
+        assert abs(got[k] - ((w * y[top]).sum() + 0.1 * y.mean()) / (w.sum() + 0.1)) < 1e-2  # its space is in single precision
+
+
 def test_votes_are_the_nearest():
     r = np.random.default_rng(3)
     texts = ["".join(r.choice(list("abcd \n*"), 200)) for _ in range(60)]
-    counts = quality_knn.term_counts(*pack(texts))
+    counts = np.log1p(quality_knn.term_counts(*pack(texts)))
     y = r.integers(0, 2, 40)
     voter = quality_knn.Voter(np.ones(quality_knn.TERMS), counts[:40], y, rank=20, k=5)
     got = voter.scores(*pack(texts[40:]), hold=7)

@@ -101,6 +101,22 @@ def test_recall_with_partitions(spark):
     assert hit / (200 * 20) >= 0.9
 
 
+def test_recall_on_the_tables(spark, sf):
+    """The real vectors, in partitions from 500 rows on: recall beside brute force, and a full list for every query."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    got = partition_search(spark.read.parquet(f"{sf}/embeddings.parquet")).toPandas()
+    hit = n = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        mine = got[got.query_id == ids[k]]
+        assert len(mine) == min(20, len(x) - 1)
+        hit += len(set(ids[np.argsort(-s, kind="stable")[:20]]) & set(mine.vec_id))
+        n += 20
+    assert hit / n >= 0.9
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(1).standard_normal((512, 8))
     label = balanced_partition(neighbour_graph(x, 10), 8)
