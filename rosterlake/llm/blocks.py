@@ -93,7 +93,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", target: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of the batches with about target bytes of text each, as (rows, bytes, offsets); a longer text is a
     piece of its own."""
     for batch in batches:
@@ -106,7 +106,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", target: int
             i = j
 
 
-def pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text", target: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+def pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text", target: int = 512 << 10) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
     """slices, with a long text cut into pieces of about target bytes: (rows, bytes, offsets, byte of the text at which they
     begin). Neighbours share overlap bytes, so a window of up to overlap + 1 bytes lies in one piece at least, and
     one that starts in the shared bytes and is longer lies in the later piece only."""
@@ -119,7 +119,7 @@ def pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text"
             yield rows, part, np.array([0, len(part)]), at
 
 
-def word_pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text", target: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+def word_pieces(batches: Iterator[pa.RecordBatch], overlap: int, column: str = "text", target: int = 512 << 10) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
     """As pieces, cut between words: neighbours share overlap words, and the last number is the word of the text at which
     they begin. A window of overlap + 1 words lies in exactly one piece."""
     for rows, buf, off in slices(batches, column, target):
