@@ -110,23 +110,25 @@ def phones_in(text: Column, top: int = 5) -> Column:
 def industry_hints(haystack: Column, top: int = 5) -> Column:
     from rosterlake.functions.text import contains_any
 
-    low = F.lower(haystack)
-    found = F.array(*[F.when(contains_any(low, words), F.lit(name)) for name, words in V.INDUSTRIES.items()])
-    return F.slice(F.filter(found, lambda x: x.isNotNull()), 1, top)
+    hints = lambda low: F.array(*[F.when(contains_any(low, words), F.lit(name)) for name, words in V.INDUSTRIES.items()])
+    return F.slice(F.array_compact(let(F.lower(haystack), hints)), 1, top)
 
 
 def has_open_roles(text: Column) -> Column:
     from rosterlake.functions.text import contains_any
 
-    return contains_any(F.lower(text), V.OPEN_ROLE_MARKERS)
+    return let(F.lower(text), lambda low: contains_any(low, V.OPEN_ROLE_MARKERS))
 
 
 def looks_like_directory(html: Column, signals: int = 5) -> Column:
     """A cheap test before any parsing: enough mail links, table rows under a staff title, cards or profile links."""
-    low = F.lower(F.coalesce(html, F.lit("")))
-    count = lambda needle: F.regexp_count(low, F.lit(needle))
-    links = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({V.PROFILE_LINK})"), F.lit(1))))
-    return (count("mailto:") >= signals) | (F.contains(low, F.lit("staff directory")) & (count("<tr") >= signals)) | (count("s-person-card") >= signals) | (links >= signals)
+
+    def judge(low: Column) -> Column:
+        count = lambda needle: F.regexp_count(low, F.lit(needle))
+        links = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"({V.PROFILE_LINK})"), F.lit(1))))
+        return (count("mailto:") >= signals) | (F.contains(low, F.lit("staff directory")) & (count("<tr") >= signals)) | (count("s-person-card") >= signals) | (links >= signals)
+
+    return let(F.lower(F.coalesce(html, F.lit(""))), judge)
 
 
 def sport_slugs(html: Column, top: int = 40) -> Column:

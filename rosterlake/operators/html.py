@@ -5,17 +5,20 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import people as P
 from rosterlake.functions import vocabulary as V
 from rosterlake.functions import web as W
-from rosterlake.functions.text import clean
+from rosterlake.functions.text import clean, let, lookup
 from rosterlake.operators.dom import Node, parse, visible_text
+from rosterlake.operators.merge import forward_fill
+from rosterlake.tables import materialise
 
 _NOT_LINK = ("mailto:", "tel:", "javascript:", "#")
 FACTS = (
@@ -211,15 +214,15 @@ def fold_site(pages: DataFrame, spec) -> DataFrame:
 
 # --- staff directories ---------------------------------------------------------------------------------------------
 
-STAFF = (
-    "pos int, raw_name string, raw_title string, raw_group string, scripted array<string>, mailto array<string>, tel array<string>, cell_email string, cell_phone string, "
-    "profile_url string, photo_url string, layout string"
-)
-_SKIP = re.compile(V.SKIP_NAME)
+#: What any element that may stand for a person says about them.
+WHO = "struct<scripted:array<string>,mailto:array<string>,tel:array<string>,profile_url:string,images:array<struct<src:string,alt:string>>>"
+#: A table as it is written: its lines in order, each with the part of the table it stands in and its cells.
+TABLE = f"place:int,caption:string,above:string,lines:array<struct<part:string,th:array<string>,td:array<string>,linked:boolean,who:{WHO}>>"
+#: People of a page without a usable table.
+PERSON = f"kind:int,place:int,raw_name:string,raw_title:string,raw_group:string,who:{WHO}"
 _HEADING = re.compile(V.GENERIC_HEADING)
 _PROFILE = re.compile(V.PROFILE_PATH)
 _SPLIT = re.compile(V.SPLIT_EMAIL)
-_STOCK = re.compile(V.STOCK_IMAGE)
 _COACH = re.compile(V.COACH_TITLE)
 _CARD_NAME = "s-person-details__personal-single-line"
 
@@ -232,29 +235,17 @@ def _profile(href: str) -> bool:
     return not href.startswith(_NOT_LINK) and bool(_PROFILE.search(href))
 
 
-def _usable(text: str) -> bool:
-    return bool(text.strip()) and len(text.strip()) <= 80 and not _HEADING.match(text.strip())
-
-
-def _contact(node: Node, base: str, **own) -> dict:
+def _contact(node: Node, base: str) -> dict:
     hrefs = _links(node)
-    profile = next((urljoin(base, h).split("?")[0] for h in hrefs if _profile(h)), None)
     return {
-        "scripted": [], "cell_email": None, "cell_phone": None, "photo_url": None,
+        "scripted": [f"{a}@{b}" for s in node.find("script") for a, b in _SPLIT.findall(s.text())],
         "mailto": [h[7:].split("?")[0] for h in hrefs if h.startswith("mailto:")],
         "tel": [h[4:].split("?")[0] for h in hrefs if h.startswith("tel:")],
-        "profile_url": profile, **own,
+        "profile_url": next((urljoin(base, h).split("?")[0] for h in hrefs if _profile(h)), None),
+        "images": [{"src": urljoin(base, n.get("data-src") or n.get("src")), "alt": n.get("alt")} for n in node.find("img") if n.get("data-src") or n.get("src")],
     }
 
 
-def _photo(row: Node, base: str) -> str | None:
-    for img in row.find("img"):
-        src = img.get("data-src") or img.get("src")
-        if src and not src.startswith("data:") and not _STOCK.search(src) and not _STOCK.search(img.get("alt")):
-            return urljoin(base, src).split("?")[0]
-    return None
-
-
 def _one_person(node: Node) -> bool:
     """A block that holds one person's details: their heading is a name, not a section's."""
     hrefs = _links(node)
@@ -282,46 +273,13 @@ def _heading_above(node: Node) -> str | None:
     return None
 
 
-def _table_rows(table: Node, base: str) -> list[dict]:
-    trs = table.find("tr")
-    head = [t for h in table.find("thead") for t in h.find("tr")] or trs
-    headers = next(([c.shown() for c in r.find("th")] for r in head if len(r.find("th")) >= 2), [])
-    # rows outside a head are a body's even where the markup names none
-    body = [t for b in table.find("tbody") for t in b.find("tr")] or [t for t in trs if all(a.tag != "thead" for a in t.ancestors())]
-    widths = [n for n in (len(t.find("td")) for t in body) if n > 1]
-    # the most common width; of equals the one met first
-    width = max(dict.fromkeys(widths), key=widths.count) if widths else 0
-    shift = max(0, len(headers) - width) if width else 0
-    columns, group = {}, None
-    for i, h in enumerate(headers):
-        if field := V.COLUMN_ALIASES.get(h.strip().lower()):
-            columns[i - shift] = field
-        elif i < shift and group is None and h.strip():
-            group = h.strip()
-    if "name" not in columns.values():
-        return []
-    if not group:
-        captions = table.find("caption")
-        said = captions[0].shown() if captions else ""
-        if said:
-            group = said if _usable(said) else None
-        else:
-            group = next((t for r in trs if len(c := r.find("th")) == 1 and not r.find("td") and _usable(t := c[0].shown())), None)
-    group = group or _heading_above(table)
-    out = []
-    for row in body:
-        cells = row.find("td") or row.find("th")
-        if len(cells) == 1 and not _links(row):
-            if (label := cells[0].shown()) and len(label) <= 80:
-                group = label
-            continue
-        cells = row.find("td")
-        values = {f: cells[i].shown() for i, f in columns.items() if 0 <= i < len(cells)}
-        name = values.get("name", "")
-        if name and not _SKIP.match(name):
-            scripted = [f"{a}@{b}" for s in row.find("script") for a, b in _SPLIT.findall(s.text())]
-            out.append(_contact(row, base, raw_name=name, raw_title=values.get("title"), raw_group=group, scripted=scripted, cell_email=values.get("email"), cell_phone=values.get("phone"), photo_url=_photo(row, base), layout="table"))
-    return out
+def _table(table: Node, base: str) -> dict:
+    lines = []
+    for tr in table.find("tr"):
+        part = next((a.tag for a in tr.ancestors() if a.tag in ("thead", "tbody", "tfoot", "table")), "")
+        th, td = ([c.shown() for c in tr.find(tag)] for tag in ("th", "td"))
+        lines.append({"part": part, "th": th, "td": td, "linked": bool(_links(tr)), "who": _contact(tr, base)})
+    return {"caption": next((c.shown() for c in table.find("caption")), None), "above": _heading_above(table), "lines": lines}
 
 
 def _outermost(nodes: list[Node]) -> list[Node]:
@@ -343,29 +301,102 @@ def _person_cards(root: Node, base: str) -> list[dict]:
         name = next(("".join(s.strip() for s, _ in n.strings()) for n in card.walk() if n.get("data-test-id") == _CARD_NAME), "")
         title = next((" ".join(s.strip() for s, _ in n.strings() if s.strip()) for n in card.walk() if "s-person-details__position" in n.get("class")), None)
         if name:
-            out.append(_contact(card, base, raw_name=name, raw_title=title, raw_group=_heading_above(card), layout="card"))
+            out.append({"kind": 1, "raw_name": name, "raw_title": title, "raw_group": _heading_above(card), "who": _contact(card, base)})
     return out
 
 
 def _blocks(root: Node, base: str) -> list[dict]:
+    """From each address outwards: the widest list item, article or staff element that holds no other address."""
     fits = lambda n: n.tag in ("li", "article") or any(w in n.get("class") for w in ("staff", "person", "coach"))
-    one = [n for n in root.walk() if fits(n) and sum(h.startswith("mailto:") for h in _links(n)) == 1]
+    mails = [n for n in root.find("a") if n.get("href").startswith("mailto:")]
+    held = Counter(id(a) for n in mails for a in n.ancestors())
     out = []
-    for n in _outermost(one):
-        picks = [n.find(t) for t in ("h1", "h2", "h3", "h4", "h5")] + [[x for x in n.walk() if "name" in x.get("class")], n.find("a")]
+    for mail in mails:
+        block = next((a for a in reversed([*mail.ancestors()]) if a.parent is not None and fits(a) and held[id(a)] == 1), None)
+        if block is None:
+            continue
+        picks = [block.find(t) for t in ("h1", "h2", "h3", "h4", "h5")] + [[x for x in block.walk() if "name" in x.get("class")], block.find("a")]
         name = next((t for p in picks if p and 3 <= len(t := p[0].shown()) <= 60 and "@" not in t), None)
         if name:
-            lines = [x.strip(" -–—·|") for x in re.split(r"\s{2,}|\|", n.shown().replace(name, " ", 1))]
+            lines = [x.strip(" -–—·|") for x in re.split(r"\s{2,}|\|", block.shown().replace(name, " ", 1))]
             title = next((x for x in lines if _COACH.search(x) and len(x) <= 120), None)
-            out.append(_contact(n, base, raw_name=name, raw_title=title, raw_group=_heading_above(n), layout="block"))
+            out.append({"kind": 2, "raw_name": name, "raw_title": title, "raw_group": _heading_above(block), "who": _contact(block, base)})
     return out
 
 
-def staff_of(html: str, url: str) -> list[dict]:
-    """Raw staff rows of a page: tables, else person cards, else blocks with one address."""
+def staff_parts(html: str, url: str) -> dict:
+    """A page's tables as written, and the people of its person cards, else of its blocks with one address."""
     root = parse(html)
-    rows = [r for t in root.find("table") for r in _table_rows(t, url)] or _person_cards(root, url) or _blocks(root, url)
-    return [{"pos": i, **r} for i, r in enumerate(rows)]
+    number = lambda xs: [{"place": i, **x} for i, x in enumerate(xs)]
+    return {"tables": number(_table(t, url) for t in root.find("table")), "people": number(_person_cards(root, url) or _blocks(root, url))}
+
+
+def _usable(c: Column) -> Column:
+    """Whether a caption or a lone heading names a group of people."""
+    return (F.trim(c) != "") & (F.length(F.trim(c)) <= 80) & ~F.trim(c).rlike(V.GENERIC_HEADING)
+
+
+def _grid(tables: DataFrame) -> DataFrame:
+    """What the lines of each table mean: body, the place of each known column, the group its people belong to at first."""
+    in_part = lambda p: F.filter("lines", lambda x: x["part"] == p)
+    empty = F.array().cast("array<string>")
+    head = F.filter(F.when(F.size(in_part("thead")) > 0, in_part("thead")).otherwise(F.col("lines")), lambda x: F.size(x["th"]) >= 2)
+    body = F.when(F.size(in_part("tbody")) > 0, in_part("tbody")).otherwise(F.filter("lines", lambda x: x["part"] != "thead"))
+    t = tables.withColumn("headers", F.coalesce(F.get(F.transform(head, lambda x: F.transform(x["th"], F.trim)), 0), empty)).withColumn("body", body)
+    # the body is as wide as most of its lines; surplus headers, on the left, have no cells
+    wide = F.filter(F.transform("body", lambda x: F.size(x["td"])), lambda n: n > 1)
+    often = let(wide, lambda w: F.transform(F.array_distinct(w), lambda n: F.struct(F.size(F.filter(w, lambda k: k == n)).alias("times"), n.alias("width"))))
+    width = let(often, lambda o: F.get(F.filter(o, lambda x: x["times"] == F.array_max(F.transform(o, lambda y: y["times"]))), 0)["width"])
+    t = t.withColumn("surplus", F.greatest(F.lit(0), F.size("headers") - F.coalesce(width, F.size("headers"))))
+    named = F.transform("headers", lambda h, i: F.struct(lookup(F.lower(h), V.COLUMN_ALIASES).alias("field"), (i - F.col("surplus")).alias("at"), h.alias("said")))
+    t = t.withColumn("named", named).withColumn("columns", F.filter("named", lambda x: x["field"].isNotNull())).where(F.exists("columns", lambda x: x["field"] == "name"))
+    first = lambda c: F.get(c, 0)
+    spare = first(F.filter("named", lambda x: (x["at"] < 0) & x["field"].isNull() & (x["said"] != "")))["said"]
+    lone = first(F.filter(F.transform(F.filter("lines", lambda x: (F.size(x["th"]) == 1) & (F.size(x["td"]) == 0)), lambda x: first(x["th"])), _usable))
+    heading = F.when(F.coalesce("caption", F.lit("")) != "", F.when(_usable(F.col("caption")), F.col("caption"))).otherwise(lone)
+    return t.select("page_id", "url", "place", "columns", "body", F.coalesce(spare, heading, "above").alias("heading"))
+
+
+def table_people(tables: DataFrame) -> DataFrame:
+    """tables(page_id, url, TABLE) -> people as their lines say; a line of one cell names the group of those below it."""
+    line = _grid(tables).select("page_id", "url", "place", "columns", "heading", F.posexplode("body").alias("line", "x"))
+    alone = F.get(F.when(F.size("x.td") > 0, F.col("x.td")).otherwise(F.col("x.th")), 0)
+    single = (F.size(F.when(F.size("x.td") > 0, F.col("x.td")).otherwise(F.col("x.th"))) == 1) & ~F.col("x.linked")
+    line = line.withColumn("single", single).withColumn("label", F.when(single & (alone != "") & (F.length(alone) <= 80), alone))
+    line = forward_fill(line, "label", ["page_id", "place"], "line").where("not single")
+
+    def value(field: str) -> Column:
+        places = F.filter("columns", lambda c: (c["field"] == field) & (c["at"] >= 0) & (c["at"] < F.size("x.td")))
+        return F.get(F.col("x.td"), F.get(F.reverse(places), 0)["at"])
+
+    out = line.select("page_id", "url", F.lit(0).alias("kind"), "place", "line", value("name").alias("raw_name"), value("title").alias("raw_title"), F.coalesce("label", "heading").alias("raw_group"), value("email").alias("cell_email"), value("phone").alias("cell_phone"), "x.who")
+    return out.where((F.coalesce("raw_name", F.lit("")) != "") & ~F.col("raw_name").rlike(V.SKIP_NAME))
+
+
+def raw_staff(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) -> raw people with pos: those of a page's tables, else of its cards or blocks. A page that
+    can't be parsed has none."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                try:
+                    rows.append({"page_id": i, "url": u, **staff_parts(h or "", u or "")})
+                except Exception:  # one page's trouble isn't the others'
+                    continue
+            yield pd.DataFrame(rows, columns=["page_id", "url", "tables", "people"])
+
+    parts = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id bigint, url string, tables array<struct<{TABLE}>>, people array<struct<{PERSON}>>")
+    tables = table_people(parts.select("page_id", "url", F.inline("tables")))
+    none = F.lit(None).cast("string")
+    other = parts.select("page_id", "url", F.inline("people")).select("page_id", "url", "kind", "place", F.lit(0).alias("line"), "raw_name", "raw_title", "raw_group", none.alias("cell_email"), none.alias("cell_phone"), "who")
+    every = tables.union(other)
+    best = Window.partitionBy("page_id")
+    every = every.withColumn("_best", F.min("kind").over(best)).where("kind = _best")
+    photo = F.filter("who.images", lambda m: ~F.startswith(m["src"], F.lit("data:")) & ~m["src"].rlike(V.STOCK_IMAGE) & ~F.coalesce(m["alt"], F.lit("")).rlike(V.STOCK_IMAGE))
+    pos = (F.row_number().over(best.orderBy("place", "line")) - 1).alias("pos")
+    return every.select("page_id", "url", pos, "raw_name", "raw_title", "raw_group", "who.scripted", "who.mailto", "who.tel", "cell_email", "cell_phone", "who.profile_url", F.when(F.col("kind") == 0, F.substring_index(F.get(photo, 0)["src"], "?", 1)).alias("photo_url"))
 
 
 def staff_rows(pages: DataFrame, spec, signals: int = 5) -> DataFrame:
@@ -373,15 +404,9 @@ def staff_rows(pages: DataFrame, spec, signals: int = 5) -> DataFrame:
     from rosterlake.operators.lookups import colleague_departments
     from rosterlake.operators.merge import dedupe_page, shared_emails
 
-    names = [x.split()[0] for x in re.split(r", (?=\w+ )", STAFF)]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [{"page_id": i, "url": u, **r} for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for r in staff_of(h or "", u or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "url", *names])
-
-    gated = pages.where(W.looks_like_directory(F.col("html"), signals)).select("page_id", "url", "html")
-    raw = gated.mapInPandas(run, f"page_id bigint, url string, {STAFF}").where(~P.is_placeholder_name(F.col("raw_name")))
+    gated = pages.where(W.looks_like_directory(F.col("html"), signals))
+    # the steps below read their rows more than once; pages are parsed once
+    raw = materialise(raw_staff(gated).where(~P.is_placeholder_name(F.col("raw_name"))), "staff")
     group = P.clean_group(F.col("raw_group"))
     mails = F.filter(F.transform(F.concat("scripted", "mailto"), lambda x: F.lower(F.trim(x))), W.email_ok)
     phones = F.filter(F.transform(F.concat("tel", F.array(F.coalesce("cell_phone", F.lit("")))), W.clean_phone), lambda x: x.isNotNull())
@@ -391,7 +416,7 @@ def staff_rows(pages: DataFrame, spec, signals: int = 5) -> DataFrame:
         F.array_distinct(F.concat(F.coalesce("g.emails", F.array().cast("array<string>")), mails, W.emails_in(F.col("cell_email")))).alias("emails"), W.add_phones(phones).alias("phones"),
         "profile_url", F.col("url").alias("source_url"), "photo_url", (F.size("g.emails") > 0).alias("shared_email"),
     ).withColumn("is_coach", P.is_coaching_title(F.col("title")))
-    once = dedupe_page(people, spec)
+    once = materialise(dedupe_page(people, spec), "staff")
     return shared_emails(colleague_departments(once, "page_id"), page="page_id")
 
 
@@ -400,9 +425,23 @@ def athletics_share(people: DataFrame, least: float = 0.10) -> DataFrame:
     return people.groupBy("page_id").agg(F.avg(F.when(F.coalesce("sport", F.lit("")) != "", 1.0).otherwise(0.0)).alias("share")).withColumn("athletics", F.col("share") >= least)
 
 
+TITLE_NOTE = "sport read from the job title (campus directory, no sport column)"
+
+
+def from_titles(coaches: DataFrame) -> DataFrame:
+    """Coaches of a general directory: no department, the sport that the title names, and a note where it does."""
+    out = coaches.withColumn("department", F.lit(None).cast("string")).withColumn("sport", P.sport_from_title(F.col("title")))
+    had = F.col("notes") if "notes" in coaches.columns else F.array().cast("array<string>")
+    return out.withColumn("notes", F.when(F.col("sport").isNotNull(), F.array_union(had, F.array(F.lit(TITLE_NOTE)))).otherwise(had))
+
+
 def coaches_only(people: DataFrame) -> DataFrame:
     """From each site's first page with a coach, its coaches, their sport read from the title."""
     coach = people.where("is_coach")
     first = coach.groupBy("school_domain").agg(F.min("page_id").alias("page_id"))
-    out = coach.join(first, ["school_domain", "page_id"], "left_semi").drop("department").withColumn("department", F.lit(None).cast("string"))
-    return out.withColumn("sport", P.sport_from_title(F.col("title")))
+    return from_titles(coach.join(first, ["school_domain", "page_id"], "left_semi"))
+
+
+def discovered(links: DataFrame) -> DataFrame:
+    """Hosts that directories link to, as companies of which nothing but the host and where it was found is known."""
+    return outbound_domains(links).select("domain", F.concat(F.lit("https://"), "domain").alias("url"), F.col("page_id").alias("found_on"))

@@ -88,12 +88,42 @@ def fuzzy_top1(targets: DataFrame, candidates: DataFrame, least: float = 0.6) ->
     return scored.groupBy("pos", "target").agg(F.max_by(F.struct("cid", "candidate", "score"), F.struct("score", -F.col("cid"))).alias("m")).select("pos", "target", "m.cid", "m.candidate", "m.score")
 
 
+NO_MATCH = "no College Scorecard match — academics and cost unfilled"
+OPEN_ADMISSION = "no admissions test scores — open-admission two-year college"
+TEST_OPTIONAL = "no test scores published (test-optional reporting)"
+
+
 def enrich(members: DataFrame, matches: DataFrame) -> DataFrame:
-    """members(pos, city, state, website, association) with what their match says, own values where it says nothing."""
-    j = members.join(matches.select("pos", *[F.col(c).alias(f"_{c}") for c in ("city", "state", "website", "cost")]), "pos", "left")
-    pick = lambda c: F.coalesce(null_blank(F.col(f"_{c}")), F.col(c))
-    note = F.when(F.col("_cost").isNull(), F.concat(F.lit("no scorecard match for this "), F.coalesce("association", F.lit("school")), F.lit(" member")))
-    return j.select("pos", pick("city").alias("city"), pick("state").alias("state"), pick("website").alias("website"), F.col("_cost").alias("totalYearlyCost"), note.alias("note"))
+    """members(pos, city, state, region, website, association, private) with what their match says: city, website and state
+    where it has them, region, cost, test scores and ownership as they are there. matches(pos, city, state, website, cost,
+    scores map, ownership). notes say what is missing."""
+    said = matches.select("pos", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in ("city", "state", "website", "cost", "scores", "ownership")])
+    j = members.join(said, "pos", "left")
+    pick = lambda c, new: F.coalesce(null_blank(new), F.col(c))
+    hit = F.coalesce("_hit", F.lit(False))
+    scores = F.when(hit & (F.size("_scores") > 0), F.col("_scores"))
+    note = F.when(~hit, NO_MATCH).when(scores.isNull(), F.when(F.col("association") == "NJCAA", OPEN_ADMISSION).otherwise(TEST_OPTIONAL))
+    return j.select(
+        "pos", pick("city", F.trim("_city")).alias("city"), pick("state", S.state_name(F.col("_state"))).alias("state"), F.when(hit, S.region_for(F.col("_state"))).otherwise(F.col("region")).alias("region"),
+        pick("website", F.trim("_website")).alias("website"), "association", F.col("_cost").alias("totalYearlyCost"), scores.alias("academicData"),
+        F.when(hit, S.private_public(F.col("_ownership"), F.col("private"))).alias("privatePublic"), F.array_compact(F.array(note)).alias("notes"),
+    )
+
+
+def update_records(matched: DataFrame, institutions: DataFrame) -> DataFrame:
+    """Filled rows of import_match as records that fold onto the stored ones: their identity, and the new athletics host; the
+    first row of a school counts."""
+    first = matched.where("verdict = 'filled'").groupBy("key").agg(F.min(F.struct("pos", "host")).alias("m"))
+    own = [c for c in ("ncaa_org_id", "school", "state", "country", "association") if c in institutions.columns]
+    return institutions.select("key", *own).join(first, "key").select("key", *own, F.col("m.host").alias("athletics_domain"))
+
+
+def import_listings(matched: DataFrame, institutions: DataFrame, conflicts: int = 10, unmatched: int = 5) -> DataFrame:
+    """The first conflicting rows, with the host kept and the one offered, and the first unmatched ones."""
+    kept = institutions.select("key", F.col("athletics_domain").alias("current"))
+    a = matched.where("verdict = 'conflicting'").join(kept, "key").select(F.lit("conflicting").alias("verdict"), "pos", "school", "current", F.col("host").alias("offered")).orderBy("pos", "school").limit(conflicts)
+    none = F.lit(None).cast("string")
+    return a.union(matched.where("verdict = 'unmatched'").select(F.lit("unmatched"), "pos", "school", none, none).orderBy("pos").limit(unmatched))
 
 
 def source_urls(people: DataFrame, workbook: DataFrame, runs: DataFrame) -> DataFrame:

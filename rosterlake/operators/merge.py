@@ -1,7 +1,8 @@
 """Ordered upsert-merge: rows of one key fold, in the order of a sequence, into one row.
 
-Every rule is associative, so a key is one grouped aggregation and no row-at-a-time fold: newest non-empty is a max_by over
-the sequence, ordered unions collect (sequence, values) and flatten. A key seen once passes through untouched.
+Every rule is associative, so a key is grouped aggregation and no row-at-a-time fold: newest non-empty is a max_by over
+the sequence; of unions and maps each different value (or map key) is first reduced to the place where it was first met and, for
+maps, the value it had last, so that only what differs is collected for a key. A key seen once passes through untouched.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import join_unique, union_lists
+from rosterlake.functions.text import null_blank, packed
 from rosterlake.schemas import EntitySpec
 
 
@@ -26,23 +27,35 @@ def _newest(c: str, seq: str, filled: Column) -> Column:
     return F.coalesce(F.max_by(F.when(filled, F.col(c)), F.when(filled, F.col(seq))), F.min_by(c, seq))
 
 
-def _ordered(c: str, seq: str, value: Column | None = None) -> Column:
-    value = F.col(c) if value is None else value
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), value.alias("v")))), lambda x: x["v"])
+def _ordered(c: str, seq: str) -> Column:
+    """Values of c in order, for groups that are small by nature (the pages of a site)."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(c).alias("v")))), lambda x: x["v"])
 
 
-def _overlay(c: str, seq: str, filled_only: bool) -> Column:
-    """Maps laid over each other in order, keys where they first appeared."""
-    entries = F.flatten(F.filter(_ordered(c, seq, F.map_entries(c)), lambda m: m.isNotNull()))
+_PART = "array<struct<c:string,k:string,v:string,i:int>>"
 
-    def put(acc: Column, e: Column) -> Column:
-        known = F.exists(acc, lambda x: x["key"] == e["key"])
-        return F.when(known, F.transform(acc, lambda x: F.when(x["key"] == e["key"], e).otherwise(x))).otherwise(F.concat(acc, F.array(e)))
 
-    if filled_only:
-        entries = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    start = F.array().cast("array<struct<key:string,value:string>>")
-    return F.map_from_entries(F.aggregate(entries, start, put))
+def _parts(rows: DataFrame, spec: EntitySpec, seq: str, key: str) -> DataFrame | None:
+    """key -> _parts: of each union, packed or map column the different values or map keys, where each was first met and, of
+    a map key, its last value."""
+    kinds = dict(rows.dtypes)
+    void = F.lit(None).cast("string")
+
+    def listed(c: str, values: Column) -> Column:
+        return F.transform(values, lambda x, i: F.struct(F.lit(c).alias("c"), x.alias("k"), void.alias("v"), i.alias("i")))
+
+    def mapped(c: str, keep) -> Column:
+        return F.transform(F.filter(F.map_entries(c), keep), lambda e, i: F.struct(F.lit(c).alias("c"), e["key"].alias("k"), e["value"].alias("v"), i.alias("i")))
+
+    lists = [listed(c, F.filter(F.col(c), lambda x: x.isNotNull() & (x != ""))) for c in spec.union if c in kinds]
+    lists += [listed(c, packed(F.col(c))) for c in spec.join_unique if c in kinds]
+    lists += [mapped(c, lambda e: F.lit(True)) for c in spec.overlay if c in kinds]
+    lists += [mapped(c, lambda e: F.coalesce(e["value"], F.lit("")) != "") for c in spec.overlay_filled if c in kinds]
+    if not lists:
+        return None
+    each = rows.select(key, F.col(seq).alias("_s"), F.explode(F.concat(*[F.coalesce(x, F.array().cast(_PART)) for x in lists])).alias("p"))
+    each = each.groupBy(key, F.col("p.c").alias("c"), F.col("p.k").alias("k")).agg(F.min(F.struct("_s", "p.i")).alias("at"), F.max_by("p.v", "_s").alias("v"))
+    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c", "at", "k", "v"))).alias("_parts"))
 
 
 def merge(rows: DataFrame, spec: EntitySpec, seq: str = "seq", key: str = "key") -> DataFrame:
@@ -54,15 +67,27 @@ def merge(rows: DataFrame, spec: EntitySpec, seq: str = "seq", key: str = "key")
     aggs = [F.count("*").alias("_n")]
     aggs += [_newest(c, seq, _filled(c, kinds[c])).alias(c) for c in has(spec.newest)]
     aggs += [_newest(c, seq, F.col(c).isNotNull()).alias(c) for c in has(spec.newest_known)]
-    aggs += [F.when(F.count("*") == 1, F.min(c)).otherwise(join_unique(F.array_join(_ordered(c, seq), ";"))).alias(c) for c in has(spec.join_unique)]
-    aggs += [F.when(F.count("*") == 1, F.min(c)).otherwise(union_lists(F.flatten(F.filter(_ordered(c, seq), lambda v: v.isNotNull())))).alias(c) for c in has(spec.union)]
-    aggs += [_overlay(c, seq, False).alias(c) for c in has(spec.overlay)]
-    aggs += [F.when(F.count("*") == 1, F.first(c)).otherwise(_overlay(c, seq, True)).alias(c) for c in has(spec.overlay_filled)]
+    aggs += [F.first(c).alias(c) for c in has(spec.join_unique + spec.union + spec.overlay + spec.overlay_filled)]
     aggs += [F.bool_or(c).alias(c) for c in has(spec.any_)]
     aggs += [F.min(c).alias(c) for c in has(spec.least)]
     aggs += [F.max(c).alias(c) for c in has(spec.greatest)]
     aggs += [F.min_by(c, seq).alias(f"_{c}") for c in spec.reset if c in kinds]
     out = rows.groupBy(key).agg(*aggs)
+    parts = _parts(rows, spec, seq, key)
+    if parts is not None:
+        out = out.join(parts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
+        mine = lambda c, f: F.transform(F.filter("_parts", lambda x: x["c"] == c), f)
+        met = lambda c: F.coalesce(mine(c, lambda x: x["k"]), F.array().cast("array<string>"))
+        laid = lambda c: F.coalesce(F.map_from_entries(mine(c, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))), F.create_map().cast("map<string,string>"))
+        once = lambda c, value: F.when(F.col("_n") == 1, F.col(c)).otherwise(value)
+        for c in has(spec.join_unique):
+            out = out.withColumn(c, once(c, null_blank(F.array_join(met(c), "; "))))
+        for c in has(spec.union):
+            out = out.withColumn(c, once(c, met(c)))
+        for c in has(spec.overlay):
+            out = out.withColumn(c, laid(c))
+        for c in has(spec.overlay_filled):
+            out = out.withColumn(c, once(c, laid(c)))
     for c, value in spec.reset.items():
         if c in kinds:
             out = out.withColumn(c, F.when(F.col("_n") == 1, F.col(f"_{c}")).otherwise(value)).drop(f"_{c}")
@@ -115,7 +140,7 @@ def last_wins(rows: DataFrame, key: str, value: str, pos: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, pos).alias(value))
 
 
-def forward_fill(rows: DataFrame, value: str, by: str | None, pos: str) -> DataFrame:
-    """value carried on over the rows after it, within `by` (one document or page)."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def forward_fill(rows: DataFrame, value: str, by: str | list[str], pos: str) -> DataFrame:
+    """value carried on over the rows after it, within `by` (one document, page or table)."""
+    w = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))

@@ -31,6 +31,11 @@ def reconcile(stored: DataFrame, rosters: DataFrame, now: str, max_loss: float =
     return out.select(*stored.columns)
 
 
+def missing(stored: DataFrame, rosters: DataFrame) -> DataFrame:
+    """Live stored rows of domains that have a roster, without those it lists."""
+    return _judged(stored, rosters, 1.0, 0).where("_missing").select(*stored.columns)
+
+
 def reconcile_report(stored: DataFrame, rosters: DataFrame, max_loss: float = 0.5, floor: int = 5) -> DataFrame:
     """domain, stored, missing, departed, skipped: domains that lose anyone, or would."""
     j = _judged(stored, rosters, max_loss, floor).where("missing > 0").groupBy("domain").agg(F.first("stored").alias("stored"), F.first("missing").alias("missing"), F.first("skip").alias("skipped"))
@@ -89,16 +94,33 @@ def outcome_tally(sites: DataFrame) -> DataFrame:
 
 
 def run_summary(sites: DataFrame, examples: int = 3) -> DataFrame:
-    """Failures by status: count, the first examples and how many more."""
+    """Failures by status, most first: label, count, the first examples with their details and how many more. The
+    rank filter lets each task keep its own first rows, so a status with most of the rows isn't gathered."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("status").orderBy("pos")
-    ranked = sites.where("status <> 'ok'").withColumn("r", F.row_number().over(w))
-    return ranked.groupBy("status").agg(
-        F.count("*").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "domain")))), lambda x: x["domain"]), ", ").alias("examples"),
-        F.greatest(F.lit(0).cast("long"), F.count("*") - examples).alias("more"),
-    )
+    from rosterlake.functions.text import lookup
+
+    failed = sites.where("status <> 'ok'")
+    count = failed.groupBy("status").agg(F.count("*").alias("n"))
+    ranked = failed.withColumn("r", F.row_number().over(Window.partitionBy("status").orderBy("pos"))).where(F.col("r") <= examples)
+    shown = F.struct("r", "domain", F.concat_ws(": ", "domain", F.substring("detail", 1, 70)).alias("line"))
+    few = ranked.groupBy("status").agg(F.array_sort(F.collect_list(shown)).alias("x"))
+    j = count.join(few, "status").withColumn("label", lookup(F.col("status"), V.OUTCOME_LABELS, F.col("status")))
+    names = lambda c: F.transform("x", lambda e: e[c])
+    return j.select("status", "label", "n", F.array_join(names("domain"), ", ").alias("examples"), F.array_join(names("line"), "\n").alias("lines"), F.greatest(F.lit(0).cast("long"), F.col("n") - examples).alias("more")).orderBy(F.desc("n"), "status")
+
+
+def run_counts(sites: DataFrame) -> DataFrame:
+    """Sites attempted, succeeded, failed and worth retrying, with the share that succeeded."""
+    from rosterlake.functions.text import percent
+
+    ok, n = F.count_if(F.col("status") == "ok"), F.count("*")
+    return sites.agg(n.alias("attempted"), ok.alias("succeeded"), F.count_if(F.col("status") != "ok").alias("failed"), F.count_if(F.col("status").isin(*V.RETRYABLE)).alias("retryable"), percent(ok, n).alias("share"))
+
+
+def skipped_domains(report: DataFrame, top: int = 10) -> DataFrame:
+    """Of a reconcile_report the domains that would have lost too many, most missing first; equal ones by name."""
+    return report.where("skipped").orderBy(F.desc("missing"), "domain").select("domain", "missing", "stored").limit(top)
 
 
 def latest_run(sites: DataFrame) -> DataFrame:
@@ -107,9 +129,14 @@ def latest_run(sites: DataFrame) -> DataFrame:
 
 
 def fetch_stats(log: DataFrame) -> DataFrame:
+    """log(status[, rendered, cached]) as counters; flags that a log lacks count 0."""
     c = status_class(F.col("status"))
     n = lambda cond, name: F.count_if(cond).alias(name)
-    return log.agg(F.count("*").alias("requests"), n(c == "ok", "ok"), n(c == "blocked", "blocked"), n(c == "robots", "robots"), n(c == "network", "errors"), n(F.col("status") == 429, "throttled"))
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in log.columns else F.lit(False)
+    return log.agg(
+        F.count("*").alias("requests"), n(c == "ok", "ok"), n(c == "blocked", "blocked"), n(c == "robots", "robots"), n(c == "network", "errors"), n(F.col("status") == 429, "throttled"),
+        n(flag("rendered"), "rendered"), n(flag("cached"), "cache_hits"),
+    )
 
 
 def host_gaps(log: DataFrame, ts: str = "ts", host: str = "host") -> DataFrame:
@@ -121,11 +148,48 @@ def host_gaps(log: DataFrame, ts: str = "ts", host: str = "host") -> DataFrame:
     return log.select(host, gap.alias("gap")).where("gap is not null").groupBy(host).agg(F.count("*").alias("gaps"), F.min("gap").alias("least"), F.avg("gap").alias("mean"))
 
 
+PENALTY = "host string, penalty double, cooldown_until double, responses long"
+
+
+def push_backs(log: DataFrame, host: str, order: str) -> DataFrame:
+    """log -> host, at (order), ts, step (1 a push-back, -1 a success, else 0) and wait (seconds a push-back asks for)."""
+    push = F.col("status").isin(429, 503, *V.BLOCKED_STATUSES)
+    step = F.when(push, 1).when(F.col("status").between(200, 299), -1).otherwise(0)
+    wait = F.when(push & (F.col("retry_after") > 0), F.col("retry_after").cast("double")) if "retry_after" in log.columns else F.lit(None).cast("double")
+    ts = F.col("ts").cast("timestamp").cast("double") if "ts" in log.columns else F.lit(None).cast("double")
+    return log.select(F.col(host).alias("host"), F.col(order).cast("long").alias("at"), ts.alias("ts"), step.alias("step"), wait.alias("wait"))
+
+
+def after(penalty: float, steps, factor: float, cap: float) -> float:
+    for s in steps:
+        if s > 0:
+            penalty = min(penalty * factor, cap)
+        elif s < 0:
+            penalty = max(1.0, penalty / factor**0.5)
+    return penalty
+
+
 def backoff_state(log: DataFrame, factor: float = 2.0, cap: float = 16.0, host: str = "host", seq: str = "seq") -> DataFrame:
     """Delay multiplier of each host after its responses in order: times factor up to cap on push-back, divided by its
-    square root (at least 1) on success. An ordered fold of one host's log, so a list aggregate."""
-    push = F.col("status").isin(429, 503, *V.BLOCKED_STATUSES)
-    ok = F.col("status").between(200, 299)
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.when(push, 1).when(ok, -1).otherwise(0).alias("d")))), lambda x: x["d"])
-    fold = F.aggregate(steps, F.lit(1.0), lambda p, d: F.when(d == 1, F.least(p * factor, F.lit(cap))).when(d == -1, F.greatest(F.lit(1.0), p / (factor**0.5))).otherwise(p))
-    return log.groupBy(host).agg(fold.alias("penalty"), F.count("*").alias("responses"))
+    square root (at least 1) on success; and until when the last push-back that named a wait asks to hold off. Hosts are
+    sorted, not gathered: a task carries one host's state from batch to batch, however long its log is."""
+    import pyarrow as pa
+
+    def run(batches):
+        last, penalty, until, n = None, 1.0, None, 0
+
+        def row():
+            return pa.RecordBatch.from_pydict({"host": [last], "penalty": [penalty], "cooldown_until": pa.array([until], pa.float64()), "responses": [n]})
+
+        for batch in batches:
+            for h, ts, step, wait in zip(*(batch.column(c).to_pylist() for c in ("host", "ts", "step", "wait"))):
+                if h != last and n:
+                    yield row()
+                    penalty, until, n = 1.0, None, 0
+                last, n = h, n + 1
+                penalty = after(penalty, (step,), factor, cap)
+                until = ts + wait if wait and ts is not None else until
+        if n:
+            yield row()
+
+    return push_backs(log, host, seq).repartition("host").sortWithinPartitions("host", "at").mapInArrow(run, PENALTY)

@@ -18,7 +18,7 @@ SQL = {
         FROM {events}""",
     "site_outcomes": """
         SELECT CAST(CAST(ts AS DATE) AS STRING) AS run_id, event_id AS pos, 'host' || CAST(user_id AS STRING) || '.example' AS domain,
-               CASE event_type WHEN 'signup' THEN 'ok' WHEN 'view' THEN 'blocked' WHEN 'click' THEN 'network' WHEN 'purchase' THEN 'no_directory' ELSE 'error' END AS status,
+               CASE event_type WHEN 'signup' THEN CASE WHEN user_id % 10 = 7 THEN 'error' ELSE 'ok' END WHEN 'view' THEN 'blocked' WHEN 'click' THEN 'network' WHEN 'purchase' THEN 'no_directory' ELSE 'error' END AS status,
                CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS detail, 'https://host' || CAST(user_id AS STRING) || '.example/p' || CAST(event_id AS STRING) AS url, event_id % 4 AS people
         FROM {events}""",
     "attempts": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rosterlake.operators import merge as M
@@ -104,8 +106,8 @@ def latest_run_sites(spark, sf_dir):
     return R.latest_run(adapter(spark, sf_dir, "site_outcomes")).select("run_id", "pos", "domain", "status")
 
 
-FAILING = cte("site_outcomes") + """, bad AS (SELECT domain, arg_max(status, (run_id, pos)) AS status FROM site_outcomes WHERE status IN ('blocked', 'network', 'error') AND run_id > '2024-01-25' GROUP BY domain),
-  good AS (SELECT DISTINCT domain FROM site_outcomes WHERE status = 'ok' AND run_id > '2024-01-25')"""
+FAILING = cte("site_outcomes") + """, bad AS (SELECT domain, arg_max(status, (run_id, pos)) AS status FROM site_outcomes WHERE status IN ('blocked', 'network', 'error') GROUP BY domain),
+  good AS (SELECT DISTINCT domain FROM site_outcomes WHERE status = 'ok')"""
 
 
 @register("still_failing_hosts", FAILING + " SELECT domain, status FROM bad WHERE domain NOT IN (SELECT domain FROM good)")
@@ -125,27 +127,97 @@ def retry_allow_list(spark, sf_dir):
     return R.retry_list(s.select("domain", "pos"), s.where("people = 0"))
 
 
-@register("run_summary", cte("site_outcomes") + """, r AS (SELECT status, domain, row_number() OVER (PARTITION BY status ORDER BY pos) AS r FROM site_outcomes WHERE status <> 'ok')
-       SELECT status, count(*) AS n, string_agg(domain, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS examples, greatest(0, count(*) - 3) AS more FROM r GROUP BY status""")
+@register("run_summary", cte("site_outcomes") + """, r AS (SELECT status, domain, detail, row_number() OVER (PARTITION BY status ORDER BY pos) AS r FROM site_outcomes WHERE status <> 'ok')
+       SELECT status, CASE status WHEN 'blocked' THEN 'blocked the bot (HTTP 403/429)' WHEN 'network' THEN 'network failure / timeout' WHEN 'no_directory' THEN 'no staff directory found' ELSE 'unhandled error' END AS label, count(*) AS n,
+       string_agg(domain, ', ' ORDER BY r) FILTER (WHERE r <= 3) AS examples, string_agg(domain || ': ' || substr(detail, 1, 70), chr(10) ORDER BY r) FILTER (WHERE r <= 3) AS lines, greatest(0, count(*) - 3) AS more FROM r GROUP BY status""")
 def run_summary(spark, sf_dir):
     return R.run_summary(adapter(spark, sf_dir, "site_outcomes"))
 
 
+@register("run_counts", cte("site_outcomes") + """ SELECT count(*) AS attempted, count(*) FILTER (WHERE status = 'ok') AS succeeded, count(*) FILTER (WHERE status <> 'ok') AS failed, count(*) FILTER (WHERE status IN ('blocked', 'network', 'error')) AS retryable,
+       CAST(round_even(100.0 * count(*) FILTER (WHERE status = 'ok') / count(*), 0) AS INT) || '%' AS share FROM site_outcomes""")
+def run_counts(spark, sf_dir):
+    return R.run_counts(adapter(spark, sf_dir, "site_outcomes"))
+
+
+@register("skipped_domains", RECONCILED + " SELECT school_domain AS domain, missing, stored FROM judged WHERE skipped ORDER BY missing DESC, school_domain LIMIT 10")
+def skipped_domains(spark, sf_dir):
+    return R.skipped_domains(R.reconcile_report(adapter(spark, sf_dir, "people"), adapter(spark, sf_dir, "rosters")))
+
+
 @register("fetch_stats", cte("attempts") + """ SELECT count(*) AS requests, count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS ok, count(*) FILTER (WHERE status IN (401,403,405,406,429,451)) AS blocked,
-       count(*) FILTER (WHERE status = 999) AS robots, count(*) FILTER (WHERE status = 0) AS errors, count(*) FILTER (WHERE status = 429) AS throttled FROM attempts""")
+       count(*) FILTER (WHERE status = 999) AS robots, count(*) FILTER (WHERE status = 0) AS errors, count(*) FILTER (WHERE status = 429) AS throttled, count(*) FILTER (WHERE seq % 8 = 0) AS rendered, count(*) FILTER (WHERE seq % 10 = 0) AS cache_hits FROM attempts""")
 def fetch_stats(spark, sf_dir):
-    return R.fetch_stats(adapter(spark, sf_dir, "attempts"))
+    return R.fetch_stats(adapter(spark, sf_dir, "attempts").withColumn("rendered", F.col("seq") % 8 == 0).withColumn("cached", F.col("seq") % 10 == 0))
 
 
 @register("host_gaps", cte("attempts") + """, g AS (SELECT domain AS host, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY domain ORDER BY ts, seq) AS gap FROM attempts)
-       SELECT host, count(gap) AS gaps, round(min(gap), 3) AS least FROM g WHERE gap IS NOT NULL GROUP BY host""")
+       SELECT host, count(gap) AS gaps, round(min(gap), 3) AS least, round(avg(gap), 2) AS mean FROM g WHERE gap IS NOT NULL GROUP BY host""")
 def host_gaps(spark, sf_dir):
-    return R.host_gaps(adapter(spark, sf_dir, "attempts").withColumnRenamed("domain", "host")).select("host", "gaps", F.round("least", 3).alias("least"))
+    return R.host_gaps(adapter(spark, sf_dir, "attempts").withColumnRenamed("domain", "host")).select("host", "gaps", F.round("least", 3).alias("least"), F.round("mean", 2).alias("mean"))
+
+
+def _waits(attempts):
+    return attempts.withColumn("retry_after", F.when(F.col("seq") % 3 == 0, F.col("seq") % 50))
+
+
+BACKOFF = cte("attempts") + """, a AS (SELECT domain, seq, ts, status IN (401,403,405,406,429,451,503) AS push, CASE WHEN status IN (401,403,405,406,429,451,503) THEN 1.0 WHEN status BETWEEN 200 AND 299 THEN -1.0 ELSE 0.0 END AS step, CASE WHEN seq % 3 = 0 THEN seq % 50 END AS w FROM attempts)
+  SELECT domain, round(list_reduce(list_prepend(1.0::DOUBLE, list(step::DOUBLE ORDER BY seq)), lambda p, d: CASE WHEN d > 0 THEN least(p * 2, 16) WHEN d < 0 THEN greatest(1, p / sqrt(2)) ELSE p END), 6) AS penalty,
+         round(arg_max(epoch(ts) + w, seq) FILTER (WHERE push AND w > 0), 3) AS cooldown_until, count(*) AS responses FROM a GROUP BY domain"""
+
 
+def _backoff(rows):
+    return rows.select(F.col("host").alias("domain"), F.round("penalty", 6).alias("penalty"), F.round("cooldown_until", 3).alias("cooldown_until"), "responses")
 
-@register("host_backoff_state")
+
+@register("host_backoff_state", BACKOFF)
 def host_backoff_state(spark, sf_dir):
-    return R.backoff_state(adapter(spark, sf_dir, "attempts"), host="domain").select("domain", F.round("penalty", 6).alias("penalty"), "responses")
+    return _backoff(R.backoff_state(_waits(adapter(spark, sf_dir, "attempts")), host="domain"))
+
+
+@register("stream_backoff_state", BACKOFF)
+def stream_backoff_state(spark, sf_dir):
+    """The same of a stream: the last that was said of each host."""
+    from rosterlake.plans.adapters import SQL
+    from rosterlake.streaming import penalty_stream
+    from rosterlake.tables import shared_dir, table
+
+    path = f"{shared_dir(spark)}/backoff-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    log = _waits(spark.sql(SQL["attempts"], events=events))
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    out = penalty_stream(log, host="domain")
+    out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    said = spark.read.schema(out.schema).parquet(path)
+    return _backoff(said.groupBy("host").agg(F.max_by(F.struct("penalty", "cooldown_until", "responses"), "responses").alias("r")).select("host", "r.*"))
+
+
+@register(
+    "stream_reconcile",
+    cte("people", "rosters") + """, met AS (SELECT DISTINCT domain FROM rosters), came AS (SELECT p.key FROM people p JOIN rosters r ON p.school_domain = r.domain AND p.key = r.key),
+  live AS (SELECT p.key, p.school_domain, p.departed AND c.key IS NULL AS gone, c.key IS NULL AND m.domain IS NOT NULL AND NOT p.departed AS missing FROM people p LEFT JOIN came c ON p.key = c.key LEFT JOIN met m ON p.school_domain = m.domain),
+  per AS (SELECT school_domain, count(*) FILTER (WHERE NOT gone) AS stored, count(*) FILTER (WHERE missing) AS missing FROM live GROUP BY 1)
+  SELECT l.key, l.gone OR (l.missing AND NOT (stored >= 5 AND p.missing > 0.5 * stored)) AS departed FROM live l JOIN per p ON l.school_domain = p.school_domain""",
+)
+def stream_reconcile(spark, sf_dir):
+    """People as a store; those on a roster come as a stream, and its batch marks who is missing."""
+    from rosterlake.schemas import PERSON, person
+    from rosterlake.store import Store
+    from rosterlake.streaming import upsert_stream
+    from rosterlake.tables import shared_dir
+
+    path = f"{shared_dir(spark)}/reconcile-{uuid.uuid4().hex}"
+    p = with_lists(adapter(spark, sf_dir, "people")).withColumn("source", F.lit("table"))
+    full = p.select("key", *[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PERSON])
+    store = Store(spark, f"{path}/store", person())
+    store.commit(full)
+    came = full.join(adapter(spark, sf_dir, "rosters").select(F.col("domain").alias("school_domain"), "key"), ["school_domain", "key"], "left_semi").withColumn("seq", F.lit(1))
+    came.write.parquet(f"{path}/in")
+    # one run is one batch, whatever files it came in
+    rows = spark.readStream.schema(came.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{path}/in")
+    rosters = lambda df: df.select(F.col("school_domain").alias("domain"), "key")
+    upsert_stream(rows, store, f"{path}/state", rosters=rosters, now="2026-01-01T00:00:00Z").awaitTermination()
+    return store.read().select("key", F.coalesce("departed", F.lit(False)).alias("departed"))
 
 
 @register("shared_address_flag", cte("people") + """, each AS (SELECT school_domain, key, unnest(list_filter([email, email2], lambda x: x IS NOT NULL)) AS e FROM people), wide AS (SELECT school_domain, e, count(DISTINCT key) AS n FROM each GROUP BY ALL),
@@ -170,10 +242,10 @@ def cache_ttl(spark, sf_dir):
 
 @register("cache_purge", cte("attempts") + """, m AS (SELECT max(epoch(ts)) AS now FROM attempts) SELECT count(*) FILTER (WHERE now - epoch(ts) > 604800) AS expired, count(*) FILTER (WHERE now - epoch(ts) <= 604800) AS live FROM attempts, m""")
 def cache_purge(spark, sf_dir):
+    from rosterlake.sources.files import purge_counts
+
     a = adapter(spark, sf_dir, "attempts").select(F.col("ts").cast("timestamp").cast("double").alias("fetched_at"))
-    a = a.join(F.broadcast(a.agg(F.max("fetched_at").alias("now"))))
-    old = F.col("now") - F.col("fetched_at") > 604800
-    return a.agg(F.count_if(old).alias("expired"), F.count_if(~old).alias("live"))
+    return purge_counts(a, a.agg(F.max("fetched_at").alias("now")).first()["now"] or 0.0)
 
 
 @register("forward_fill_sections", """ WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents),

@@ -84,24 +84,49 @@ def fuzzy_top1_match(spark, sf_dir):
     return _fuzzy(spark, sf_dir).select("pos", "target", "cid", "candidate", F.round("score", 6).alias("score"))
 
 
-@register("enrichment_overlay")
+@register("import_listings", MATCHED + """, c AS (SELECT 'conflicting' AS verdict, pos, school, own AS current, host AS offered FROM m WHERE verdict = 'conflicting' ORDER BY pos, school LIMIT 10),
+       u AS (SELECT 'unmatched' AS verdict, pos, school, NULL AS current, NULL AS offered FROM m WHERE verdict = 'unmatched' ORDER BY pos LIMIT 5) SELECT * FROM c UNION ALL SELECT * FROM u""")
+def import_listings(spark, sf_dir):
+    i = adapter(spark, sf_dir, "institutions")
+    return L.import_listings(L.import_match(adapter(spark, sf_dir, "sheet"), i), i)
+
+
+@register("import_updates", MATCHED + " SELECT i.key, i.school, i.state, arg_min(m.host, (m.pos, m.host)) AS athletics_domain FROM m JOIN institutions i ON m.key = i.key WHERE verdict = 'filled' GROUP BY ALL")
+def import_updates(spark, sf_dir):
+    i = adapter(spark, sf_dir, "institutions")
+    return L.update_records(L.import_match(adapter(spark, sf_dir, "sheet"), i), i)
+
+
+@register(
+    "enrichment_overlay",
+    cte("sheet") + """, x AS (SELECT pos, pos % 3 <> 0 AS hit, pos % 5 AS k, CASE WHEN pos % 2 = 0 THEN 'NJCAA' ELSE 'NAIA' END AS association, link FROM sheet)
+       SELECT pos, CASE WHEN hit AND k > 0 THEN 'City ' || k ELSE 'Home' END AS city, CASE WHEN hit THEN CASE WHEN k = 1 THEN 'Texas' WHEN k = 2 THEN 'Ontario' ELSE 'Utah' END ELSE 'Utah' END AS state,
+       CASE WHEN NOT hit THEN 'old' WHEN k = 1 THEN 'South (West South Central)' WHEN k = 2 THEN 'Canada' END AS region, CASE WHEN hit AND k < 3 THEN 'www.match.example' ELSE link END AS website, association,
+       CASE WHEN hit THEN '$' || k END AS cost, CASE WHEN hit AND k = 4 THEN 'SATMath=500-600' ELSE '' END AS scores, CASE WHEN hit THEN CASE k WHEN 1 THEN 'Public' WHEN 2 THEN 'Private (not-for-profit)' WHEN 3 THEN 'Private (for-profit)' ELSE 'Private (not-for-profit)' END END AS kind,
+       CASE WHEN NOT hit THEN 'no College Scorecard match — academics and cost unfilled' WHEN k = 4 THEN '' WHEN association = 'NJCAA' THEN 'no admissions test scores — open-admission two-year college' ELSE 'no test scores published (test-optional reporting)' END AS notes FROM x""",
+)
 def enrichment_overlay(spark, sf_dir):
-    """Sheet rows as members, overlaid with what a fuzzily matched institution says."""
-    s = adapter(spark, sf_dir, "sheet").select("pos", F.col("school").alias("name"), F.lit(None).cast("string").alias("city"), S.state_code(F.col("state")).alias("state"), F.col("link").alias("website"), F.lit("NCAA").alias("association"))
-    i = adapter(spark, sf_dir, "institutions").select(F.substring("key", 2, 2).cast("int").alias("cid"), F.col("school").alias("name"), S.state_code(F.col("state")).alias("state"), F.col("website").alias("w"), F.col("totalYearlyCost").alias("c"))
-    best = L.fuzzy_top1(s, i.select("cid", "name", "state"))
-    m = best.join(i.select("cid", F.col("state").alias("st"), "w", "c"), "cid").select("pos", F.lit(None).cast("string").alias("city"), F.col("st").alias("state"), F.col("w").alias("website"), F.col("c").alias("cost"))
-    return L.enrich(s, m)
+    """Sheet rows as members, two thirds of which have a match that fills some of its fields."""
+    s = adapter(spark, sf_dir, "sheet").withColumn("k", F.col("pos") % 5)
+    lit = F.lit
+    members = s.select("pos", lit("Home").alias("city"), lit("Utah").alias("state"), lit("old").alias("region"), F.col("link").alias("website"), F.when(F.col("pos") % 2 == 0, "NJCAA").otherwise("NAIA").alias("association"), lit("Y").alias("private"))
+    found = s.where("pos % 3 <> 0").select(
+        "pos", F.when(F.col("k") > 0, F.concat(lit(" City "), F.col("k").cast("string"))).otherwise(" ").alias("city"), F.when(F.col("k") == 1, "TX").when(F.col("k") == 2, "ON").alias("state"),
+        F.when(F.col("k") < 3, " www.match.example ").alias("website"), F.concat(lit("$"), F.col("k").cast("string")).alias("cost"), F.when(F.col("k") == 4, F.create_map(lit("SATMath"), lit("500-600"))).alias("scores"),
+        F.when(F.col("k").between(1, 3), F.col("k")).alias("ownership"),
+    )
+    out = L.enrich(members, found)
+    return out.select("pos", "city", "state", "region", "website", "association", F.col("totalYearlyCost").alias("cost"), Q.cell(F.col("academicData"), "map<string,string>").alias("scores"), F.col("privatePublic").alias("kind"), F.array_join("notes", "; ").alias("notes"))
 
 
 @register(
     "source_url_backfill",
     cte("people", "site_outcomes") + f""", book AS (SELECT {NORM.format('school')} AS n, CASE WHEN count(DISTINCT url) = 1 THEN min(url) END AS book FROM (SELECT school, 'https://book.example/' || (id % 40) AS url FROM people WHERE id % 17 = 0) GROUP BY 1),
        runs AS (SELECT domain, arg_max(url, run_id) AS u FROM (SELECT 'germany.example' AS domain, run_id, min(url) AS url FROM site_outcomes WHERE people > 0 GROUP BY run_id) GROUP BY domain)
-       SELECT p.key, coalesce(CASE WHEN p.sport = 'Golf' THEN NULL END, r.u, b.book) AS source_url FROM people p LEFT JOIN book b ON {NORM.format('p.school')} = b.n LEFT JOIN runs r ON p.school_domain = r.domain""",
+       SELECT p.key, coalesce(CASE WHEN p.sport = 'Basketball' THEN b.book END, r.u, b.book) AS source_url FROM people p LEFT JOIN book b ON {NORM.format('p.school')} = b.n LEFT JOIN runs r ON p.school_domain = r.domain""",
 )
 def source_url_backfill(spark, sf_dir):
-    p = adapter(spark, sf_dir, "people")
+    p = adapter(spark, sf_dir, "people").withColumn("sport", F.when(F.col("sport") == "Basketball", "Men's Basketball").otherwise(F.col("sport")))
     book = p.where("id % 17 = 0").select("school", F.concat(F.lit("https://book.example/"), (F.col("id") % 40).cast("string")).alias("url"))
     runs = adapter(spark, sf_dir, "site_outcomes").where("people > 0").groupBy("run_id").agg(F.min("url").alias("url"), F.max("people").alias("people")).withColumn("domain", F.lit("germany.example"))
     return L.source_urls(p, book, runs)
@@ -185,9 +210,9 @@ def state_filter(spark, sf_dir):
     return adapter(spark, sf_dir, "institutions").where(Q.state_in(F.col("state"), ["California", "ny"], unknown_too=True)).select("key")
 
 
-@register("name_filter", "SELECT n_nationkey FROM nation WHERE lower(n_name) LIKE '%an%' OR lower(n_name) LIKE '%ia%'")
+@register("name_filter", "SELECT c_custkey FROM customer WHERE lower(c_name) LIKE '%er#1%' OR lower(c_name) LIKE '%77%'")
 def name_filter(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where(Q.name_contains(F.col("n_name"), ["an", "IA"])).select("n_nationkey")
+    return table(spark, sf_dir, "customer").where(Q.name_contains(F.col("c_name"), ["ER#1", "77"])).select("c_custkey")
 
 
 @register("company_stats", cte("companies") + " SELECT count(*) AS companies, count(email) AS with_email, count(phone) AS with_phone, count(linkedin) AS with_linkedin, count(*) FILTER (WHERE has_open_roles) AS hiring FROM companies")
@@ -292,16 +317,22 @@ def batch_seeds(spark, sf_dir):
     return Q.batches(table(spark, sf_dir, "pages").select("page_id"), "page_id", 40)
 
 
-@register("union_of_sources", "SELECT src, count(*) AS n FROM (SELECT 'p' AS src, c_custkey AS id FROM customer UNION ALL SELECT 's', s_suppkey FROM supplier) GROUP BY src")
+@register("union_of_sources", "SELECT domain, min(CASE WHEN src = 'p' THEN page_id END) AS pos FROM (SELECT 'p' AS src, page_id, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#]*)', 1), '^www\\.', '') AS domain FROM pages UNION ALL SELECT 's', NULL, 'only.example') GROUP BY domain")
 def union_of_sources(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.lit("p").alias("src"), F.col("c_custkey").alias("id"))
-    return a.unionByName(table(spark, sf_dir, "supplier").select(F.lit("s").alias("src"), F.col("s_suppkey").alias("id"))).groupBy("src").agg(F.count("*").alias("n"))
+    """Seeds given directly and seeds of a list, united: each host once."""
+    from rosterlake.sources import files
 
+    listed = files.domains_of(table(spark, sf_dir, "pages"), F.col("url"), F.col("page_id"))
+    given = files.read_seeds(spark, first=["https://www.only.example/x"]).select("domain", F.lit(None).cast("long").alias("pos"))
+    return listed.unionByName(given).groupBy("domain").agg(F.min("pos").alias("pos"))
 
-@register("set_difference", "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+
+@register("set_difference", cte("people", "rosters") + " SELECT p.key FROM people p WHERE NOT departed AND EXISTS (SELECT 1 FROM rosters r WHERE r.domain = p.school_domain) AND NOT EXISTS (SELECT 1 FROM rosters r WHERE r.domain = p.school_domain AND r.key = p.key)")
 def set_difference(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer").select("c_nationkey"), table(spark, sf_dir, "supplier").select("s_nationkey")
-    return c.intersect(s).subtract(table(spark, sf_dir, "nation").where("n_regionkey = 0").select("n_nationkey"))
+    """Live people whom the roster of their own school doesn't list."""
+    from rosterlake.operators import reconcile as R
+
+    return R.missing(adapter(spark, sf_dir, "people"), adapter(spark, sf_dir, "rosters")).select("key")
 
 
 @register("taxonomy_report", "WITH x AS (SELECT 1)" + SAID + ", n AS (SELECT label, count(*) AS n, regexp_replace(label, '^(Men''s|Women''s) ', '') AS base FROM said GROUP BY label) SELECT base, label, sum(n) AS n FROM n GROUP BY ROLLUP (base, label) HAVING base IS NOT NULL")

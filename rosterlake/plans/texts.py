@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from rosterlake.functions import people as P
 from rosterlake.functions import schools as S
 from rosterlake.functions import text as X
+from rosterlake.functions import vocabulary as V
 from rosterlake.functions import web as W
 from rosterlake.operators import html as H
 from rosterlake.plans.adapters import adapter, cte
 from rosterlake.plans.catalog import register
+from rosterlake.plans.reading import HOSTS
 from rosterlake.schemas import person
 from rosterlake.sources import files, members
 from rosterlake.tables import materialise, table
@@ -57,13 +59,15 @@ def phone_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(W.phones_in(text), "; ").alias("phones"))
 
 
-EMAILS = """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS e, unnest(generate_series(1, len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')))) AS i FROM documents),
+EMAILS = """WITH posted AS (SELECT doc_id, coalesce(text, '') || ' Mail U' || (doc_id % 50) || '@Desk.test or logo@2x.png' AS text FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS e, unnest(generate_series(1, len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')))) AS i FROM posted),
   ok AS (SELECT doc_id, lower(e) AS e, min(i) AS i FROM m WHERE NOT regexp_matches(e, '(?i)(example\\.(com|org)|sentry\\.io|wixpress|godaddy|@2x|\\.(png|jpe?g|gif|webp|svg|css|js)$)') GROUP BY ALL)"""
 
 
 @register("email_extract", EMAILS + " SELECT doc_id, string_agg(e, '; ' ORDER BY i) AS emails FROM ok GROUP BY doc_id")
 def email_extract(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", W.emails_in(F.col("text")).alias("e")).where(F.size("e") > 0)
+    """Addresses of whole texts, each text given two at its end (one of them of no use)."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Mail U"), (F.col("doc_id") % 50).cast("string"), F.lit("@Desk.test or logo@2x.png"))
+    d = table(spark, sf_dir, "documents").select("doc_id", W.emails_in(text).alias("e")).where(F.size("e") > 0)
     return d.select("doc_id", F.array_join("e", "; ").alias("emails"))
 
 
@@ -73,16 +77,23 @@ def email_rank(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(W.ranked_emails(F.array_compact(found), F.lit("www.acme.test")), "; ").alias("emails"))
 
 
-@register("industry_hints", """SELECT doc_id, array_to_string(list_filter([CASE WHEN t LIKE '%school%' OR t LIKE '%training%' OR t LIKE '%rto%' OR t LIKE '%education%' OR t LIKE '%academy%' THEN 'education' END,
-  CASE WHEN t LIKE '%mining%' OR t LIKE '%drilling%' OR t LIKE '%fifo%' OR t LIKE '%resources sector%' THEN 'mining' END], lambda x: x IS NOT NULL), '; ') AS hints FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def _any(words) -> str:
+    return " OR ".join(f"t LIKE '%{w}%'" for w in (x.replace("'", "''") for x in words))
+
+
+HINTS = ", ".join(f"CASE WHEN {_any(words)} THEN '{name}' END" for name, words in V.INDUSTRIES.items())
+
+
+@register("industry_hints", f"SELECT doc_id, array_to_string(list_filter([{HINTS}], lambda x: x IS NOT NULL)[1:5], '; ') AS hints FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def industry_hints(spark, sf_dir):
-    got = W.industry_hints(F.col("text"), 12)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(got, lambda h: h.isin("education", "mining")), "; ").alias("hints"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(W.industry_hints(F.col("text")), "; ").alias("hints"))
 
 
-@register("open_role_markers", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"lower(text) LIKE '%{m}%'" for m in ("apply now", "current vacancies", "current openings", "open positions", "we''re hiring", "we are hiring", "join our team", "view job")))
+@register("open_role_markers", f"SELECT doc_id FROM (SELECT doc_id, lower(text || CASE WHEN doc_id % 9 = 0 THEN ' We''re Hiring!' ELSE '' END) AS t FROM documents) WHERE {_any(V.OPEN_ROLE_MARKERS)}")
 def open_role_markers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(W.has_open_roles(F.col("text"))).select("doc_id")
+    """Texts that offer work; every ninth is given a line that does."""
+    text = F.concat("text", F.when(F.col("doc_id") % 9 == 0, " We're Hiring!").otherwise(""))
+    return table(spark, sf_dir, "documents").where(W.has_open_roles(text)).select("doc_id")
 
 
 @register("directory_gate", "SELECT page_id, len(string_split(lower(html), '<tr')) - 1 >= 2 AND contains(lower(html), 'staff directory') OR len(string_split(lower(html), 'mailto:')) - 1 >= 2 OR len(string_split(lower(html), 's-person-card')) - 1 >= 2 OR len(list_distinct(regexp_extract_all(lower(html), '/staff-directory/[a-z0-9-]+/\\d+'))) >= 2 AS gate FROM pages")
@@ -191,18 +202,19 @@ def percents(spark, sf_dir):
 
 @register("member_lines", "SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN 'University of ' || n_name ELSE s_name END AS school, 'KS' AS state, CASE WHEN s_suppkey % 3 = 0 THEN 'Great Plains Athletic Conference' ELSE 'Other' END AS conference FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 1 OR s_suppkey = (SELECT min(s2.s_suppkey) FROM supplier s2 WHERE s2.s_nationkey = supplier.s_nationkey AND s2.s_suppkey % 2 = 0)")
 def member_lines(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation").limit(1000)), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     name = F.when(F.col("s_suppkey") % 2 == 0, F.concat("n_name", F.lit(", University of"))).otherwise(F.col("s_name"))
     line = F.concat(name, F.lit("* – KS  "), F.when(F.col("s_suppkey") % 3 == 0, "GPAC").otherwise("Other"))
     return members.member_lines(s.select(F.col("s_suppkey").alias("pos"), line.alias("value")))
 
 
-@register("wiki_members", "SELECT n_nationkey * 2 + 1 AS pos, n_name || ' College' AS school, 'Town' AS city, 'TX' AS state, TRUE AS linked, 'NJCAA' AS division FROM nation")
+@register("wiki_members", "SELECT n_nationkey * 2 + 1 AS pos, n_name || ' College' AS school, 'Town' AS city, CASE WHEN n_nationkey % 2 = 0 THEN 'TX' ELSE 'OH' END AS state, TRUE AS linked, 'NJCAA' AS division FROM nation")
 def wiki_members(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    head = n.select((F.col("n_nationkey") * 2).alias("pos"), F.lit("=== Texas ===").alias("value"))
-    rows = n.select((F.col("n_nationkey") * 2 + 1).alias("pos"), F.concat(F.lit("*[["), "n_name", F.lit(" College#x]] Bears in [[Town, Texas|Town]]")).alias("value"))
-    return members.wiki_members(head.union(rows), "NJCAA DII")
+    article = F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b").alias("file")
+    head = n.select(article, (F.col("n_nationkey") * 2).alias("pos"), F.when(F.col("n_nationkey") % 2 == 0, "=== Texas ===").otherwise("=== Ohio ===").alias("value"))
+    rows = n.select(article, (F.col("n_nationkey") * 2 + 1).alias("pos"), F.concat(F.lit("*[["), "n_name", F.lit(" College#x]] Bears in [[Town, Texas|Town]]")).alias("value"))
+    return members.wiki_members(head.union(rows), "NJCAA DII", "file")
 
 
 @register("page_title", "SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages")
@@ -280,29 +292,99 @@ def staff_rows(spark, sf_dir):
     return out.select("school_domain", "name", "title", "sport", "department", F.array_join("emails", "; ").alias("emails"), "is_coach")
 
 
-@register("salvaged_coaches")
+# a page has a row a person, one a sport and the header; with five rows under a staff title it passes the gate
+GATED = ", gated AS (SELECT school_domain FROM people GROUP BY school_domain HAVING count(*) + count(DISTINCT coalesce(sport, '-')) + 1 >= 5)"
+LISTED = """, listed AS (SELECT p.*, CASE WHEN name LIKE 'Doe %' THEN 'Ann Doe ' || id ELSE name END AS shown, title IN ('Head Coach', 'assistant coaches') AS coach, coalesce(sport, '') <> '' AS sporty
+  FROM people p JOIN gated g ON p.school_domain = g.school_domain WHERE name NOT IN ('TBA', '---'))"""
+
+
+@register("salvaged_coaches", cte("people") + GATED + LISTED + " SELECT school_domain, shown AS name, title, NULL AS sport, 0 AS notes FROM listed WHERE coach")
 def salvaged_coaches(spark, sf_dir):
     out = H.coaches_only(H.staff_rows(_staff_pages(spark, sf_dir), person()))
-    return out.select("school_domain", "name", "title", "sport")
+    return out.select("school_domain", "name", "title", "sport", F.size("notes").alias("notes"))
+
+
+CHOSEN = """, per AS (SELECT school_domain AS domain, count(*) AS n, count(*) FILTER (WHERE sporty) / count(*) >= 0.1 AS athletics, count(email) AS mails, count(*) FILTER (WHERE coach) AS coaches, count(email) FILTER (WHERE coach) AS coach_mails FROM listed GROUP BY 1)"""
+
+
+@register("page_candidates", cte("people", "institutions") + GATED + LISTED + CHOSEN + HOSTS + """, names AS (SELECT host, arg_min(school, (key, r)) AS s FROM hosts WHERE host <> '' GROUP BY host)
+  SELECT p.domain, n.s AS school, athletics, n AS people, mails AS with_email, coaches FROM per p LEFT JOIN names n ON p.domain = n.host""")
+def page_candidates(spark, sf_dir):
+    """Directory pages judged: the school, whether it is an athletics directory, its people."""
+    from rosterlake.operators import sites
+
+    _, pages = sites.candidates(_staff_pages(spark, sf_dir), person(), adapter(spark, sf_dir, "institutions"))
+    return pages.select("domain", "school", "athletics", "people", "with_email", "coaches")
+
+
+@register("site_outcomes_of_pages", cte("people") + GATED + LISTED + CHOSEN + """, seeds AS (SELECT DISTINCT school_domain AS domain FROM people UNION ALL SELECT 'nowhere.example' UNION ALL SELECT 'refused.example')
+  SELECT s.domain, CASE WHEN athletics OR coaches > 0 THEN 'ok' WHEN g.school_domain IS NOT NULL THEN 'empty' WHEN s.domain = 'refused.example' THEN 'blocked' ELSE 'network' END AS status,
+         CASE WHEN athletics THEN mails || ' with an email address (athletics directory)' WHEN coaches > 0 THEN coach_mails || ' with an email address (general directory, coaches only)' WHEN g.school_domain IS NOT NULL THEN 'page fetched but no staff rows recognised'
+              WHEN s.domain = 'refused.example' THEN 'server refused automated requests (HTTP 403)' ELSE 'no requests completed' END AS detail,
+         CASE WHEN athletics THEN n WHEN coaches > 0 THEN coaches ELSE 0 END AS people,
+         CASE WHEN athletics OR coaches > 0 OR g.school_domain IS NOT NULL THEN 'https://' || s.domain || '/staff' WHEN s.domain = 'refused.example' THEN 'https://refused.example/' END AS url
+  FROM seeds s LEFT JOIN per p ON s.domain = p.domain LEFT JOIN gated g ON s.domain = g.school_domain""")
+def site_outcomes_of_pages(spark, sf_dir):
+    """Every school's site, one that nothing was fetched from and one that refused: the outcome of each."""
+    from rosterlake.operators import sites
+
+    pages = _staff_pages(spark, sf_dir)
+    seeds = pages.select(W.normalize_domain(F.col("url")).alias("domain")).union(spark.createDataFrame([("nowhere.example",), ("refused.example",)], "domain string"))
+    attempts = spark.createDataFrame([("refused.example", 1, "https://refused.example/", 403, "", "")], "domain string, seq int, url string, status int, body string, error string")
+    _, out = sites.site_people(seeds, pages, attempts, person(), adapter(spark, sf_dir, "institutions"))
+    return out.select("domain", "status", "detail", "people", "url")
+
+
+@register("sport_pages", cte("people") + """, listed AS (SELECT *, title IN ('Head Coach', 'assistant coaches') AS coach FROM people WHERE sport <> '' AND name NOT IN ('TBA', '---')), page AS (SELECT school_domain, sport, min(id) AS pid FROM people WHERE sport <> '' GROUP BY ALL)
+  SELECT l.school_domain AS domain, min(pid) AS page_id, TRUE AS athletics, count(*) AS people, count(email) AS with_email, count(*) FILTER (WHERE coach) AS coaches FROM listed l JOIN page p ON l.school_domain = p.school_domain AND l.sport = p.sport GROUP BY l.school_domain""")
+def sport_pages(spark, sf_dir):
+    """A page for each sport of a school, as one candidate."""
+    from rosterlake.operators import sites
+
+    p = adapter(spark, sf_dir, "people").where("sport <> ''")
+    row = F.concat(F.lit("<tr><td>"), "name", F.lit("<td>"), "title", F.lit("</td><td><a href='mailto:"), F.coalesce("email", F.lit("")), F.lit("'>Email</a></td></tr>"))
+    rows = p.groupBy("school_domain", "sport").agg(F.min("id").alias("page_id"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("r")))), lambda x: x["r"]), "").alias("body"))
+    html = F.concat(F.lit("<html><title>Staff Directory</title><table><caption>"), "sport", F.lit("</caption><tr><th>Name</th><th>Title</th><th>Email</th></tr>"), "body", F.lit("</table>"))
+    pages = rows.select("page_id", F.concat(F.lit("https://"), "school_domain", F.lit("/sports/"), F.lower("sport"), F.lit("/coaches")).alias("url"), html.alias("html"))
+    _, out = sites.sport_candidate(pages, person())
+    return out.select("domain", "page_id", "athletics", "people", "with_email", "coaches")
+
+
+def _repaired(spark, sf_dir):
+    from rosterlake.plans.lifecycle import with_lists
+
+    return with_lists(adapter(spark, sf_dir, "people")).withColumn("title", F.concat("title", F.lit(" | Phone"))).withColumn("source_url", F.lit(None).cast("string"))
 
 
 @register("repair_pipeline")
 def repair_pipeline(spark, sf_dir):
     """The repairs one after another; how many rows each changes."""
     from rosterlake import repairs as R
-    from rosterlake.plans.lifecycle import with_lists
 
-    p = with_lists(adapter(spark, sf_dir, "people")).withColumn("title", F.concat("title", F.lit(" | Phone"))).withColumn("source_url", F.lit(None).cast("string"))
-    steps = [("titles", R.titles), ("phones", R.phones), ("departments", R.departments), ("sports", R.sports), ("phantoms", R.drop_phantoms), ("placeholders", R.drop_placeholders)]
-    out, cols = None, ["name", "title", "sport", "department", "emails", "phones"]
+    p = _repaired(spark, sf_dir)
+    schools, books, runs = adapter(spark, sf_dir, "institutions"), p.select("school", F.concat(F.lit("https://book.example/"), F.lower("school")).alias("url")).distinct(), adapter(spark, sf_dir, "site_outcomes").select("run_id", "domain", "url", "people")
+    cols = ["name", "school", "title", "sport", "department", "emails", "phones", "source_url"]
+    steps = [
+        ("titles", R.titles), ("phones", R.phones), ("departments", R.departments), ("sports", R.sports), ("phantoms", R.drop_phantoms), ("placeholders", R.drop_placeholders),
+        ("school names", lambda x: R.school_names(x, schools)), ("source urls", lambda x: R.source_urls(x, books, runs)),
+    ]
+    out = None
     for name, f in steps:
-        after = materialise(f(p).select("key", "school_domain", "school", "departed", "is_coach", *cols), "repair")
+        after = materialise(f(p).select("key", "school_domain", "departed", "is_coach", *cols), "repair")
         line = R.changed(p, after, cols).select(F.lit(name).alias("repair"), "changed", "dropped", "added")
         out = line if out is None else out.union(line)
         p = after
     return out
 
 
+@register("affected_domains", cte("people") + " SELECT school_domain, count(*) AS rows FROM people WHERE name IN ('TBA', '---') GROUP BY school_domain ORDER BY rows DESC, school_domain LIMIT 10")
+def affected_domains(spark, sf_dir):
+    from rosterlake import repairs as R
+
+    p = _repaired(spark, sf_dir)
+    return R.affected_domains(p, R.drop_placeholders(p), ["name"])
+
+
 def _streamed(spark, sf_dir, build, mode="append"):
     """build over the events as a stream, run to its end into a table."""
     import uuid

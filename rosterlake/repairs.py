@@ -74,3 +74,10 @@ def changed(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
     j = h(before, "a").join(h(after, "b"), "key", "full_outer")
     n = lambda cond, name: F.count_if(cond).alias(name)
     return j.agg(n(F.col("a") != F.col("b"), "changed"), n(F.col("b").isNull(), "dropped"), n(F.col("a").isNull(), "added"))
+
+
+def affected_domains(before: DataFrame, after: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
+    """The domains with most rows changed or dropped by a repair; equal ones by name."""
+    a = before.select("key", "school_domain", F.xxhash64(*columns).alias("a"))
+    j = a.join(after.select("key", F.xxhash64(*columns).alias("b")), "key", "left").where(~F.col("a").eqNullSafe(F.col("b")))
+    return j.groupBy("school_domain").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "school_domain").limit(top)

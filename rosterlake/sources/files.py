@@ -145,6 +145,25 @@ def live_cache(entries: DataFrame, now: float, ttl: float = 604_800) -> DataFram
     return ok.groupBy("url").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "url"]), "fetched_at").alias("r")).select("url", "r.*")
 
 
+def cache_write(responses: DataFrame, path: str) -> None:
+    """Responses that may be kept, the last of each URL, by the first two digits of the URL's hash."""
+    from rosterlake.operators.queries import cache_path
+
+    ok = responses.where(F.col("status").isin(*V.CACHEABLE))
+    last = ok.groupBy("url").agg(F.max_by(F.struct(*[c for c in responses.columns if c != "url"]), "fetched_at").alias("r")).select("url", "r.*")
+    last.withColumn("bucket", F.substring(cache_path(F.col("url")), 1, 2)).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def purge(entries: DataFrame, now: float, ttl: float = 604_800) -> DataFrame:
+    """Entries without those past their time; entries that can't be read (no URL or time) go too."""
+    return entries.where(F.col("url").isNotNull() & (F.lit(now) - F.col("fetched_at") <= ttl))
+
+
+def purge_counts(entries: DataFrame, now: float, ttl: float = 604_800) -> DataFrame:
+    old = F.lit(now) - F.col("fetched_at") > ttl
+    return entries.agg(F.count_if(old).alias("expired"), F.count_if(~old).alias("live"))
+
+
 def cache_counters(asked: DataFrame, entries: DataFrame, now: float, ttl: float = 604_800) -> DataFrame:
     hit = asked.join(live_cache(entries, now, ttl).select("url").withColumn("_h", F.lit(1)), "url", "left")
     return hit.agg(F.count_if(F.col("_h").isNotNull()).alias("hits"), F.count_if(F.col("_h").isNull()).alias("misses"))

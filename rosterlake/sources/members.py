@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,8 @@ def stated_total(lines: DataFrame, pattern: str = V.MEMBER_TOTAL) -> DataFrame:
     return lines.select(F.regexp_extract("value", pattern, 1).alias("n")).where("n <> ''").agg(F.max(F.col("n").cast("int")).alias("stated"))
 
 
-def wiki_members(lines: DataFrame, division: str, by: str | None = None) -> DataFrame:
-    """lines(pos, value[, by]) of an article -> pos, school, city, state: linked bullets under state headings, the first
+def wiki_members(lines: DataFrame, division: str, by: str) -> DataFrame:
+    """lines(by, pos, value), by naming the article -> pos, school, city, state: linked bullets under state headings, the first
     of a name and state. linked is False for bullets without a link, whose name can't be told from the nickname."""
     t = strip(F.col("value"))
     rows = lines.withColumn("line", t).withColumn("state", null_blank(F.trim(F.regexp_extract(t, V.WIKI_HEADING, 1))))
@@ -68,7 +69,9 @@ def wiki_members(lines: DataFrame, division: str, by: str | None = None) -> Data
 
 
 def line_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    """Lines of text files with the file each is from; a file of one article or list, so it is split in one task."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
 
 
 @source("member_text")
@@ -78,7 +81,16 @@ def read_member_text(spark: SparkSession, path: str) -> DataFrame:
 
 @source("wiki_text")
 def read_wiki(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Articles by division, united in the order given."""
-    return reduce(DataFrame.unionByName, [wiki_members(line_table(spark, p), d) for d, p in paths.items()])
+    """Articles by division, united in the order given; one that isn't there is skipped with a warning."""
+    found = []
+    for d, p in paths.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found.append(wiki_members(line_table(spark, p), d, "file"))
+        else:
+            logging.getLogger(__name__).warning("no article at %s", p)
+    if not found:
+        raise FileNotFoundError(", ".join(paths.values()))
+    return reduce(DataFrame.unionByName, found)
 
 

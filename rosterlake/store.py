@@ -6,12 +6,16 @@ replaced through Hadoop's FileContext rename with overwrite, which is atomic on
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.operators.merge import change_log, merge
+from rosterlake.operators.reconcile import reconcile
 from rosterlake.schemas import EntitySpec
 
 
@@ -38,27 +42,67 @@ class Store:
             return self.spark.createDataFrame([], self.spec.schema).withColumn("key", F.lit(None).cast("string"))
         return self.spark.read.parquet(f"{self.root}/v={v}")
 
+    def _put(self, path, text: str, overwrite: bool) -> None:
+        out = self._fs.create(path, overwrite)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _holder(self, path) -> tuple[str, float]:
+        """Who holds a lock, and until when (0 if it can't be read)."""
+        try:
+            owner, until = self.spark.read.text(path.toString()).first()["value"].split()
+            return owner, float(until)
+        except Exception:
+            return "", 0.0
+
     @contextmanager
-    def lock(self):
-        """One writer at a time, by a file that only one can create."""
-        p = self._path(f"{self.root}/LOCK")
+    def lock(self, lease: float = 120.0):
+        """One writer at a time, by a file that only one can create. It names its owner and until when it holds, and is renewed
+        while its writer lives; so that of a killed writer runs out, and is then taken over."""
+        p, me = self._path(f"{self.root}/LOCK"), uuid.uuid4().hex
+        busy = StoreBusy(f"{self.root} is being written")
+        said = lambda: f"{me} {time.time() + lease}"
         try:
-            self._fs.create(p, False).close()
+            self._put(p, said(), False)
         except Exception as e:
-            raise StoreBusy(f"{self.root} is being written") from e
+            owner, until = self._holder(p)
+            if time.time() < until or not self._fs.exists(p):
+                raise busy from e
+            # of several that see it run out, one moves it away; who moves a newer one puts that back
+            stale = self._path(f"{self.root}/LOCK.{me}")
+            if not self._fs.rename(p, stale):
+                raise busy from e
+            if self._holder(stale)[0] != owner:
+                self._fs.rename(stale, p)
+                raise busy from e
+            self._fs.delete(stale, False)
+            try:
+                self._put(p, said(), False)
+            except Exception as again:
+                raise busy from again
+        done = threading.Event()
+
+        def renew():
+            while not done.wait(lease / 3):
+                self._put(p, said(), True)
+
+        threading.Thread(target=renew, daemon=True).start()
         try:
             yield
         finally:
+            done.set()
             self._fs.delete(p, False)
 
     def commit(self, rows: DataFrame) -> int:
         """rows with key become the next version."""
+        with self.lock():
+            return self._commit(rows)
+
+    def _commit(self, rows: DataFrame) -> int:
         v = self.version() + 1
         rows.write.mode("overwrite").parquet(f"{self.root}/v={v}")
         tmp, cur = self._path(f"{self.root}/CURRENT.{v}"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
+        self._put(tmp, str(v), True)
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         option = jvm.org.apache.hadoop.fs.Options.Rename
@@ -67,18 +111,35 @@ class Store:
         context.rename(tmp, cur, flags)
         return v
 
-    def upsert(self, incoming: DataFrame, seq: str = "seq", dry_run: bool = False) -> DataFrame:
-        """incoming with a sequence (from 1) folds onto the stored rows (sequence 0). Returns the change log."""
+    def describe(self, updated_at: str) -> DataFrame:
+        """The current version as one document: when it was updated, how many rows it has."""
+        return self.read().agg(F.count("*").alias("count")).select(F.lit(updated_at).alias("updated_at"), "count")
+
+    def upsert(self, incoming: DataFrame, seq: str = "seq", dry_run: bool = False, rosters: DataFrame | None = None, now: str | None = None, max_loss: float = 0.5) -> DataFrame:
+        """incoming with a sequence (from 1) folds onto the stored rows (sequence 0). rosters(domain, key), the whole
+        memberships that the run has seen, then mark who is gone, as of `now`. Returns the change log, with departed for
+        those. A dry run reads one version, takes no lock, writes nothing and reconciles nothing."""
+        if dry_run:
+            return self._upsert(incoming, seq, None, now, max_loss)[0]
         with self.lock():
-            stored = self.read()
-            fresh = incoming.withColumn("key", self.spec.key) if "key" not in incoming.columns else incoming
-            log = change_log(stored, fresh)
-            cols = [f.name for f in self.spec.schema]
-            old = stored.select("key", *cols).withColumn(seq, F.lit(0).cast(dict(fresh.dtypes)[seq]))
-            new = merge(old.unionByName(fresh.select("key", *cols, seq)), self.spec, seq).select("key", *cols)
-            from rosterlake.tables import materialise
-
-            log = materialise(log, "log")
-            if not dry_run:
-                self.commit(new)
+            log, new = self._upsert(incoming, seq, rosters, now, max_loss)
+            self._commit(new)
             return log
+
+    def _upsert(self, incoming: DataFrame, seq: str, rosters: DataFrame | None, now: str | None, max_loss: float) -> tuple[DataFrame, DataFrame]:
+        from rosterlake.tables import materialise
+
+        stored = self.read()
+        fresh = incoming.withColumn("key", self.spec.key) if "key" not in incoming.columns else incoming
+        log = change_log(stored, fresh)
+        cols = [f.name for f in self.spec.schema]
+        old = stored.select("key", *cols).withColumn(seq, F.lit(0).cast(dict(fresh.dtypes)[seq]))
+        new = merge(old.unionByName(fresh.select("key", *cols, seq)), self.spec, seq).select("key", *cols)
+        if rosters is not None:
+            if now is None:
+                raise ValueError("a departure has a date")
+            before = materialise(new, "merged")
+            new = materialise(reconcile(before, rosters, now, max_loss), "reconciled")
+            gone = before.where("not coalesce(departed, false)").select("key").join(new.where("departed").select("key"), "key", "left_semi").withColumn("_gone", F.lit(True))
+            log = log.join(gone, "key", "left").select("key", F.when(F.col("_gone"), "departed").otherwise(F.col("change")).alias("change"))
+        return materialise(log, "log"), new

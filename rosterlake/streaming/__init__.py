@@ -12,13 +12,42 @@ def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def upsert_stream(rows: DataFrame, store: Store, checkpoint: str, seconds: int | None = None):
-    """Each micro-batch folds onto the store. A batch met twice after a failure folds to the same rows, as merging is
-    idempotent for equal sequences. seconds sets the trigger; None takes what there is and stops."""
-    write = rows.writeStream.foreachBatch(lambda df, _: store.upsert(df)).option("checkpointLocation", checkpoint)
+def upsert_stream(rows: DataFrame, store: Store, checkpoint: str, seconds: int | None = None, rosters=None, now: str | None = None):
+    """Each micro-batch folds onto the store; it is a run. rosters, a function of the batch, gives the whole memberships it
+    holds (domain, key), and who is missing from them is marked as departed at `now` with the same commit. A batch met twice after
+    a failure folds to the same rows, as merging is idempotent for equal sequences and a departure keeps its first date.
+    seconds sets the trigger; None takes what there is and stops."""
+
+    def fold(df: DataFrame, _) -> None:
+        store.upsert(df, rosters=rosters(df) if rosters else None, now=now)
+
+    write = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()
 
 
+def penalty_stream(log: DataFrame, factor: float = 2.0, cap: float = 16.0, host: str = "host", seq: str = "seq") -> DataFrame:
+    """backoff_state over a stream: each host's multiplier, hold-off and count as of each batch that has heard of it (output
+    mode update). The state of a host is these three numbers; within a batch its responses go in order of `seq`."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from rosterlake.operators.reconcile import PENALTY, after, push_backs
+
+    def step(key, frames, state):
+        penalty, until, n = state.get if state.exists else (1.0, None, 0)
+        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+        penalty = after(penalty, rows["step"], factor, cap)
+        asked = rows[rows["wait"] > 0]
+        if len(asked):
+            until = float(asked["ts"].iloc[-1] + asked["wait"].iloc[-1])
+        n += len(rows)
+        state.update((penalty, until, n))
+        yield pd.DataFrame({"host": [key[0]], "penalty": [penalty], "cooldown_until": pd.Series([until], dtype="float64"), "responses": [n]})
+
+    kept = "penalty double, cooldown_until double, responses long"
+    return push_backs(log, host, seq).groupBy("host").applyInPandasWithState(step, PENALTY, kept, "update", GroupStateTimeout.NoTimeout)
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     w = F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")

@@ -83,3 +83,23 @@ def test_similarity_is_difflib(spark):
     pairs = [("red rock", "rock red"), ("abcd", "bcde"), ("", "x"), ("same", "same")]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("r")).collect()
     assert all(r["r"] == difflib.SequenceMatcher(None, r["a"], r["b"]).ratio() for r in got)
+
+
+def test_sports_in_text(spark):
+    from rosterlake.functions import people as P
+
+    rows = [
+        ("Head Men's Basketball Coach", "Men's Basketball"), ("Women’s Swimming and Diving", "Women's Swimming; Diving"), ("Mens & Womens track and field / CROSS  COUNTRY", "Men's Track & Field; Women's Track & Field; Cross Country"),
+        ("Coach of women: soccer, golf", "Women's Soccer; Women's Golf"), ("Boys and girls of golf", "Golf"), ("Footballer", None), (None, None), ("beach volleyball; volleyball", "Beach Volleyball; Volleyball"), ("Crew, men's crew", "Crew; Men's Crew"),
+    ]
+    df = spark.createDataFrame(rows, "t string, want string").select("want", P.sport_from_title(F.col("t")).alias("got"), P.sport_labels(F.col("t")).alias("labels")).collect()
+    assert [r["got"] for r in df] == [r["want"] for r in df]
+    assert df[1]["labels"] == ["Women's Swimming & Diving"] and df[2]["labels"] == ["Track & Field", "Cross Country"] and df[8]["labels"] == ["Men's Rowing"] and df[5]["labels"] == []
+
+
+def test_labels_and_brackets_go_however_many(spark):
+    from rosterlake.functions import people as P
+
+    title = "Head Coach" + " | Full Bio | Email; Phone / profile" * 5
+    row = spark.createDataFrame([(title, "Ann Doe ([ (")], "t string, n string").select(P.clean_title(F.col("t")).alias("t"), P.strip_decorations(F.col("n")).alias("n")).first()
+    assert tuple(row) == ("Head Coach", "Ann Doe")

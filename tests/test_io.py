@@ -93,6 +93,49 @@ def test_store_versions(spark, tmp_path):
     assert back["Ann"]["emails"] == "x@a.edu; y@a.edu" and back["Ann"]["departed"] == "False"
 
 
+def test_lock_of_a_killed_writer_runs_out(spark, tmp_path):
+    """A lock is renewed while its writer lives; one that isn't is taken over, by one of those that wait for it."""
+    import time
+
+    s = Store(spark, f"file://{tmp_path}/s", schemas.person())
+    s._fs.mkdirs(s._path(s.root))
+    s._put(s._path(f"{s.root}/LOCK"), f"someone {time.time() + 60}", False)
+    with pytest.raises(StoreBusy), s.lock():
+        pass
+    s._put(s._path(f"{s.root}/LOCK"), f"someone {time.time() - 1}", True)
+    with s.lock(lease=0.6):
+        for _ in range(4):  # longer than the lease
+            time.sleep(0.3)
+            with pytest.raises(StoreBusy), s.lock():
+                pass
+    assert not s._fs.exists(s._path(f"{s.root}/LOCK"))
+    with s.lock():
+        pass
+
+
+def test_dry_run_needs_no_lock(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", schemas.person())
+    a = {"name": "Ann", "school_domain": "a.edu"}
+    s.upsert(_incoming(spark, [a]))
+    with s.lock():
+        assert [r["change"] for r in s.upsert(_incoming(spark, [{**a, "name": "Bo"}]), dry_run=True).collect()].count("new") == 1
+    assert s.version() == 1 and s.describe("2026-01-01").first()["count"] == 1
+
+
+def test_upsert_marks_who_is_gone(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", schemas.person())
+    people = [{"name": f"P{i}", "school_domain": d, "departed": False} for d in ("a.edu", "b.edu") for i in range(6)]
+    s.upsert(_incoming(spark, people))
+    seen = people[:4] + people[6:8]  # a.edu lost two of six; b.edu four of six, more than is believed
+    batch = _incoming(spark, seen)
+    keyed = batch.select(F.col("school_domain").alias("domain"), s.spec.key.alias("key"))
+    log = {r["key"]: r["change"] for r in s.upsert(batch, rosters=keyed, now="2026-01-02").collect()}
+    gone = {r["key"]: r["departed_at"] for r in s.read().where("departed").collect()}
+    assert set(gone) == {"a.edu|p4", "a.edu|p5"} and set(gone.values()) == {"2026-01-02"} and [log[k] for k in sorted(gone)] == ["departed", "departed"]
+    log = {r["key"]: r["change"] for r in s.upsert(_incoming(spark, people[:6])).collect()}
+    assert log["a.edu|p4"] == "returned"
+
+
 def test_stream_upsert_equals_batch(spark, tmp_path):
     people = [{"name": f"P{i % 5}", "school_domain": "a.edu", "emails": [f"{i}@a.edu"], "sport": "Golf" if i % 2 else "Tennis"} for i in range(12)]
     src = _incoming(spark, people).coalesce(1).withColumn("seq", F.monotonically_increasing_id() + 1)
@@ -119,3 +162,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_cache(spark, tmp_path):
+    rows = [("u", 200, 1.0, "a"), ("u", 200, 5.0, "b"), ("v", 500, 2.0, "c"), (None, 200, 9.0, "d"), ("w", 404, 0.0, "e")]
+    df = spark.createDataFrame(rows, "url string, status int, fetched_at double, body string")
+    files.cache_write(df.where("url is not null"), f"{tmp_path}/c")
+    back = spark.read.parquet(f"{tmp_path}/c")
+    assert sorted((r["url"], r["body"]) for r in back.collect()) == [("u", "b"), ("w", "e")]
+    assert sorted(r["body"] for r in files.purge(df, 6.0, 4.5).collect()) == ["b", "c"]
+    assert tuple(files.purge_counts(df, 6.0, 4.5).first()) == (2, 3)
+
+
+def test_missing_article_is_skipped(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("=== Texas ===\n* [[A College]] Bears in [[Town]]\n")
+    got = members.read_wiki(spark, {"NJCAA DI": str(tmp_path / "w.txt"), "NJCAA DII": str(tmp_path / "no.txt")}).collect()
+    assert [r["school"] for r in got] == ["A College"]
+    with pytest.raises(FileNotFoundError):
+        members.read_wiki(spark, {"NJCAA DII": str(tmp_path / "no.txt")})
