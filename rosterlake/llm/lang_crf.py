@@ -6,10 +6,11 @@ a lexicon of words frequent in training. Learned transitions join neighbouring w
 are labelled by forward-backward, and a text's language is the one with the most probability over all its words.
 
 A chain is up to `chain` consecutive words of one text; every word of a text is in exactly one chain, so whole texts count.
-Training takes at most `sample` labelled rows, those of the least hash (documented bound), by full-batch gradient; some of
-its chains are spliced from two texts, so that transitions see switches. Languages are those of that sample; ties between
-languages go to the first in order. Null texts and texts without a letter are `und` with score 0; repeated rows get equal
-results; a table without labels, or an empty one, gives `und` for each row.
+Training takes about `sample` labelled rows (documented bound), of each language its share or `floor` at least, so that a rare one
+is learned too, by full-batch gradient; some of its chains are spliced from two texts, so that transitions see switches. Ties
+between languages go to the first in order. Null texts and texts without a letter are `und` with score 0; repeated rows get equal
+results; a table without labels, or an empty one, gives `und` for each row. A very long text is labelled whole, in about 60 bytes a
+byte. Columns of the input are kept, whatever their names, but for the text; _lang and _lang_score are added or replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
-from rosterlake.llm.keys import Shield, bounded_sample, schema_of
+from rosterlake.llm.keys import Shield, schema_of
 
 U = np.uint64
 TABLE = 1 << 15
@@ -237,13 +238,26 @@ def train(texts: list[str], labels: list[str], chain: int = 64, rounds: int = 30
     return tagger
 
 
-def fit(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1200) -> Tagger:
-    """Trains on at most `sample` rows with text and language where train_where holds, those of the least hash."""
-    rows = docs.where(train_where & F.col(lang_col).isNotNull())
-    n = rows.count()  # reads no text
-    rows = rows.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    got = bounded_sample(rows, ["i", "l"], sample, n).collect()
-    return train([r["t"] for r in got], [r["l"] for r in got])
+def fit(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1200, floor: int = 40, longest: int = 100_000) -> Tagger:
+    """Trains on about `sample` rows with text and language where train_where holds: of each language its share of them, but
+    `floor` at least, those of the least hash. Texts of over `longest` characters aren't learned from (they are labelled like any
+    other), so the sample is bounded in bytes too. Languages are collected with their counts: they are few by nature."""
+    size = F.length(text_col)
+    rows = docs.where(train_where & F.col(lang_col).isNotNull() & size.between(1, longest)).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    count = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not count:
+        return train([], [])
+    quota = {k: max(floor, -(-sample * n // sum(count.values()))) for k, n in count.items()}
+    # twice the quota's share of the hashes, so what tasks send to the driver doesn't grow with their number
+    share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, float(2 * quota[k] / n))])
+    h = F.pmod(F.xxhash64("i", "l", "t"), F.lit(1 << 40))
+    got = rows.where(h < F.element_at(share, F.col("l")) * F.lit(float(1 << 40))).select("i", "l", "t", h.alias("h")).collect()
+    left, chosen = dict(quota), []
+    for r in sorted(got, key=lambda r: (r["h"], r["i"] or "", r["l"], r["t"])):
+        if left[r["l"]] > 0:
+            left[r["l"]] -= 1
+            chosen.append(r)
+    return train([r["t"] for r in chosen], [r["l"] for r in chosen])
 
 
 def identify(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:

@@ -1,13 +1,16 @@
 """Quality rules with host verdicts, in DataFrame functions alone.
 
-Row rules look at one text; host rules take the failures of all rows of a host (a column, here the source), shrink the
-failure rate by an empirical beta prior (method of moments over the hosts' rates, weighted by rows), and reject hosts whose
-shrunk rate is over `host_limit`. A row stays if it passes its own base rules and its host isn't rejected.
+Row rules look at one text; host rules take the failures of all rows of a host (a column, here the source) and shrink the
+failure rate by an empirical beta prior (method of moments over the hosts' rates, weighted by rows). A host is rejected if
+its rate is surely bad for this corpus: if the posterior's lower bound (mean less `sure` deviations) is over a limit, which is
+`factor` times the corpus's rate m, but m + `most` (1 - m) at most and `least` at least. So hosts that fail alike are all kept,
+whatever they fail, and a host of few rows needs more of them to fail. A row stays if it passes its own base rules and its host isn't rejected.
 
 Words are runs of characters other than space and 0x09-0x0D. Null text has no words, so it fails the base rules; a null
 host is a host of its own; repeated rows count each; an empty table gives an empty result. Whole texts are read; no count
 depends on row order. The columns added are _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words,
-_base_failed, _host_rate and _kept; columns of these names are replaced.
+_base_failed, _host_rate (the posterior mean) and _kept; columns of these names are replaced. A very long text is one row's array of
+words in the JVM, about 100 bytes a word.
 
 Hosts are aggregated map-side, so a hot host is no hot task. Their verdicts are broadcast only when the table of hosts is
 counted and has at most `broadcast_hosts` rows; beyond that the join shuffles and adaptive execution splits hot hosts.
@@ -87,7 +90,7 @@ def with_base(df: DataFrame, min_words: int = 20, repeat_percent: int = 30) -> D
     return df.withColumn("_base_failed", (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > repeat_percent * F.col("_n_words")))
 
 
-def host_verdicts(rows: DataFrame, host_col: str, host_limit: float = 0.75) -> DataFrame:
+def host_verdicts(rows: DataFrame, host_col: str, factor: float = 5.0, least: float = 0.2, most: float = 0.4, sure: float = 3.0) -> DataFrame:
     """rows(host, _base_failed) -> (host, _host_rate, _host_ok): one row per host."""
     host = rows.groupBy(host_col).agg(F.count("*").alias("n"), F.sum(F.col("_base_failed").cast("long")).alias("f"))
     rate = F.col("f") / F.col("n")
@@ -95,8 +98,9 @@ def host_verdicts(rows: DataFrame, host_col: str, host_limit: float = 0.75) -> D
     m = p["m"] or 0.0
     spread = (p["m2"] or 0.0) - m * m
     weight = min(1e6, max(1.0, m * (1 - m) / spread - 1)) if spread > 0 else 1e6
-    shrunk = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
-    return host.select(host_col, shrunk.alias("_host_rate"), (shrunk <= host_limit).alias("_host_ok"))
+    mean = (F.col("f") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
+    low = mean - F.lit(sure) * F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(weight + 1)))
+    return host.select(host_col, mean.alias("_host_rate"), (low <= F.lit(max(least, min(factor * m, m + most * (1 - m))))).alias("_host_ok"))
 
 
 def join_verdicts(rows: DataFrame, verdicts: DataFrame, host_col: str, broadcast_hosts: int = 100_000) -> DataFrame:
@@ -107,18 +111,18 @@ def join_verdicts(rows: DataFrame, verdicts: DataFrame, host_col: str, broadcast
     return joined.withColumn("_kept", ~F.col("_base_failed") & F.col("_host_ok")).drop("_host_ok")
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", host_limit: float = 0.75) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", **limits: float) -> DataFrame:
     """Metrics and verdict of each row: the id, the host and the columns named above, without the text."""
     rows = row_metrics(docs.select(id_col, host_col, text_col), text_col).drop(text_col)
     rows = materialise(with_base(rows), "rules")
-    hosts = materialise(host_verdicts(rows, host_col, host_limit), "hosts")
+    hosts = materialise(host_verdicts(rows, host_col, **limits), "hosts")
     return join_verdicts(rows, hosts, host_col)
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.75) -> DataFrame:
+def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
     """docs without the rows that the rules or their host's verdict reject; texts aren't shuffled."""
     shield = Shield(docs, text_col)
     host = shield.of(host_col)
     marked = materialise(with_base(row_metrics(shield.df)).select(*shield.own, "_base_failed"), "marked")
-    hosts = materialise(host_verdicts(marked, host, host_limit), "hosts")
+    hosts = materialise(host_verdicts(marked, host, **limits), "hosts")
     return shield.restore(join_verdicts(marked, hosts, host).where("_kept"))

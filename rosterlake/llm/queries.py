@@ -65,7 +65,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = quality_rules(table(spark, sf_dir, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names], F.round("_host_rate", 6).alias("host_rate"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ OP6 = rf"""WITH {_words(8)},
     host AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM failed GROUP BY source),
     moments AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS m2 FROM host),
     prior AS (SELECT m, CASE WHEN m2 - m * m > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / (m2 - m * m) - 1)) ELSE 1e6 END AS w FROM moments),
-    verdict AS (SELECT source, (f + m * w) / (n + w) <= 0.75 AS ok FROM host, prior)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source"""
+    rated AS (SELECT source, n + w AS weight, (f + m * w) / (n + w) AS rate, greatest(0.2, least(5 * m, m + 0.4 * (1 - m))) AS top FROM host, prior),
+    verdict AS (SELECT source, rate, rate - 3 * sqrt(rate * (1 - rate) / (weight + 1)) <= top AS ok FROM rated)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, round(rate, 6) AS host_rate FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source"""
 
 OP7 = r"""WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -38,6 +38,16 @@ def test_hosts_are_shrunk_and_rejected(spark):
     assert not v["bad"]["_host_ok"] and v["good"]["_host_ok"] and v["tiny"]["_host_ok"] and v[None]["_host_ok"]
 
 
+def test_a_host_is_bad_beside_the_corpus(spark):
+    """A host that fails twenty times as often as the corpus goes, one of few rows or one like all others stays."""
+    make = lambda host, bad, n: [(host, k < bad) for k in range(n)]
+    ok = lambda rows: {r["source"]: r["_host_ok"] for r in host_verdicts(spark.createDataFrame(rows, "source string, _base_failed boolean"), "source").collect()}
+    rows = [r for k in range(10) for r in make(f"h{k}", 8, 400)]
+    v = ok(rows + make("bad", 80, 200) + make("few", 2, 5))
+    assert not v.pop("bad") and all(v.values())
+    assert all(ok([r for k in range(5) for r in make(f"h{k}", 60 + k, 100)]).values())
+
+
 def test_quality_filter_keeps_columns(spark):
     rows = [(1, prose(1, 60), "a", 1), (2, "too short", "a", 2), (None, prose(2, 60), None, 3), (4, None, "a", 4), (5, prose(1, 60), "a", 5), (5, prose(1, 60), "a", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _base_failed int")
