@@ -132,14 +132,6 @@ def shared_emails(people: DataFrame, at_least: int = 3, page: str = "school_doma
     return out.withColumn("shared_email", prior | shared).drop("least", "most")
 
 
-def first_wins(rows: DataFrame, key: str, value: str, pos: Column) -> DataFrame:
-    return rows.groupBy(key).agg(F.min_by(value, pos).alias(value))
-
-
-def last_wins(rows: DataFrame, key: str, value: str, pos: Column) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(value, pos).alias(value))
-
-
 def forward_fill(rows: DataFrame, value: str, by: str | list[str], pos: str) -> DataFrame:
     """value carried on over the rows after it, within `by` (one document, page or table)."""
     w = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)

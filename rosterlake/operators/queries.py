@@ -183,10 +183,19 @@ def seed_lines(sites: DataFrame) -> DataFrame:
     return sites.select(F.concat(F.col("domain"), F.lit("  # "), F.col("status"), F.when(filled("detail"), F.concat(F.lit(": "), F.col("detail"))).otherwise(F.lit(""))).alias("line"))
 
 
-def cache_live(entries: DataFrame, now: float, ttl: float) -> DataFrame:
-    return entries.where(F.lit(now) - F.col("fetched_at") <= ttl)
-
-
 def cache_path(url: Column) -> Column:
     h = F.sha2(url.cast("binary"), 256)
     return F.concat(F.substring(h, 1, 2), F.lit("/"), h, F.lit(".json"))
+
+
+def log_lines(rows: DataFrame, kind: str) -> DataFrame:
+    """What a run says of each row: label, sublabel and a summary, by entity (company, person or institution)."""
+    first = lambda c: F.get(F.col(c), 0)
+    shown = lambda c: F.when(filled(c), F.col(c))
+    if kind == "institution":
+        label, sub, bits, none = "school", "conference", [shown("division"), shown("state"), shown("totalYearlyCost")], "no details"
+    else:
+        label, sub, extra = ("domain", "company_name", "location") if kind == "company" else ("name", "title", "sport")
+        bits, none = [first("emails"), first("phones"), F.substring(shown(extra), 1, 30)], "no contact details"
+    said = F.concat_ws(" | ", *bits)
+    return rows.select("key", F.col(label).alias("label"), F.coalesce(F.col(sub), F.lit("")).alias("sublabel"), F.when(said == "", none).otherwise(said).alias("summary"))

@@ -291,6 +291,11 @@ def csv_projection(spark, sf_dir):
     return Q.csv_cells(_people(spark, sf_dir), ["key", "name", "emails", "sport", "departed", "phones"])
 
 
+@register("log_lines", cte("people") + " SELECT key, name AS label, title AS sublabel, coalesce(nullif(concat_ws(' | ', coalesce(email, email2), phone, nullif(sport, '')), ''), 'no contact details') AS summary FROM people")
+def log_lines(spark, sf_dir):
+    return Q.log_lines(_people(spark, sf_dir), "person")
+
+
 @register("origin_export", cte("institutions") + """ SELECT school, state, division, conference, "totalYearlyCost", CASE WHEN "totalYearlyCost" IS NOT NULL THEN 'SATMath=' || "totalYearlyCost" ELSE '' END AS "academicData" FROM institutions""")
 def origin_export(spark, sf_dir):
     i = adapter(spark, sf_dir, "institutions").withColumn("academicData", F.create_map(F.lit("other"), F.lit("x"), F.lit("SATMath"), F.col("totalYearlyCost")))

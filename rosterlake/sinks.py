@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.operators.lookups import with_division
 from rosterlake.operators.queries import csv_cells, origin_shape, seed_lines
 
 
-def export(rows: DataFrame, path: str, columns: list[str] | None = None, single: bool = False) -> None:
-    """By the path's suffix: .csv cells with a header, .json lines, .parquet."""
-    out = rows.select(*columns) if columns else rows
+def export(rows: DataFrame, path: str, columns: list[str] | None = None, single: bool = False, bom: bool = False) -> None:
+    """By the path's suffix: .csv cells with a header, .json lines, .parquet. bom puts a byte order mark before a CSV's header,
+    as spreadsheets like it; columns that rows don't have are left out."""
+    out = rows.select(*[c for c in columns if c in rows.columns]) if columns else rows
     out = out.coalesce(1) if single else out
     if path.endswith(".csv"):
-        csv_cells(out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        cells = csv_cells(out)
+        if bom:
+            cells = cells.toDF(f"\ufeff{cells.columns[0]}", *cells.columns[1:])
+        cells.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif path.endswith(".json"):
         out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif path.endswith(".parquet"):
@@ -22,6 +27,21 @@ def export(rows: DataFrame, path: str, columns: list[str] | None = None, single:
         raise ValueError(f"no format for {path}")
 
 
+def export_people(people: DataFrame, institutions: DataFrame, path: str, columns: list[str] | None = None, **options) -> None:
+    """People with the division of their school, looked up by host."""
+    export(with_division(people, institutions), path, [*columns, "division"] if columns else None, **options)
+
+
+def export_store(rows: DataFrame, path: str, updated_at: str) -> None:
+    """A store's rows by key as {updated_at, count} beside leads, and the same as a CSV."""
+    from pyspark.sql import functions as F
+
+    ordered = rows.orderBy("key")
+    rows.agg(F.count("*").alias("count")).select(F.lit(updated_at).alias("updated_at"), "count").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+    export(ordered, f"{path}/leads.json")
+    export(ordered, f"{path}/leads.csv", bom=True)
+
+
 def export_institutions(rows: DataFrame, path: str) -> None:
     export(origin_shape(rows), path)
 

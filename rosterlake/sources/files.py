@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +21,25 @@ from rosterlake.schemas import OUTCOME, EntitySpec
 from rosterlake.sources import source
 
 
+def quarantine(spark: SparkSession, path: str) -> str | None:
+    """Move a store file that isn't JSON of a store aside, to path.corrupt.json, so that the next save doesn't bury it; the new
+    path, or None if the file is sound or not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    text = spark.read.text(path, wholetext=True)
+    shape = T.StructType([T.StructField("leads", T.ArrayType(T.StringType())), T.StructField("_bad", T.StringType())])
+    bare = F.startswith(F.ltrim("value"), F.lit("["))
+    wrapped = F.when(bare, F.concat(F.lit('{"leads":'), "value", F.lit("}"))).otherwise(F.col("value"))
+    bad = text.select(F.from_json(wrapped, shape, {"columnNameOfCorruptRecord": "_bad"}).alias("s")).where("s is null or s._bad is not null").limit(1).count()
+    if not bad:
+        return None
+    aside = f"{path.removesuffix('.json')}.corrupt.json"
+    fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(aside))
+    return aside
+
+
 @source("store")
 def read_store(spark: SparkSession, path: str, spec: EntitySpec) -> DataFrame:
     """A store file, {"leads": [...]} or a bare list: unknown fields dropped, rows without a required field skipped, the
@@ -61,6 +87,61 @@ def read_saved(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(normalize_domain(F.col("folder")).alias("domain"), "file", "html").where("domain is not null")
 
 
+def _cells(content: bytes) -> list[tuple[str, int, list[str | None]]]:
+    """(sheet, pos, cells) of a workbook, which is a zip of XML: shared strings, inline strings, numbers as written."""
+    tag = lambda e: e.tag.rsplit("}", 1)[-1]
+    under = lambda e, name: [x for x in e.iter() if tag(x) == name]
+    said = lambda e: "".join(x.text or "" for x in under(e, "t"))
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        load = lambda path: ElementTree.fromstring(z.read(path))
+        shared = [said(x) for x in under(load("xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in names else []
+        targets = {r.get("Id"): r.get("Target") for r in load("xl/_rels/workbook.xml.rels")}
+        for s in under(load("xl/workbook.xml"), "sheet"):
+            rel = next(v for k, v in s.attrib.items() if k.endswith("}id"))
+            path = targets[rel].lstrip("/")
+            for n, row in enumerate(under(load(path if path.startswith("xl/") else f"xl/{path}"), "row"), 1):
+                cells: list[str | None] = []
+                for c in under(row, "c"):
+                    letters = re.match("[A-Z]*", c.get("r", "")).group()
+                    at = functools.reduce(lambda k, x: k * 26 + ord(x) - 64, letters, 0) - 1 if letters else len(cells)
+                    cells += [None] * (at - len(cells))
+                    value = next((x.text for x in under(c, "v")), None)
+                    cells.append(said(c) if c.get("t") == "inlineStr" else shared[int(value)] if c.get("t") == "s" and value is not None else value)
+                out.append((s.get("name"), int(row.get("r", n)), cells))
+    return out
+
+
+@source("workbook")
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """XLSX files -> file, sheet, pos, cells (text; empty ones null). A workbook is one task's, as its parts refer to each other;
+    one that can't be read has no rows."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows += [(file, *r) for r in _cells(content)]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, StopIteration, IndexError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=["file", "sheet", "pos", "cells"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return raw.select("path", "content").mapInPandas(run, "file string, sheet string, pos int, cells array<string>")
+
+
+def workbook_sheet(rows: DataFrame, sheet: str | None = None) -> DataFrame:
+    """A sheet of read_workbook (the first, if not named) whose first line are its headers, as read_sheet gives it."""
+    one = rows.where(F.col("sheet") == sheet) if sheet else rows.join(rows.agg(F.min_by("sheet", F.struct("file", "pos")).alias("sheet")), "sheet", "left_semi")
+    head = one.orderBy("file", "pos").first()
+    if head is None:
+        raise ValueError("no such sheet")
+    body = one.where((F.col("file") == head["file"]) & (F.col("pos") > head["pos"]))
+    return alias_columns(body.select(*[F.get("cells", i).alias(c) for i, c in enumerate(head["cells"]) if c]))
+
+
 @source("sheet")
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with headers by alias -> school, level, conference, state, city, link as far as it has them; blanks null."""
@@ -69,8 +150,6 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alias_columns(raw: DataFrame) -> DataFrame:
-    import re
-
     picked: dict[str, str] = {}
     for c in raw.columns:
         field = V.SHEET_ALIASES.get(re.sub("[^a-z0-9]+", "", c.lower().replace("﻿", "")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rosterlake.operators.merge import change_log, merge
 from rosterlake.operators.reconcile import reconcile
 from rosterlake.schemas import EntitySpec
+from rosterlake.tables import forget, materialise
 
 
 class StoreBusy(RuntimeError):
@@ -122,24 +123,25 @@ class Store:
         if dry_run:
             return self._upsert(incoming, seq, None, now, max_loss)[0]
         with self.lock():
-            log, new = self._upsert(incoming, seq, rosters, now, max_loss)
+            log, new, made = self._upsert(incoming, seq, rosters, now, max_loss)
             self._commit(new)
+            forget(*made)
             return log
 
-    def _upsert(self, incoming: DataFrame, seq: str, rosters: DataFrame | None, now: str | None, max_loss: float) -> tuple[DataFrame, DataFrame]:
-        from rosterlake.tables import materialise
-
+    def _upsert(self, incoming: DataFrame, seq: str, rosters: DataFrame | None, now: str | None, max_loss: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         stored = self.read()
         fresh = incoming.withColumn("key", self.spec.key) if "key" not in incoming.columns else incoming
         log = change_log(stored, fresh)
         cols = [f.name for f in self.spec.schema]
         old = stored.select("key", *cols).withColumn(seq, F.lit(0).cast(dict(fresh.dtypes)[seq]))
         new = merge(old.unionByName(fresh.select("key", *cols, seq)), self.spec, seq).select("key", *cols)
+        made: list[DataFrame] = []
         if rosters is not None:
             if now is None:
                 raise ValueError("a departure has a date")
             before = materialise(new, "merged")
             new = materialise(reconcile(before, rosters, now, max_loss), "reconciled")
+            made = [before, new]
             gone = before.where("not coalesce(departed, false)").select("key").join(new.where("departed").select("key"), "key", "left_semi").withColumn("_gone", F.lit(True))
             log = log.join(gone, "key", "left").select("key", F.when(F.col("_gone"), "departed").otherwise(F.col("change")).alias("change"))
-        return materialise(log, "log"), new
+        return materialise(log, "log"), new, made

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.store import Store
+from rosterlake.tables import forget
 
 
 def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -19,7 +20,7 @@ def upsert_stream(rows: DataFrame, store: Store, checkpoint: str, seconds: int |
     seconds sets the trigger; None takes what there is and stops."""
 
     def fold(df: DataFrame, _) -> None:
-        store.upsert(df, rosters=rosters(df) if rosters else None, now=now)
+        forget(store.upsert(df, rosters=rosters(df) if rosters else None, now=now))  # nobody reads a batch's log
 
     write = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()

@@ -180,3 +180,70 @@ def test_missing_article_is_skipped(spark, tmp_path):
     assert [r["school"] for r in got] == ["A College"]
     with pytest.raises(FileNotFoundError):
         members.read_wiki(spark, {"NJCAA DII": str(tmp_path / "no.txt")})
+
+
+def _workbook(path, sheets):
+    import zipfile
+
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared: list[str] = []
+    with zipfile.ZipFile(path, "w") as z:
+        for n, rows in enumerate(sheets.values(), 1):
+            body = ""
+            for i, row in enumerate(rows, 1):
+                cells = ""
+                for k, v in enumerate(row):
+                    ref = f"{chr(65 + k)}{i}"
+                    if isinstance(v, int):
+                        cells += f'<c r="{ref}"><v>{v}</v></c>'
+                    elif v is not None and k % 2:
+                        cells += f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+                    elif v is not None:
+                        shared.append(v)
+                        cells += f'<c r="{ref}" t="s"><v>{len(shared) - 1}</v></c>'
+                body += f'<row r="{i}">{cells}</row>'
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        names = "".join(f'<sheet name="{s}" sheetId="{n}" r:id="r{n}"/>' for n, s in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{n}" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>{v[:2]}</t></r><r><t>{v[2:]}</t></r></si>" for v in shared) + "</sst>")
+
+
+def test_workbooks(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", {"Schools": [["School", "State", "Team Page"], ["A College", "TX", None], ["B College", None, "https://b.edu/x"]], "People": [[None, "title"], ["Conference", "x"], ["Big", 7, "--"]]})
+    (tmp_path / "b.xlsx").write_bytes(b"not a zip")
+    rows = files.read_workbook(spark, str(tmp_path))
+    got = sorted(map(tuple, files.workbook_sheet(rows, "Schools").collect()), key=str)
+    assert got == [("A College", "TX", None), ("B College", None, "https://b.edu/x")]
+    people = files.positional_sheet(rows.where("sheet = 'People'"), {"name": 0, "n": 1, "gap": 2, "none": 9}).collect()
+    assert [tuple(r) for r in people] == [("People", 3, "Big", "7", None, None)]
+
+
+def test_unreadable_store_is_put_aside(spark, tmp_path):
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('[{"name": "Ann", "school_domain": "a.edu"}]')
+    bad.write_text('{"leads": [{"name": ')
+    assert files.quarantine(spark, str(good)) is None and files.quarantine(spark, str(tmp_path / "no.json")) is None
+    assert files.quarantine(spark, str(bad)).endswith("bad.corrupt.json") and not bad.exists() and (tmp_path / "bad.corrupt.json").exists()
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([("k1", "Ünn", "a.edu")], "key string, name string, school_domain string")
+    inst = spark.createDataFrame([("i", "A", "DI", "a.edu", None)], "key string, school string, division string, athletics_domain string, website string")
+    sinks.export_people(rows, inst, f"{tmp_path}/p.csv", ["name", "nothing"], single=True, bom=True)
+    text = next((tmp_path / "p.csv").glob("part*")).read_bytes().decode("utf-8")
+    assert text == "\ufeffname,division\nÜnn,DI\n"
+    sinks.export_store(rows, f"{tmp_path}/s", "2026-01-01")
+    assert json.loads(next((tmp_path / "s" / "about").glob("part*")).read_text()) == {"updated_at": "2026-01-01", "count": 1}
+
+
+def test_settings():
+    from datetime import datetime, timezone
+
+    from rosterlake import settings as C
+
+    s = C.from_environment(environment={"ROSTERLAKE_CACHE_TTL": "5", "ROSTERLAKE_MAX_BACKOFF": "x", "ROSTERLAKE_SAVE_PHOTOS": " Yes ", "ROSTERLAKE_MAX_SPORT_PAGES": "7.9"})
+    assert (s.cache_ttl, s.max_backoff, s.save_photos, s.max_sport_pages) == (5.0, 16.0, True, 7) and s.over(cache_ttl=None, data_dir="d").data_dir == "d"
+    now = datetime(2026, 1, 2, 3, 4, 5, 6, timezone.utc)
+    assert C.run_id(now) == "20260102-030405" and C.stamp(now) == "2026-01-02T03:04:05Z"
