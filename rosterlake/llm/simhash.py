@@ -9,14 +9,18 @@ fingerprints within distance, some part differs in at most T_i bits. Dynamic pro
 number of parts) with the fewest probes and candidates as estimated from the bit counts of all fingerprints. Each
 fingerprint is indexed under the value of each used part and probes all values within T_i; meetings are verified on
 all 64 bits. A bucket of more than `hot` rows is dealt again by three parts of its other bits, which loses no link for
-distance 2 (in general distance + 1 parts). Buckets answer with spanning links only, so no bucket emits its pairs.
+distance 2 (in general distance + 1 parts), and again as long as it is hot: each time its rows agree in more bits, and with
+FREE bits left there are few different ones. Buckets answer with spanning links only, so no bucket emits its pairs.
 
 Null and blank texts have fingerprint zero and link like any other; fewer words than a shingle are one shingle; repeated
-rows share a fingerprint; a null id counts as the greatest; an empty table gives an empty result.
+rows share a fingerprint, and ties don't arise, as the least id counts; a null id counts as the greatest; an empty table gives an
+empty result. A very long text takes about 60 bytes a byte. Only the id and the text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +35,9 @@ from rosterlake.tables import materialise
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 PROBE_COST = 4.0
+FREE = 12
+#: Hot buckets that are broadcast at most; they are counted.
+HOT_KEYS = 100_000
 
 
 def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -166,21 +173,19 @@ def _probe(plan: list[tuple[list[int], int]]):
     return run
 
 
-def _again(plan: list[tuple[list[int], int]], distance: int):
-    """Rows of hot buckets, dealt by distance + 1 parts of the bits outside the bucket's own part."""
-    rest = [np.array_split([b for b in range(64) if b not in set(bits)], distance + 1) for bits, _ in plan]
+def _deal(distance: int):
+    """Rows of hot buckets, dealt by distance + 1 parts of the bits in which a bucket may still differ (those not in mask)."""
 
     def run(batches):
         for rows in batches:
-            x = rows.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            part = (rows.column("key").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(58)).astype(int)
-            for i in range(len(plan)):
-                own = np.flatnonzero(part == i)
-                for j, bits in enumerate(rest[i]):
-                    sub = (pick(x[own], [int(b) for b in bits]) | np.uint64(j + 1) << np.uint64(40)).view(np.int64)
-                    if len(own):
-                        take = pa.array(own)
-                        yield pa.RecordBatch.from_arrays([rows.column("key").take(take), pa.array(sub), rows.column("kind").take(take), rows.column("fp").take(take)], names=["key", "sub", "kind", "fp"])
+            x, key, mask = (rows.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "key", "mask"))
+            for m in np.unique(mask):
+                own = np.flatnonzero(mask == m)
+                free = [b for b in range(64) if not int(m) >> b & 1]
+                for j, bits in enumerate(np.array_split(free, distance + 1)):
+                    more = np.uint64(sum(1 << int(b) for b in bits))
+                    to = B.mix(key[own] ^ B.mix(x[own] & more) ^ np.uint64(j + 1))
+                    yield pa.RecordBatch.from_arrays([B.signed(to), B.signed(np.full(len(own), m | more)), B.signed(x[own])], names=["key", "mask", "fp"])
 
     return run
 
@@ -214,9 +219,9 @@ def _star(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(distance: int, small: int = 16):
-    def link(key, sub, kind, x):
+    def link(key, x):
         new = np.ones(len(x), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
+        new[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(x)))
         group = np.repeat(np.arange(len(first)), size)
@@ -238,15 +243,14 @@ def _verify(distance: int, small: int = 16):
         for rows in batches:
             if not rows.num_rows:
                 continue
-            got = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "kind", "fp")]
+            got = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp")]
             got = [np.concatenate([a, b]) for a, b in zip(held, got)] if held is not None else got
-            last = (got[0] == got[0][-1]) & (got[1] == got[1][-1])
-            cut = int(np.flatnonzero(last)[0])
+            cut = int(np.flatnonzero(got[0] == got[0][-1])[0])
             held = [a[cut:].copy() for a in got]
             if cut:
-                yield link(*[a[:cut] for a in got[:3]], got[3][:cut].view(np.uint64))
+                yield link(got[0][:cut], got[1][:cut].view(np.uint64))
         if held is not None:
-            yield link(*held[:3], held[3].view(np.uint64))
+            yield link(held[0], held[1].view(np.uint64))
 
     return run
 
@@ -266,12 +270,26 @@ def near_links(distinct: DataFrame, distance: int = 2, hot: int = 20_000) -> Dat
         cost, ts = allocate(groups, np.diag(both) / n, n, distance)
         plans.append((cost, [(g, t) for g, t in zip(groups, ts) if t >= 0]))
     plan = min(plans, key=lambda x: x[0])[1]
-    meet = materialise(distinct.select("fp").mapInArrow(_probe(plan), "key long, kind byte, fp long"), "probes")
-    size = meet.groupBy("key").agg(F.count("*").alias("size"))
-    large = materialise(size.where(F.col("size") > hot).select("key"), "hot")
-    common = meet.join(size.where(F.col("size").between(2, hot)).select("key"), "key", "left_semi").select("key", F.lit(0).cast("long").alias("sub"), "kind", "fp")
-    split = meet.join(large, "key", "left_semi").select("key", "kind", "fp").mapInArrow(_again(plan, distance), "key long, sub long, kind byte, fp long")
-    return common.union(split).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_verify(distance), "u long, v long")
+    meet = materialise(distinct.select("fp").mapInArrow(_probe(plan), "key long, kind byte, fp long"), "probes").select("key", "fp")
+    masks = F.array(*[F.lit(_as_long(sum(1 << b for b in bits))) for bits, _ in plan])
+    level = meet.withColumn("mask", F.element_at(masks, F.shiftrightunsigned("key", 58).cast("int") + 1))
+    done = []
+    while True:
+        size = level.groupBy("key", "mask").agg(F.count("*").alias("size")).where("size > 1")
+        over = (F.col("size") > hot) & (F.lit(64) - F.bit_count("mask") > FREE)
+        large = materialise(size.where(over).select("key"), "hot")
+        n = large.limit(HOT_KEYS + 1).count()
+        keys = F.broadcast(large) if n <= HOT_KEYS else large
+        rest = level.join(keys, "key", "left_anti") if n else level
+        done.append(rest.join(size.where(~over).select("key"), "key", "left_semi").select("key", "fp"))
+        if not n:
+            break
+        level = materialise(level.join(keys, "key", "left_semi").mapInArrow(_deal(distance), "key long, mask long, fp long"), "dealt")
+    return reduce(DataFrame.union, done).repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "u long, v long")
+
+
+def _as_long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:

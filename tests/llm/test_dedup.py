@@ -173,7 +173,7 @@ def test_simhash(odd):
     assert {r["doc_id"] for r in stay.collect()} == want and stay.count() == brute.groups(prints)
 
 
-@pytest.mark.parametrize("hot", [20_000, 10])
+@pytest.mark.parametrize("hot", [20_000, 10, 2])
 def test_near_links_reach_all(spark, hot):
     """Clusters of close fingerprints, in buckets small and hot: the same components as all pairs give."""
     r = random.Random(6)
