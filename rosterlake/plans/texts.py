@@ -251,7 +251,13 @@ def page_socials(spark, sf_dir):
     return H.socials(_linked(spark, sf_dir))
 
 
-@register("visible_text_len")
+# scripts and comments go, tags become spaces, then the entities that these pages use
+VISIBLE = "html"
+for _cut, _put in (("(?is)^.*?<body[^>]*>", ""), ("(?is)<!--.*?-->", " "), ("(?is)<(script|style|noscript|template|pre|code|samp|kbd|svg)\\b.*?</(script|style|noscript|template|pre|code|samp|kbd|svg)>", " "), ("(?s)<[/a-zA-Z][^>]*>", " "), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("\\s+", " ")):
+    VISIBLE = f"regexp_replace({VISIBLE}, '{_cut}', '{_put}', 'g')"
+
+
+@register("visible_text_len", f"SELECT page_id, length(trim({VISIBLE})) AS chars, length(trim({VISIBLE})) < 600 AS render_needed FROM pages")
 def visible_text_len(spark, sf_dir):
     f = H.facts(table(spark, sf_dir, "pages"))
     return f.select("page_id", F.length("text").alias("chars"), (F.length("text") < 600).alias("render_needed"))
