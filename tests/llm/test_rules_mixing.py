@@ -116,3 +116,37 @@ def test_exponent(spark):
 
 def test_with_base_is_plain(spark):
     assert with_base(spark.createDataFrame([(20, 6), (20, 7)], "_n_words long, _n_repeat_words long")).where("_base_failed").count() == 1
+
+
+def test_mixing_by_definition(spark):
+    """Every reading of a mixture with a budget of 1.6 passes, beside a plain version of blocks, permutations and the cut."""
+    r = random.Random(14)
+    rows = [(k if k % 7 else None, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(0, 30))), ("a", "a", "a", "b", None)[k % 5]) for k in range(300)] + [(1, "twice", "b")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens = [len(t.split()) for _, t, _ in rows]
+    seed, size, budget = 5, 16, 1.6 * sum(tokens)
+    out = mix(docs, budget=budget, max_repeats=None, seed=seed, block=size).collect()
+    h = lambda *c: F.xxhash64(*c)
+    key = [x["k"] for x in docs.select(h(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("k")).collect()]
+    turn = {x["k"]: x["t"] for x in spark.createDataFrame([(k,) for k in set(key)], "k long").select("k", h(F.lit(1).cast("long"), "k").alias("t")).collect()}
+    perm = {x["b"]: x["h"] for x in spark.range(100).select(F.col("id").alias("b"), h(F.lit(seed), F.lit(1).cast("long"), "id").alias("h")).collect()}
+    want = []
+    for s in ("a", "b", None):
+        mine = [k for k, x in enumerate(rows) if x[2] == s]
+        blocks, t = -(-len(mine) // size), sum(tokens[k] for k in mine)
+        left = int(budget * t / sum(tokens) - t + 1e-6)  # one whole pass, then so many tokens of another
+        block, n = {k: key[k] % blocks for k in mine}, {k: 1 for k in mine}
+        for b in sorted(set(block.values()), key=lambda b: (perm[b], b)):
+            inside = sorted((k for k in mine if block[k] == b), key=lambda k: (turn[key[k]], key[k]))
+            whole = sum(tokens[k] for k in inside)
+            room = max(0, min(whole, left))
+            left -= whole
+            run = 0
+            for k in inside:
+                same = [j for j in inside if turn[key[j]] == turn[key[k]]]
+                run = sum(tokens[j] for j in inside if turn[key[j]] <= turn[key[k]])
+                n[k] += (room == whole and whole > 0) or (0 < room < whole and run <= room)
+                assert len(same) == 1 or len({rows[j] for j in same}) == 1
+        want += [(*rows[k], e, block[k]) for k in mine for e in range(n[k])]
+    assert sorted(((x["doc_id"], x["text"], x["source"], x["_epoch"], x["_block"]) for x in out), key=str) == sorted(want, key=str)
+    assert len({x["_place"] for x in out}) >= len(set(want)) - 1
