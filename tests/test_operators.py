@@ -158,3 +158,21 @@ def test_filters_push_down(spark, sf):
 
     plan = table(spark, sf, "lineitem").where("l_quantity > 40").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan" in plan and "l_comment" not in plan
+
+
+def test_a_refused_site_falls_back_to_the_college(spark):
+    from rosterlake.operators import sites
+
+    row = lambda n, t: f"<tr><td>{n}</td><td>{t}</td><td><a href='mailto:{n[:2].lower()}@x.edu'>m</a></td></tr>"
+    page = lambda title, rows: f"<html><title>Staff Directory</title><table><caption>{title}</caption><tr><th>Name</th><th>Title</th><th>Email</th></tr>{''.join(rows)}</table>"
+    campus = page("Biology", [row(f"P{k} Prof", "Professor") for k in range(8)] + [row("Co Ach", "Head Baseball Coach")])
+    team = page("Golf", [row(f"G{k} Pro", "Coach") for k in range(6)])
+    pages = spark.createDataFrame([(1, "https://uni.edu/staff", campus), (2, "https://old.edu/staff", team), (3, "https://go-b.edu/staff", team.replace("Golf", "Tennis"))], "page_id long, url string, html string")
+    inst = spark.createDataFrame([("a", "A", "", "go-a.edu", "https://uni.edu"), ("b", "B", "", "go-b.edu", "https://old.edu")], "key string, school string, division string, athletics_domain string, website string")
+    tries = spark.createDataFrame([("go-a.edu", 1, "https://go-a.edu/", 403, "", "")], "domain string, seq int, url string, status int, body string, error string")
+    seeds = spark.createDataFrame([("uni.edu",), ("old.edu",), ("go-a.edu",)], "domain string")
+    people, outcomes = sites.site_people(seeds, pages, tries, schemas.person(), inst)
+    got = {r["domain"]: (r["status"], r["people"], r["url"], r["school"]) for r in outcomes.collect()}
+    assert got["uni.edu"] == got["go-a.edu"] == ("ok", 1, "https://uni.edu/staff", "A") and got["old.edu"] == ("ok", 6, "https://go-b.edu/staff", "B")
+    kept = people.where("seed = 'uni.edu'").collect()
+    assert [(r["name"], r["sport"], r["department"], r["notes"]) for r in kept] == [("Co Ach", "Baseball", None, [H.TITLE_NOTE])]
