@@ -14,7 +14,8 @@ a text, whatever it says, and reading back takes the backslashes away. The loss
 assistant texts in the formatted string.
 
 Null text is empty, a null role an empty role; repeated rows and equal turns are turns of their own, ordered by turn (null
-first), role and text; rows with a null conversation id form one conversation; an empty table gives an empty result.
+first), role and text; rows with a null conversation id form one conversation; an empty table gives an empty result. A very long
+text takes a few times its size. Columns besides those named are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ from pyspark.sql import functions as F
 
 from rosterlake.tables import materialise
 
-_ESCAPE = re.compile(r"[\\<\[]")
 _UNESCAPE = re.compile(r"([\\<\[])\\")
-_TURN = re.compile(r"\[TURN ([^\]]*)\]\n((?:[^\\<\[]|[\\<\[]\\)*)\[/TURN\]\n", re.S)
+_TURN = re.compile(r"\[TURN ([^\]]*)\]\n((?:[^\\<\[]++|[\\<\[]\\)*+)\[/TURN\]\n", re.S)
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
+    return text.replace("\\", "\\\\").replace("<", "<\\").replace("[", "[\\")
 
 
 def unescape(text: str) -> str:
