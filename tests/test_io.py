@@ -247,3 +247,9 @@ def test_settings():
     assert (s.cache_ttl, s.max_backoff, s.save_photos, s.max_sport_pages) == (5.0, 16.0, True, 7) and s.over(cache_ttl=None, data_dir="d").data_dir == "d"
     now = datetime(2026, 1, 2, 3, 4, 5, 6, timezone.utc)
     assert C.run_id(now) == "20260102-030405" and C.stamp(now) == "2026-01-02T03:04:05Z"
+
+
+def test_store_in_lines(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"name": "Ann", "school_domain": "a.edu", "title": "x"}\n{"name": "Ann", "school_domain": "a.edu", "title": "y", "z": 1}\n{"title": "no name"}\n')
+    rows = files.read_store(spark, str(tmp_path / "p.json"), schemas.person(), lines=True).collect()
+    assert [(r["name"], r["title"]) for r in rows] == [("Ann", "y")]
