@@ -425,14 +425,11 @@ def athletics_share(people: DataFrame, least: float = 0.10) -> DataFrame:
     return people.groupBy("page_id").agg(F.avg(F.when(F.coalesce("sport", F.lit("")) != "", 1.0).otherwise(0.0)).alias("share")).withColumn("athletics", F.col("share") >= least)
 
 
-TITLE_NOTE = "sport read from the job title (campus directory, no sport column)"
-
-
 def from_titles(coaches: DataFrame) -> DataFrame:
     """Coaches of a general directory: no department, the sport that the title names, and a note where it does."""
     out = coaches.withColumn("department", F.lit(None).cast("string")).withColumn("sport", P.sport_from_title(F.col("title")))
     had = F.col("notes") if "notes" in coaches.columns else F.array().cast("array<string>")
-    return out.withColumn("notes", F.when(F.col("sport").isNotNull(), F.array_union(had, F.array(F.lit(TITLE_NOTE)))).otherwise(had))
+    return out.withColumn("notes", F.when(F.col("sport").isNotNull(), F.array_union(had, F.array(F.lit(V.TITLE_NOTE)))).otherwise(had))
 
 
 def coaches_only(people: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import schools as S
+from rosterlake.functions import vocabulary as V
 from rosterlake.functions.text import null_blank, packed
 from rosterlake.functions.web import normalize_domain
 
@@ -88,11 +89,6 @@ def fuzzy_top1(targets: DataFrame, candidates: DataFrame, least: float = 0.6) ->
     return scored.groupBy("pos", "target").agg(F.max_by(F.struct("cid", "candidate", "score"), F.struct("score", -F.col("cid"))).alias("m")).select("pos", "target", "m.cid", "m.candidate", "m.score")
 
 
-NO_MATCH = "no College Scorecard match — academics and cost unfilled"
-OPEN_ADMISSION = "no admissions test scores — open-admission two-year college"
-TEST_OPTIONAL = "no test scores published (test-optional reporting)"
-
-
 def enrich(members: DataFrame, matches: DataFrame) -> DataFrame:
     """members(pos, city, state, region, website, association, private) with what their match says: city, website and state
     where it has them, region, cost, test scores and ownership as they are there. matches(pos, city, state, website, cost,
@@ -102,7 +98,7 @@ def enrich(members: DataFrame, matches: DataFrame) -> DataFrame:
     pick = lambda c, new: F.coalesce(null_blank(new), F.col(c))
     hit = F.coalesce("_hit", F.lit(False))
     scores = F.when(hit & (F.size("_scores") > 0), F.col("_scores"))
-    note = F.when(~hit, NO_MATCH).when(scores.isNull(), F.when(F.col("association") == "NJCAA", OPEN_ADMISSION).otherwise(TEST_OPTIONAL))
+    note = F.when(~hit, V.NO_MATCH_NOTE).when(scores.isNull(), F.when(F.col("association") == "NJCAA", V.OPEN_ADMISSION_NOTE).otherwise(V.TEST_OPTIONAL_NOTE))
     return j.select(
         "pos", pick("city", F.trim("_city")).alias("city"), pick("state", S.state_name(F.col("_state"))).alias("state"), F.when(hit, S.region_for(F.col("_state"))).otherwise(F.col("region")).alias("region"),
         pick("website", F.trim("_website")).alias("website"), "association", F.col("_cost").alias("totalYearlyCost"), scores.alias("academicData"),

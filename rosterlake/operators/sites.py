@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import schools as S
+from rosterlake.functions import vocabulary as V
 from rosterlake.functions import web as W
 from rosterlake.operators import html as H
 from rosterlake.operators.lookups import host_map, host_values
@@ -79,11 +80,11 @@ def site_people(sites: DataFrame, pages: DataFrame, attempts: DataFrame, spec: E
     count = kept.groupBy("seed").agg(F.count("*").alias("people"), F.count_if(F.size("emails") > 0).alias("with_email"))
     gated = pages.where(W.looks_like_directory(F.col("html"), signals)).groupBy(W.normalize_domain(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("gate_url"))
     out = mine.select("seed", "host", "status", "detail", "url", F.col("c").alias("x")).join(count, "seed", "left").join(gated, "host", "left")
-    kind = F.when(F.col("x.general"), "general directory, coaches only").otherwise("athletics directory")
+    kind = F.when(F.col("x.general"), V.GENERAL_KIND).otherwise(V.ATHLETICS_KIND)
     done, empty = F.col("people") > 0, F.col("gate_url").isNotNull()
     outcomes = out.select(
         F.col("seed").alias("domain"), F.when(done, "ok").when(empty, "empty").otherwise(F.col("status")).alias("status"),
-        F.when(done, F.concat(F.col("with_email").cast("string"), F.lit(" with an email address ("), kind, F.lit(")"))).when(empty, "page fetched but no staff rows recognised").otherwise(F.col("detail")).alias("detail"),
+        F.when(done, F.concat(F.col("with_email").cast("string"), F.lit(V.OK_DETAIL), kind, F.lit(")"))).when(empty, V.EMPTY_DETAIL).otherwise(F.col("detail")).alias("detail"),
         F.coalesce("people", F.lit(0).cast("long")).alias("people"), F.when(done, F.col("x.url")).when(empty, F.col("gate_url")).otherwise(F.col("url")).alias("url"), F.col("x.school").alias("school"),
     )
     return kept, outcomes

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rosterlake import repairs, schemas
+from rosterlake.functions import vocabulary as V
 from rosterlake.operators import html as H
 from rosterlake.operators import lookups as L
 from rosterlake.operators import merge as M
@@ -175,4 +176,4 @@ def test_a_refused_site_falls_back_to_the_college(spark):
     got = {r["domain"]: (r["status"], r["people"], r["url"], r["school"]) for r in outcomes.collect()}
     assert got["uni.edu"] == got["go-a.edu"] == ("ok", 1, "https://uni.edu/staff", "A") and got["old.edu"] == ("ok", 6, "https://go-b.edu/staff", "B")
     kept = people.where("seed = 'uni.edu'").collect()
-    assert [(r["name"], r["sport"], r["department"], r["notes"]) for r in kept] == [("Co Ach", "Baseball", None, [H.TITLE_NOTE])]
+    assert [(r["name"], r["sport"], r["department"], r["notes"]) for r in kept] == [("Co Ach", "Baseball", None, [V.TITLE_NOTE])]
