@@ -39,6 +39,13 @@ class Shield:
         return out.select(*[F.col(c).alias(n) for c, n in zip(self.own, self.names) if n not in added], *added)
 
 
+def distinct_names(df: DataFrame) -> DataFrame:
+    """df with the first of all columns whose names are equal but for case."""
+    names = [c.lower() for c in df.columns]
+    own = df.toDF(*[f"c{i}_" for i in range(len(names))])
+    return own.select(*[F.col(f"c{i}_").alias(df.columns[i]) for i, c in enumerate(names) if names.index(c) == i])
+
+
 def schema_of(df: DataFrame, *but: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in but)
 

@@ -102,6 +102,26 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("_quality").alias("score"), F.when(F.col("_quality") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm.merkle import folded, hexed, leaf_of, manifest, proof_digest
+
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    made = manifest(table(spark, sf_dir, "documents"), columns, carry={"doc_id": F.col("doc_id"), "altered": F.when(_crc("doc_id", 7) == 0, altered)})
+    root = F.lit(made.root).cast("string")
+    out = made.proofs().select("*", folded(hexed(F.coalesce("altered", "digest")), made.fanout).alias("folded_root"))
+    return out.select(
+        "doc_id", hexed("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("path"), F.col("top_path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified")
+    )
+
+
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm.importance import resample
+
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_features", "weight", "score", "rank")])
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

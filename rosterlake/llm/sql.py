@@ -43,5 +43,67 @@ OP7 = r"""WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM
            (7 + sum(16 + length(role) + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))))::BIGINT AS formatted_chars FROM r GROUP BY conv_id"""
 
 
+#: crc(t): the table of CRC-32 (reflected, polynomial 0xEDB88320).
+CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes, beside the one row of crc."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), (2 * k + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))"
+
+
+def _cell(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_LEAF = " || ".join(_cell(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_ALTERED = " || ".join(_cell(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))
+
+
+def _levels(name: str, base: str) -> str:
+    """All nodes over the leaves of `base`(tree, i, n, d): (tree, l, i, n, d)."""
+    return f"""{name}(tree, l, i, n, d) AS (SELECT tree, 0, i, n, d FROM {base} UNION ALL
+        SELECT tree, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, l, i // 2, n)"""
+
+
+def _walk(name: str, base: str, nodes: str) -> str:
+    """From the leaves of `base`(k, tree, i, n, d, proof) to the root: the fold of d and the siblings met."""
+    return f"""{name}(k, tree, l, i, n, d, proof) AS (SELECT k, tree, 0, i, n, d, proof FROM {base} UNION ALL
+        SELECT f.k, f.tree, f.l + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN f.i % 2 = 0 THEN f.d || coalesce(s.d, '') ELSE s.d || f.d END), f.proof || coalesce(s.d, '')
+        FROM {name} f LEFT JOIN {nodes} s ON s.tree = f.tree AND s.l = f.l AND s.i = xor(f.i, 1) WHERE f.n > 1)"""
+
+
+OP11 = f"""WITH RECURSIVE {CRC},
+    raw AS (SELECT doc_id, lang, sha256({_LEAF}) AS d, CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN sha256({_ALTERED}) END AS alt FROM documents, crc),
+    leaf AS (SELECT row_number() OVER () AS k, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+                    count(*) OVER (PARTITION BY lang) AS n, doc_id, d, coalesce(alt, d) AS given, '' AS proof FROM raw),
+    {_levels("forest", "leaf")},
+    groups AS (SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, d FROM forest WHERE n = 1),
+    {_levels("top", "groups")},
+    root AS (SELECT d AS root FROM top WHERE n = 1),
+    start AS (SELECT k, tree, i, n, given AS d, proof FROM leaf),
+    {_walk("low", "start", "forest")},
+    half AS (SELECT k, 0 AS tree, low.tree AS i, (SELECT count(*) FROM groups) AS n, d, proof FROM low WHERE n = 1),
+    {_walk("high", "half", "top")}
+    SELECT leaf.doc_id, leaf.d AS leaf, groups.d AS subroot, root, sha256(high.proof) AS proof_sha256, high.d AS folded_root, high.d = root AS verified
+    FROM high JOIN leaf USING (k) JOIN groups ON groups.i = leaf.tree, root WHERE high.n = 1"""
+
+_OP12_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12 = f"""WITH {CRC},
+    d AS (SELECT row_number() OVER () AS k, doc_id, {_OP12_WORDS} AS w FROM documents),
+    dw AS (SELECT k, x, count(*) AS c FROM (SELECT k, unnest(w) AS x FROM d) GROUP BY k, x),
+    bw AS (SELECT x, count(*) AS c FROM (SELECT unnest({_OP12_WORDS}) AS x FROM benchmark) GROUP BY x),
+    vocab AS (SELECT x, {_crc32('x')} % 10000 AS b FROM (SELECT DISTINCT x FROM dw UNION SELECT x FROM bw), crc),
+    s AS (SELECT b, sum(c)::DOUBLE AS s FROM dw JOIN vocab USING (x) GROUP BY b),
+    t AS (SELECT b, sum(c)::DOUBLE AS t FROM bw JOIN vocab USING (x) GROUP BY b),
+    total AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS big_s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS big_t),
+    gain AS (SELECT s.b, floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (b), total),
+    weight AS (SELECT k, sum(c * g)::BIGINT AS weight FROM dw JOIN vocab USING (x) JOIN gain USING (b) GROUP BY k),
+    base AS (SELECT d.k, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weight USING (k)),
+    drawn AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS n FROM base WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM base LEFT JOIN drawn USING (k)"""
+
 def oracles() -> dict[str, str]:
-    return {"op3_phrase_dedup": OP3, "op6_quality_rules": OP6, "op7_reply_trees": OP7}
+    return {"op3_phrase_dedup": OP3, "op6_quality_rules": OP6, "op7_reply_trees": OP7, "op11_merkle_proofs": OP11, "op12_importance_draw": OP12}
