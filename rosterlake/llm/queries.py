@@ -122,6 +122,13 @@ def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_features", "weight", "score", "rank")])
 
 
+def op13_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rosterlake.llm.lattice_dedup import lattice_links
+
+    out = lattice_links(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), (F.col("vec_id").eqNullSafe(F.col("_component"))).alias("kept"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -105,5 +105,14 @@ OP12 = f"""WITH {CRC},
     drawn AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS n FROM base WHERE n_features >= 20)
     SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM base LEFT JOIN drawn USING (k)"""
 
+#: Vectors that hold something, all components finite, are compared each with each: a form for small tables.
+OP13 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS r FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.95),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+    low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = low.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM low"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_phrase_dedup": OP3, "op6_quality_rules": OP6, "op7_reply_trees": OP7, "op11_merkle_proofs": OP11, "op12_importance_draw": OP12}
+    return {"op3_phrase_dedup": OP3, "op6_quality_rules": OP6, "op7_reply_trees": OP7, "op11_merkle_proofs": OP11, "op12_importance_draw": OP12, "op13_lattice_links": OP13}
