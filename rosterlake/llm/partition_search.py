@@ -14,7 +14,8 @@ Copies of a vector are one entry with its `keep` + 1 least ids: more can't be am
 ids. A partition of over `block` vectors is several blocks, and over `block` queries of one partition are several shares; each block
 meets each share in a task of its own, so no task grows with the table.
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; nor
-rows with a null id; repeated rows count once. An empty table gives an empty result. Other columns are not read.
+rows with a null id; repeated rows count once. Vectors may be of any length, so long as components are finite: a product beyond the range of doubles is
+infinite, and one whose parts cancel as infinities comes last, as minus infinity. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
 
 def _bisect(nodes: np.ndarray, near: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """True for half of the nodes: the side of the graph's second eigenvector, then swaps that cut fewer edges."""
-    where = np.full(near.max() + 1, -1)
+    where = np.full(len(near), -1)
     where[nodes] = np.arange(len(nodes))
     local = where[near[nodes]]
     u, v = np.repeat(np.arange(len(nodes)), local.shape[1]), local.ravel()
@@ -133,9 +134,16 @@ class Router:
         return self
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, by their greatest component first, so neither squares of large nor of small components leave the range."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def fit_router(x: np.ndarray, parts: int, k: int, recall: float) -> tuple[Router, int]:
     """The router and how many partitions a query needs, measured on a fifth of the sample that training doesn't see."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = unit_rows(x)
+    x = x / np.abs(x).max()  # products keep their order, but for those that come to nothing beside the largest
     near = neighbour_graph(x, min(10, len(x) - 1))
     label = balanced_partition(near, parts)
     soft = np.zeros((len(x), parts))
@@ -160,7 +168,7 @@ def _route(router: Router, dim: int, probes: int, query: bool, every: int):
             if not raw:
                 continue
             x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
-            p = router.probabilities(x / np.linalg.norm(x, axis=1, keepdims=True))
+            p = router.probabilities(unit_rows(x))
             if not query:
                 yield pa.RecordBatch.from_arrays([pa.array(p.argmax(1).astype(np.int32)), rows.column("x"), rows.column("ids")], names=["part", "x", "ids"])
                 continue
@@ -183,13 +191,19 @@ def _rerank(dim: int, keep: int, hold: int = 256):
         qid, q = right.column("q").to_numpy(), np.frombuffer(b"".join(right.column("x").to_pylist()), np.float64).reshape(-1, dim)
         salt = int(left.column("part")[0].as_py() + left.column("b")[0].as_py() * 31) % 16
         tops = []
-        take = min(keep + 1, len(x))
+        take, longest = min(keep + 1, len(x)), np.abs(x).max()
         for i in range(0, len(q), hold):
-            s = q[i : i + hold] @ x.T
-            edge = np.partition(s, len(x) - take, axis=1)[:, len(x) - take]
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = q[i : i + hold] @ x.T
+                s[np.isnan(s)] = -np.inf
+                edge = np.partition(s, len(x) - take, axis=1)[:, len(x) - take]
+                # what rounding may move: some units in the last place of the longest product
+                slack = 1e-15 * dim * np.abs(q[i : i + hold]).max(1) * dim * longest
             for j in range(len(s)):
-                c = np.flatnonzero(s[j] >= edge[j] - 1e-9)
-                exact = (x[c] * q[i + j]).sum(1)
+                c = np.flatnonzero(~(s[j] < edge[j] - slack[j]))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    exact = (x[c] * q[i + j]).sum(1)
+                exact[np.isnan(exact)] = -np.inf
                 flat = [(-e, v) for e, w in zip(exact.tolist(), c) for v in ids[w] if v != qid[i + j]]
                 flat.sort()
                 tops.append([{"neg": e, "vec_id": v} for e, v in flat[:keep]])
