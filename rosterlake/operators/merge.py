@@ -58,8 +58,9 @@ def _parts(rows: DataFrame, spec: EntitySpec, seq: str, key: str) -> DataFrame |
     return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c", "at", "k", "v"))).alias("_parts"))
 
 
-def merge(rows: DataFrame, spec: EntitySpec, seq: str = "seq", key: str = "key") -> DataFrame:
-    """rows with a total order `seq` -> one row per key: key, merged columns, _n (rows folded)."""
+def merge(rows: DataFrame, spec: EntitySpec, seq: str = "seq", key: str = "key", marks: dict[str, Column] | None = None) -> DataFrame:
+    """rows with a total order `seq` -> one row per key: key, merged columns, _n (rows folded), and what aggregates
+    `marks` names."""
     if key not in rows.columns:
         rows = rows.withColumn(key, spec.key if isinstance(spec.key, Column) else F.col(spec.key))
     kinds = dict(rows.dtypes)
@@ -72,6 +73,7 @@ def merge(rows: DataFrame, spec: EntitySpec, seq: str = "seq", key: str = "key")
     aggs += [F.min(c).alias(c) for c in has(spec.least)]
     aggs += [F.max(c).alias(c) for c in has(spec.greatest)]
     aggs += [F.min_by(c, seq).alias(f"_{c}") for c in spec.reset if c in kinds]
+    aggs += [c.alias(name) for name, c in (marks or {}).items()]
     out = rows.groupBy(key).agg(*aggs)
     parts = _parts(rows, spec, seq, key)
     if parts is not None:
@@ -92,7 +94,7 @@ def merge(rows: DataFrame, spec: EntitySpec, seq: str = "seq", key: str = "key")
         if c in kinds:
             out = out.withColumn(c, F.when(F.col("_n") == 1, F.col(f"_{c}")).otherwise(value)).drop(f"_{c}")
     order = [c for c in rows.columns if c in out.columns and c != key]
-    return out.select(key, *order, "_n")
+    return out.select(key, *order, "_n", *(marks or {}))
 
 
 def change_log(stored: DataFrame, incoming: DataFrame, key: str = "key") -> DataFrame:

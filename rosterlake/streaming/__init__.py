@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.store import Store
-from rosterlake.tables import forget
 
 
 def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -15,12 +14,12 @@ def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -
 
 def upsert_stream(rows: DataFrame, store: Store, checkpoint: str, seconds: int | None = None, rosters=None, now: str | None = None):
     """Each micro-batch folds onto the store; it is a run. rosters, a function of the batch, gives the whole memberships it
-    holds (domain, key), and who is missing from them is marked as departed at `now` with the same commit. A batch met twice after
-    a failure folds to the same rows, as merging is idempotent for equal sequences and a departure keeps its first date.
+    holds (domain, key), and who is missing from them is marked as departed at `now` with the same commit. A batch rewrites the
+    buckets its keys fall into, and its number is committed with them, so one met twice after a failure is left out.
     seconds sets the trigger; None takes what there is and stops."""
 
-    def fold(df: DataFrame, _) -> None:
-        forget(store.upsert(df, rosters=rosters(df) if rosters else None, now=now))  # nobody reads a batch's log
+    def fold(df: DataFrame, number: int) -> None:
+        store.upsert(df, rosters=rosters(df) if rosters else None, now=now, batch=(checkpoint, number))
 
     write = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (write.trigger(processingTime=f"{seconds} seconds") if seconds else write.trigger(availableNow=True)).start()

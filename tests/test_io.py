@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake import schemas, sinks, sources
 from rosterlake.sources import files, members
-from rosterlake.store import Store, StoreBusy
+from rosterlake.store import Store, StoreBusy, StoreFenced
 from rosterlake.streaming import event_stream, sessions, tumbling_counts, upsert_stream
 
 
@@ -113,6 +113,64 @@ def test_lock_of_a_killed_writer_runs_out(spark, tmp_path):
         pass
 
 
+def test_writer_that_lost_its_lock_is_fenced(spark, tmp_path):
+    """A stalls past its lease, B takes over: A's commit fails, A's exit leaves B's lock alone, and C stays out."""
+    import time
+
+    a, b, c = (Store(spark, f"file://{tmp_path}/s", schemas.person()) for _ in range(3))
+    row = lambda name: _incoming(spark, [{"name": name, "school_domain": "a.edu"}])
+    a.upsert(row("First"))
+    held = a.lock(lease=0.2, renew=False)
+    mine = held.__enter__()
+    time.sleep(0.4)
+    with b.lock() as theirs:
+        assert theirs == mine + 1
+        with pytest.raises(StoreFenced):
+            a._write(a.read().withColumn("_change", F.lit("new")), None, a.version() + 1, mine, 4, None)
+        held.__exit__(None, None, None)
+        with pytest.raises(StoreBusy):
+            c.upsert(row("Third"))
+        b._write(b.read().withColumn("_change", F.lit("new")), None, b.version() + 1, theirs, 4, None)
+    assert b.version() == 2
+    with pytest.raises(StoreFenced), c.lock() as now:  # a version can be made once
+        c._write(c.read().withColumn("_change", F.lit("new")), None, 2, now, 4, None)
+    c.upsert(row("Third"))
+    assert sorted(r["name"] for r in c.read().collect()) == ["First", "Third"]
+
+
+def test_upsert_rewrites_what_it_touches(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", schemas.person(), buckets=8)
+    people = [{"name": f"P{i}", "school_domain": "a.edu", "departed": False, "emails": [f"{i}@a.edu"]} for i in range(60)]
+    s.upsert(_incoming(spark, people))
+    one = s.manifest(1)
+    assert len(one["parts"]) == 8 and s.changes() == {"new": 60, "updated": 0, "returned": 0, "departed": 0, "rows": 60}
+    files_of = lambda: {p for p in tmp_path.rglob("*.parquet")}
+    before = files_of()
+    log = s.upsert(_incoming(spark, [{**people[7], "title": "Coach"}])).collect()
+    two = s.manifest(2)
+    changed = [k for k in two["parts"] if two["parts"][k] != one["parts"][k]]
+    assert len(changed) == 1 and len(files_of() - before) == 1 and [tuple(r) for r in log] == [("a.edu|p7", "updated")]
+    assert s.changes() == {"new": 0, "updated": 1, "returned": 0, "departed": 0, "rows": 60}
+    title = lambda v: {r["name"]: r["title"] for r in s.read(v).collect()}["P7"]
+    assert (title(1), title(2)) == (None, "Coach") and s.read().count() == s.read(1).count() == 60
+    everyone = people[:30] + [{**people[7], "name": "New"}]
+    rosters = spark.createDataFrame([("a.edu", f"a.edu|p{i}") for i in range(40)], "domain string, key string")
+    log = {r["key"]: r["change"] for r in s.upsert(_incoming(spark, everyone), rosters=rosters, now="2026-02-03").collect()}
+    assert log["a.edu|new"] == "departed" and {k for k, v in log.items() if v == "departed"} == {f"a.edu|p{i}" for i in range(40, 60)} | {"a.edu|new"}
+    assert s.changes()["departed"] == 21 and s.read().where("departed").count() == 21
+    assert s.vacuum() > 0 and s.read().count() == 61 and s.version() == 3
+    with pytest.raises(Exception):
+        s.read(1).count()
+
+
+def test_batch_is_folded_once(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", schemas.person(), buckets=2)
+    row = _incoming(spark, [{"name": "Ann", "school_domain": "a.edu"}])
+    assert s.upsert(row, batch=("q", 0)).count() == 1
+    assert s.upsert(row, batch=("q", 0)).count() == 0 and s.version() == 1
+    assert s.upsert(row, batch=("q", 1)).count() == 1 and s.upsert(row, batch=("other", 0)).count() == 1 and s.version() == 3
+
+
 def test_dry_run_needs_no_lock(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s", schemas.person())
     a = {"name": "Ann", "school_domain": "a.edu"}
