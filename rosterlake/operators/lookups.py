@@ -12,6 +12,7 @@ from rosterlake.functions import schools as S
 from rosterlake.functions import vocabulary as V
 from rosterlake.functions.text import null_blank, packed
 from rosterlake.functions.web import normalize_domain
+from rosterlake.tables import materialise
 
 
 def host_values(institutions: DataFrame, value: str) -> DataFrame:
@@ -78,15 +79,45 @@ def similarity(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+#: What a fuzzy key is written with.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(key: Column) -> Column:
+    return F.array(*[F.length(key) - F.length(F.replace(key, F.lit(x), F.lit(""))) for x in _LETTERS])
+
+
+def most_similar(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+    """What the ratio of two keys can be at most: their common letters, in any order, over half their lengths."""
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+
 def fuzzy_top1(targets: DataFrame, candidates: DataFrame, least: float = 0.6) -> DataFrame:
     """targets(pos, name, state) and candidates(cid, name, state): the most similar candidate of the same state whose
-    name shares the first distinctive word; ties to the smaller cid; nothing under `least`."""
+    name shares the first distinctive word; ties to the smaller cid; nothing under `least`.
+
+    Equal names are compared once. A pair is compared only if its letters allow `least` and, after the pair that they
+    allow most has been compared for each target, that pair's ratio: the rest can't win, so nothing is lost."""
     block = lambda c: F.lower(F.get(F.split(S.search_term(c), r"\s+"), 0))
-    t = targets.select("pos", F.col("name").alias("target"), "state", block(F.col("name")).alias("b"))
-    c = candidates.select("cid", F.col("name").alias("candidate"), F.col("state").alias("state2"), block(F.col("name")).alias("b2"))
-    j = t.join(c, (F.col("b") == F.col("b2")) & F.col("state").eqNullSafe(F.col("state2")))
-    scored = j.withColumn("score", similarity(S.fuzzy_key(F.col("target")), S.fuzzy_key(F.col("candidate")))).where(F.col("score") >= least)
-    return scored.groupBy("pos", "target").agg(F.max_by(F.struct("cid", "candidate", "score"), F.struct("score", -F.col("cid"))).alias("m")).select("pos", "target", "m.cid", "m.candidate", "m.score")
+    place = lambda c: F.struct(block(c).alias("b"), F.col("state").alias("s"))
+    t = targets.select("pos", F.col("name").alias("target"), place(F.col("name")).alias("at"), S.fuzzy_key(F.col("name")).alias("tk"))
+    c = candidates.select("cid", F.col("name").alias("candidate"), place(F.col("name")).alias("at"), S.fuzzy_key(F.col("name")).alias("ck"))
+    named = lambda df: df.where("at.b is not null")
+    goals = named(t).select("at", "tk").distinct().withColumn("tn", letter_counts(F.col("tk")))
+    offers = named(c).groupBy("at", "ck").agg(F.min(F.struct("cid", "candidate")).alias("c")).withColumn("cn", letter_counts(F.col("ck"))).withColumnRenamed("at", "at2")
+    same = (F.col("at.b") == F.col("at2.b")) & F.col("at.s").eqNullSafe(F.col("at2.s"))
+    top = most_similar(F.col("tk"), F.col("ck"), F.col("tn"), F.col("cn"))
+    pairs = materialise(goals.join(offers, same).select("at", "tk", "ck", "c", top.alias("top")).where(F.col("top") >= least), "pairs")
+    first = pairs.groupBy("at", "tk").agg(F.max_by("ck", "top").alias("ck"))
+    first = materialise(first.select("at", "tk", similarity(F.col("tk"), F.col("ck")).alias("reached")), "first")
+    both = pairs.join(first.select(F.col("at").alias("at2"), F.col("tk").alias("tk2"), "reached"), same & (F.col("tk") == F.col("tk2")))
+    open_ = both.where(F.col("top") >= F.col("reached")).select("at", "tk", "ck", "c")
+    scored = open_.withColumn("score", similarity(F.col("tk"), F.col("ck"))).where(F.col("score") >= least)
+    best = scored.groupBy("at", "tk").agg(F.max_by(F.struct("c", "score"), F.struct("score", -F.col("c.cid"))).alias("m"))
+    best = best.select(F.col("at").alias("at2"), F.col("tk").alias("tk2"), "m.c.cid", "m.c.candidate", "m.score")
+    return named(t).join(best, same & (F.col("tk") == F.col("tk2"))).select("pos", "target", "cid", "candidate", "score")
 
 
 def enrich(members: DataFrame, matches: DataFrame) -> DataFrame:

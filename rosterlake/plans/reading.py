@@ -78,9 +78,27 @@ def _fuzzy(spark, sf_dir):
     return L.fuzzy_top1(t, p.select(F.col("p_partkey").alias("cid"), F.col("p_name").alias("name"), F.col("p_brand").alias("state")))
 
 
-@register("fuzzy_top1_match")
+#: The ratio by its definition: the longest common run of a pair of segments (the earliest of equals), then what lies before and behind it, on and on.
+RATIO = r"""WITH RECURSIVE keyed AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, lower(string_split(p_name, ' ')[1]) AS block, regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') AS ck FROM part),
+  goal AS (SELECT DISTINCT brand, block, ck || ' main' AS tk FROM keyed), offer AS (SELECT brand, block, ck, min(id) AS cid, arg_min(name, id) AS candidate FROM keyed GROUP BY ALL),
+  words AS (SELECT DISTINCT tk, ck FROM goal JOIN offer USING (brand, block)),
+  pair AS (SELECT row_number() OVER (ORDER BY tk, ck) AS p, tk, ck FROM words),
+  a AS (SELECT p, unnest(generate_series(1, length(tk))) AS i, unnest(string_split(tk, '')) AS x FROM pair), b AS (SELECT p, unnest(generate_series(1, length(ck))) AS j, unnest(string_split(ck, '')) AS x FROM pair),
+  eq AS (SELECT p, i, j FROM a JOIN b USING (p, x)),
+  seg(p, al, ah, bl, bh, n) AS (SELECT p, 1, length(tk) + 1, 1, length(ck) + 1, 0 FROM pair
+    UNION ALL SELECT s.p, unnest([s.al, i + n]), unnest([i, s.ah]), unnest([s.bl, j + n]), unnest([j, s.bh]), unnest([n, 0]) FROM (
+      SELECT p, al, ah, bl, bh, arg_min(i, (-n, i, j)) AS i, arg_min(j, (-n, i, j)) AS j, max(n) AS n FROM (
+        SELECT p, al, ah, bl, bh, min(i) AS i, min(j) AS j, count(*) AS n FROM (
+          SELECT s.*, i, j, i - row_number() OVER (PARTITION BY s.p, al, bl, i - j ORDER BY i) AS run FROM (SELECT p, al, ah, bl, bh FROM seg WHERE ah > al AND bh > bl) s JOIN eq ON s.p = eq.p AND i >= al AND i < ah AND j >= bl AND j < bh)
+        GROUP BY p, al, ah, bl, bh, i - j, run) GROUP BY p, al, ah, bl, bh) s),
+  ratio AS (SELECT tk, ck, 2.0 * sum(n) / (length(tk) + length(ck)) AS score FROM seg JOIN pair USING (p) GROUP BY tk, ck)
+  SELECT k.id AS pos, k.name || ' University-Main Campus' AS target, arg_max(o.cid, (score, -o.cid)) AS cid, arg_max(o.candidate, (score, -o.cid)) AS candidate, round(max(score), 6) AS score
+  FROM keyed k JOIN offer o ON k.brand = o.brand AND k.block = o.block JOIN ratio r ON r.tk = k.ck || ' main' AND r.ck = o.ck WHERE score >= 0.6 GROUP BY k.id, k.name"""
+
+
+@register("fuzzy_top1_match", RATIO)
 def fuzzy_top1_match(spark, sf_dir):
-    """Parts under perturbed names against all parts, within a brand (tests hold it against difflib)."""
+    """Parts under perturbed names against all parts, within a brand."""
     return _fuzzy(spark, sf_dir).select("pos", "target", "cid", "candidate", F.round("score", 6).alias("score"))
 
 

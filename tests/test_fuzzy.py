@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 from pyspark.sql import functions as F
 
@@ -30,3 +31,29 @@ def test_fuzzy_top1_is_difflib(spark):
         if scored and max(scored)[0] >= 0.6:
             want[pos] = (-max(scored)[1], round(max(scored)[0], 6))
     assert {r["pos"]: (r["cid"], round(r["score"], 6)) for r in L.fuzzy_top1(goal, cand).collect()} == want and len(want) >= 4
+
+
+def test_bounds_leave_out_nobody(spark):
+    """Random names in few blocks: what the letters rule out can't win, and few pairs are left to compare."""
+    import random
+
+    r = random.Random(3)
+    name = lambda: r.choice(["Red", "Blue"]) + " " + " ".join("".join(r.choice("abcdeé-") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(0, 4)))
+    cand = [(i, name(), r.choice(["TX", None])) for i in range(150)]
+    goal = [(i, name() + r.choice(["", " University", " College of the Lakes"]), r.choice(["TX", None, "CA"])) for i in range(120)]
+    cand += [(900 + i, *cand[i][1:]) for i in range(20)]  # repeated names: the smaller id wins
+    key = lambda n: re.sub("[^a-z0-9]+", " ", re.sub(r"\b(?:the|university|college|campus|of|at|and)\b", " ", n.lower())).strip()
+    want = {}
+    for pos, n, state in goal:
+        scored = [(difflib.SequenceMatcher(None, key(n), key(m)).ratio(), -c) for c, m, s in cand if s == state and m.split(" ")[0] == n.split(" ")[0]]
+        if scored and max(scored)[0] >= 0.6:
+            want[pos] = (-max(scored)[1], round(max(scored)[0], 6))
+    c, g = (spark.createDataFrame(x, f"{k} int, name string, state string") for x, k in ((cand, "cid"), (goal, "pos")))
+    assert {x["pos"]: (x["cid"], round(x["score"], 6)) for x in L.fuzzy_top1(g, c).collect()} == want and len(want) > 60
+
+
+def test_no_ratio_is_over_its_bound(spark):
+    words = ["", "a", "ab ba", "abc cab bca", "red river 12", "river red 21", "zz top"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for x in df.select("a", "b", L.most_similar(F.col("a"), F.col("b"), L.letter_counts(F.col("a")), L.letter_counts(F.col("b"))).alias("top")).collect():
+        assert difflib.SequenceMatcher(None, x["a"], x["b"]).ratio() <= x["top"] + 1e-12
