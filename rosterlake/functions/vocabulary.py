@@ -182,3 +182,8 @@ EMPTY_DETAIL = "page fetched but no staff rows recognised"
 ATHLETICS_KIND = "athletics directory"
 GENERAL_KIND = "general directory, coaches only"
 OK_DETAIL = " with an email address ("
+
+#: How one maker of athletics sites marks a person's card, its name and its title.
+CARD_MARKS = (("data-test-id", "s-person-card-list__root"), ("class", "s-person-card--list"), ("class", "s-person-card"))
+CARD_NAME = "s-person-details__personal-single-line"
+CARD_TITLE = "s-person-details__position"

@@ -61,13 +61,6 @@ class Node:
     def get(self, name: str) -> str:
         return self.attrs.get(name) or ""
 
-    def before(self) -> Iterator[Node]:
-        """Element siblings above, nearest first."""
-        if self.parent is not None:
-            sib = self.parent.children
-            at = next(i for i, c in enumerate(sib) if c is self)
-            yield from (c for c in reversed(sib[:at]) if isinstance(c, Node))
-
 
 class _Builder(HTMLParser):
     def __init__(self):

@@ -18,6 +18,7 @@ from rosterlake.functions import web as W
 from rosterlake.functions.text import clean, let, lookup
 from rosterlake.operators.dom import Node, parse, visible_text
 from rosterlake.operators.merge import forward_fill
+from rosterlake.operators.outline import Outline
 from rosterlake.tables import materialise
 
 _NOT_LINK = ("mailto:", "tel:", "javascript:", "#")
@@ -216,96 +217,76 @@ def fold_site(pages: DataFrame, spec) -> DataFrame:
 
 #: What any element that may stand for a person says about them.
 WHO = "struct<scripted:array<string>,mailto:array<string>,tel:array<string>,profile_url:string,images:array<struct<src:string,alt:string>>>"
-#: A table as it is written: its lines in order, each with the part of the table it stands in and its cells.
-TABLE = f"place:int,caption:string,above:string,lines:array<struct<part:string,th:array<string>,td:array<string>,linked:boolean,who:{WHO}>>"
-#: People of a page without a usable table.
-PERSON = f"kind:int,place:int,raw_name:string,raw_title:string,raw_group:string,who:{WHO}"
-_HEADING = re.compile(V.GENERIC_HEADING)
+#: A part of a page that may hold people. Kind 0 is a table as it is written: its lines in order, each with the part of the table it stands in and its
+#: cells. Kinds 1 (a card) and 2 (a block around one address) are a person each, in one line; marks are the kinds of card an element is, inside those of
+#: the cards around it. Kind 9 is a page that could not be read.
+PART = (
+    "kind:int,place:int,caption:string,above:string,raw_name:string,raw_title:string,marks:array<int>,inside:array<int>,error:string,"
+    f"lines:array<struct<part:string,th:array<string>,td:array<string>,linked:boolean,who:{WHO}>>"
+)
 _PROFILE = re.compile(V.PROFILE_PATH)
 _SPLIT = re.compile(V.SPLIT_EMAIL)
 _COACH = re.compile(V.COACH_TITLE)
-_CARD_NAME = "s-person-details__personal-single-line"
+_FIELDS = ("kind", "place", "caption", "above", "raw_name", "raw_title", "marks", "inside", "error", "lines")
 
 
-def _links(node: Node) -> list[str]:
-    return [n.get("href") for n in node.find("a") if n.get("href")]
+def _profile(href: str) -> str | None:
+    """A link to a person's own page, without its query."""
+    return href.split("?")[0] if not href.startswith(_NOT_LINK) and _PROFILE.search(href) else None
 
 
-def _profile(href: str) -> bool:
-    return not href.startswith(_NOT_LINK) and bool(_PROFILE.search(href))
+def _part(kind: int, **said) -> dict:
+    return {f: None for f in _FIELDS} | {"kind": kind} | said
 
 
 def _contact(node: Node, base: str) -> dict:
-    hrefs = _links(node)
+    hrefs = [n.get("href") for n in node.find("a") if n.get("href")]
+    plain = lambda scheme: [h[len(scheme) :].split("?")[0] for h in hrefs if h.startswith(scheme)]
+    profile = next(filter(None, map(_profile, hrefs)), None)
     return {
         "scripted": [f"{a}@{b}" for s in node.find("script") for a, b in _SPLIT.findall(s.text())],
-        "mailto": [h[7:].split("?")[0] for h in hrefs if h.startswith("mailto:")],
-        "tel": [h[4:].split("?")[0] for h in hrefs if h.startswith("tel:")],
-        "profile_url": next((urljoin(base, h).split("?")[0] for h in hrefs if _profile(h)), None),
+        "mailto": plain("mailto:"),
+        "tel": plain("tel:"),
+        "profile_url": profile and urljoin(base, profile),
         "images": [{"src": urljoin(base, n.get("data-src") or n.get("src")), "alt": n.get("alt")} for n in node.find("img") if n.get("data-src") or n.get("src")],
     }
 
 
-def _one_person(node: Node) -> bool:
-    """A block that holds one person's details: their heading is a name, not a section's."""
-    hrefs = _links(node)
-    if sum(h.startswith("mailto:") for h in hrefs) == 1:
-        return True
-    if sum(n.get("data-test-id") == _CARD_NAME for n in node.walk()) == 1:
-        return True
-    return len({h.split("?")[0] for h in hrefs if _profile(h)}) == 1
-
-
-def _heading_above(node: Node) -> str | None:
-    at = node
-    for _ in range(60):
-        for prev in at.before():
-            if _one_person(prev):
-                continue
-            inner = prev.find("h1", "h2", "h3", "h4", "caption")
-            for h in ([prev] if prev.tag in ("h1", "h2", "h3", "h4", "h5", "caption") else []) + inner[-1:]:
-                text = h.shown()
-                if text and not _HEADING.match(text):
-                    return text[:120]
-        at = at.parent
-        if at is None:
-            return None
-    return None
+def _line(part: str, th: list[str], td: list[str], node: Node, base: str) -> dict:
+    return {"part": part, "th": th, "td": td, "linked": any(n.get("href") for n in node.find("a")), "who": _contact(node, base)}
 
 
-def _table(table: Node, base: str) -> dict:
+def _table(table: Node, over: str | None, base: str) -> dict:
     lines = []
     for tr in table.find("tr"):
         part = next((a.tag for a in tr.ancestors() if a.tag in ("thead", "tbody", "tfoot", "table")), "")
-        th, td = ([c.shown() for c in tr.find(tag)] for tag in ("th", "td"))
-        lines.append({"part": part, "th": th, "td": td, "linked": bool(_links(tr)), "who": _contact(tr, base)})
-    return {"caption": next((c.shown() for c in table.find("caption")), None), "above": _heading_above(table), "lines": lines}
+        lines.append(_line(part, *([c.shown() for c in tr.find(tag)] for tag in ("th", "td")), tr, base))
+    return _part(0, caption=next((c.shown() for c in table.find("caption")), None), above=over, lines=lines)
 
 
-def _outermost(nodes: list[Node]) -> list[Node]:
-    taken: set[int] = set()
-    out = []
-    for n in nodes:
-        if not any(id(a) in taken for a in n.ancestors()):
-            taken.add(id(n))
-            out.append(n)
-    return out
+def _marks(node: Node) -> list[int]:
+    """Which of the fixed marks of a person's card an element has."""
+    return [i for i, (attribute, value) in enumerate(V.CARD_MARKS) if (node.get(attribute) == value if attribute == "data-test-id" else value in node.get(attribute))]
 
 
-def _person_cards(root: Node, base: str) -> list[dict]:
-    tests = (lambda n: n.get("data-test-id") == "s-person-card-list__root", lambda n: "s-person-card--list" in n.get("class"), lambda n: "s-person-card" in n.get("class"))
-    every = list(root.walk())
-    cards = next((c for t in tests if (c := [n for n in every if t(n)])), [])
+def _cards(root: Node, outline: Outline, base: str) -> list[dict]:
+    """Every marked element; which marks count on a page, and which cards lie in others, is decided where the page's are together."""
+    marked = {id(n): m for n in root.walk() if (m := _marks(n))}
     out = []
-    for card in _outermost(cards):
-        name = next(("".join(s.strip() for s, _ in n.strings()) for n in card.walk() if n.get("data-test-id") == _CARD_NAME), "")
-        title = next((" ".join(s.strip() for s, _ in n.strings() if s.strip()) for n in card.walk() if "s-person-details__position" in n.get("class")), None)
-        if name:
-            out.append({"kind": 1, "raw_name": name, "raw_title": title, "raw_group": _heading_above(card), "who": _contact(card, base)})
+    for card in (n for n in root.walk() if id(n) in marked):
+        says = {}
+        for n in card.walk():
+            texts = [t for s, _ in n.strings() if (t := s.strip())]
+            if n.get("data-test-id") == V.CARD_NAME:
+                says.setdefault("raw_name", "".join(texts))
+            if V.CARD_TITLE in n.get("class"):
+                says.setdefault("raw_title", " ".join(texts))
+        inside = sorted({i for a in card.ancestors() for i in marked.get(id(a), ())})
+        out.append(_part(1, above=outline.over(card), marks=marked[id(card)], inside=inside, lines=[_line("", [], [], card, base)], **says))
     return out
 
 
-def _blocks(root: Node, base: str) -> list[dict]:
+def _blocks(root: Node, outline: Outline, base: str) -> list[dict]:
     """From each address outwards: the widest list item, article or staff element that holds no other address."""
     fits = lambda n: n.tag in ("li", "article") or any(w in n.get("class") for w in ("staff", "person", "coach"))
     mails = [n for n in root.find("a") if n.get("href").startswith("mailto:")]
@@ -320,15 +301,16 @@ def _blocks(root: Node, base: str) -> list[dict]:
         if name:
             lines = [x.strip(" -–—·|") for x in re.split(r"\s{2,}|\|", block.shown().replace(name, " ", 1))]
             title = next((x for x in lines if _COACH.search(x) and len(x) <= 120), None)
-            out.append({"kind": 2, "raw_name": name, "raw_title": title, "raw_group": _heading_above(block), "who": _contact(block, base)})
+            out.append(_part(2, raw_name=name, raw_title=title, above=outline.over(block), lines=[_line("", [], [], block, base)]))
     return out
 
 
-def staff_parts(html: str, url: str) -> dict:
-    """A page's tables as written, and the people of its person cards, else of its blocks with one address."""
+def staff_parts(html: str, url: str) -> list[dict]:
+    """A page's tables as written, its marked cards and its blocks with one address."""
     root = parse(html)
-    number = lambda xs: [{"place": i, **x} for i, x in enumerate(xs)]
-    return {"tables": number(_table(t, url) for t in root.find("table")), "people": number(_person_cards(root, url) or _blocks(root, url))}
+    outline = Outline(root, _profile)
+    kinds = [_table(t, outline.over(t), url) for t in root.find("table")], _cards(root, outline, url), _blocks(root, outline, url)
+    return [{**x, "place": i} for parts in kinds for i, x in enumerate(parts)]
 
 
 def _usable(c: Column) -> Column:
@@ -336,77 +318,94 @@ def _usable(c: Column) -> Column:
     return (F.trim(c) != "") & (F.length(F.trim(c)) <= 80) & ~F.trim(c).rlike(V.GENERIC_HEADING)
 
 
-def _grid(tables: DataFrame) -> DataFrame:
-    """What the lines of each table mean: body, the place of each known column, the group its people belong to at first."""
+def _grid(parts: DataFrame) -> DataFrame:
+    """What the lines of each part mean: body, the place of each known column, the group its people belong to at first."""
     in_part = lambda p: F.filter("lines", lambda x: x["part"] == p)
     empty = F.array().cast("array<string>")
     head = F.filter(F.when(F.size(in_part("thead")) > 0, in_part("thead")).otherwise(F.col("lines")), lambda x: F.size(x["th"]) >= 2)
     body = F.when(F.size(in_part("tbody")) > 0, in_part("tbody")).otherwise(F.filter("lines", lambda x: x["part"] != "thead"))
-    t = tables.withColumn("headers", F.coalesce(F.get(F.transform(head, lambda x: F.transform(x["th"], F.trim)), 0), empty)).withColumn("body", body)
+    t = parts.withColumn("headers", F.coalesce(F.get(F.transform(head, lambda x: F.transform(x["th"], F.trim)), 0), empty)).withColumn("body", body)
     # the body is as wide as most of its lines; surplus headers, on the left, have no cells
     wide = F.filter(F.transform("body", lambda x: F.size(x["td"])), lambda n: n > 1)
     often = let(wide, lambda w: F.transform(F.array_distinct(w), lambda n: F.struct(F.size(F.filter(w, lambda k: k == n)).alias("times"), n.alias("width"))))
     width = let(often, lambda o: F.get(F.filter(o, lambda x: x["times"] == F.array_max(F.transform(o, lambda y: y["times"]))), 0)["width"])
     t = t.withColumn("surplus", F.greatest(F.lit(0), F.size("headers") - F.coalesce(width, F.size("headers"))))
     named = F.transform("headers", lambda h, i: F.struct(lookup(F.lower(h), V.COLUMN_ALIASES).alias("field"), (i - F.col("surplus")).alias("at"), h.alias("said")))
-    t = t.withColumn("named", named).withColumn("columns", F.filter("named", lambda x: x["field"].isNotNull())).where(F.exists("columns", lambda x: x["field"] == "name"))
+    t = t.withColumn("named", named).withColumn("columns", F.filter("named", lambda x: x["field"].isNotNull()))
+    t = t.where((F.col("kind") > 0) | F.exists("columns", lambda x: x["field"] == "name"))
     first = lambda c: F.get(c, 0)
     spare = first(F.filter("named", lambda x: (x["at"] < 0) & x["field"].isNull() & (x["said"] != "")))["said"]
     lone = first(F.filter(F.transform(F.filter("lines", lambda x: (F.size(x["th"]) == 1) & (F.size(x["td"]) == 0)), lambda x: first(x["th"])), _usable))
     heading = F.when(F.coalesce("caption", F.lit("")) != "", F.when(_usable(F.col("caption")), F.col("caption"))).otherwise(lone)
-    return t.select("page_id", "url", "place", "columns", "body", F.coalesce(spare, heading, "above").alias("heading"))
+    return t.select("page_id", "url", "kind", "place", "raw_name", "raw_title", "error", "columns", "body", F.coalesce(spare, heading, "above").alias("heading"))
 
 
-def table_people(tables: DataFrame) -> DataFrame:
-    """tables(page_id, url, TABLE) -> people as their lines say; a line of one cell names the group of those below it."""
-    line = _grid(tables).select("page_id", "url", "place", "columns", "heading", F.posexplode("body").alias("line", "x"))
-    alone = F.get(F.when(F.size("x.td") > 0, F.col("x.td")).otherwise(F.col("x.th")), 0)
-    single = (F.size(F.when(F.size("x.td") > 0, F.col("x.td")).otherwise(F.col("x.th"))) == 1) & ~F.col("x.linked")
-    line = line.withColumn("single", single).withColumn("label", F.when(single & (alone != "") & (F.length(alone) <= 80), alone))
-    line = forward_fill(line, "label", ["page_id", "place"], "line").where("not single")
+def part_people(parts: DataFrame) -> DataFrame:
+    """parts(page_id, url, PART) -> people as their lines say; in a table, a line of one cell names the group of those below it."""
+    line = _grid(parts).select("page_id", "url", "kind", "place", "raw_name", "raw_title", "error", "columns", "heading", F.posexplode_outer("body").alias("line", "x"))
+    cells = F.when(F.size("x.td") > 0, F.col("x.td")).otherwise(F.col("x.th"))
+    alone = F.get(cells, 0)
+    single = (F.col("kind") == 0) & (F.size(cells) == 1) & ~F.col("x.linked")
+    line = line.withColumn("single", F.coalesce(single, F.lit(False))).withColumn("label", F.when(F.col("single") & (alone != "") & (F.length(alone) <= 80), alone))
+    line = forward_fill(line, "label", ["page_id", "kind", "place"], "line").where("not single")
 
     def value(field: str) -> Column:
         places = F.filter("columns", lambda c: (c["field"] == field) & (c["at"] >= 0) & (c["at"] < F.size("x.td")))
         return F.get(F.col("x.td"), F.get(F.reverse(places), 0)["at"])
 
-    out = line.select("page_id", "url", F.lit(0).alias("kind"), "place", "line", value("name").alias("raw_name"), value("title").alias("raw_title"), F.coalesce("label", "heading").alias("raw_group"), value("email").alias("cell_email"), value("phone").alias("cell_phone"), "x.who")
-    return out.where((F.coalesce("raw_name", F.lit("")) != "") & ~F.col("raw_name").rlike(V.SKIP_NAME))
+    own = F.col("kind") > 0
+    name = F.when(own, F.col("raw_name")).otherwise(value("name"))
+    out = line.select(
+        "page_id", "url", "kind", "place", "line", "error", name.alias("raw_name"), F.when(own, F.col("raw_title")).otherwise(value("title")).alias("raw_title"), F.coalesce("label", "heading").alias("raw_group"),
+        F.when(~own, value("email")).alias("cell_email"), F.when(~own, value("phone")).alias("cell_phone"), "x.who",
+    )
+    named = (F.coalesce("raw_name", F.lit("")) != "") & (own | ~F.col("raw_name").rlike(V.SKIP_NAME))
+    return out.where(F.col("error").isNotNull() | named)
 
 
 def raw_staff(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> raw people with pos: those of a page's tables, else of its cards or blocks. A page that
-    can't be parsed has none."""
+    """pages(page_id, url, html) -> raw people with pos: those of a page's tables, else of its cards, else of its blocks; each page is
+    parsed once. A page that can't be parsed is one row that says so in `error`, and has no name."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 try:
-                    rows.append({"page_id": i, "url": u, **staff_parts(h or "", u or "")})
-                except Exception:  # one page's trouble isn't the others'
-                    continue
-            yield pd.DataFrame(rows, columns=["page_id", "url", "tables", "people"])
-
-    parts = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id bigint, url string, tables array<struct<{TABLE}>>, people array<struct<{PERSON}>>")
-    tables = table_people(parts.select("page_id", "url", F.inline("tables")))
-    none = F.lit(None).cast("string")
-    other = parts.select("page_id", "url", F.inline("people")).select("page_id", "url", "kind", "place", F.lit(0).alias("line"), "raw_name", "raw_title", "raw_group", none.alias("cell_email"), none.alias("cell_phone"), "who")
-    every = tables.union(other)
+                    found = staff_parts(h or "", u or "")
+                except Exception as e:  # one page's trouble isn't the others'
+                    found = [_part(9, place=0, lines=[], error=f"{type(e).__name__}: {e}"[:300])]
+                rows.append({"page_id": i, "url": u, "parts": found})
+            yield pd.DataFrame(rows, columns=["page_id", "url", "parts"])
+
+    parts = pages.select("page_id", "url", "html").mapInPandas(run, f"page_id bigint, url string, parts array<struct<{PART}>>")
+    # of the cards of a page those of its first mark count, and of those the outermost
+    first = F.array_min(F.flatten(F.transform(F.filter("parts", lambda x: x["kind"] == 1), lambda x: x["marks"])))
+    parts = parts.select("page_id", "url", first.alias("mark"), F.inline("parts"))
+    parts = parts.where((F.col("kind") != 1) | (F.array_contains("marks", F.col("mark")) & ~F.array_contains("inside", F.col("mark"))))
+    every = part_people(parts)
     best = Window.partitionBy("page_id")
     every = every.withColumn("_best", F.min("kind").over(best)).where("kind = _best")
     photo = F.filter("who.images", lambda m: ~F.startswith(m["src"], F.lit("data:")) & ~m["src"].rlike(V.STOCK_IMAGE) & ~F.coalesce(m["alt"], F.lit("")).rlike(V.STOCK_IMAGE))
     pos = (F.row_number().over(best.orderBy("place", "line")) - 1).alias("pos")
-    return every.select("page_id", "url", pos, "raw_name", "raw_title", "raw_group", "who.scripted", "who.mailto", "who.tel", "cell_email", "cell_phone", "who.profile_url", F.when(F.col("kind") == 0, F.substring_index(F.get(photo, 0)["src"], "?", 1)).alias("photo_url"))
+    return every.select("page_id", "url", pos, "raw_name", "raw_title", "raw_group", "who.scripted", "who.mailto", "who.tel", "cell_email", "cell_phone", "who.profile_url", F.when(F.col("kind") == 0, F.substring_index(F.get(photo, 0)["src"], "?", 1)).alias("photo_url"), "error")
 
 
 def staff_rows(pages: DataFrame, spec, signals: int = 5) -> DataFrame:
     """pages(page_id, url, html) -> people of pages that pass the directory gate, folded by key within the page."""
+    return staff_and_errors(pages, spec, signals)[0]
+
+
+def staff_and_errors(pages: DataFrame, spec, signals: int = 5) -> tuple[DataFrame, DataFrame]:
+    """staff_rows, and (page_id, url, error) of the gated pages that could not be read."""
     from rosterlake.operators.lookups import colleague_departments
     from rosterlake.operators.merge import dedupe_page, shared_emails
 
     gated = pages.where(W.looks_like_directory(F.col("html"), signals))
     # the steps below read their rows more than once; pages are parsed once
-    raw = materialise(raw_staff(gated).where(~P.is_placeholder_name(F.col("raw_name"))), "staff")
+    kept = raw_staff(gated).where(F.col("error").isNotNull() | ~P.is_placeholder_name(F.col("raw_name")))
+    kept = materialise(kept, "staff")
+    raw, errors = kept.where("error is null"), kept.where("error is not null").select("page_id", "url", "error")
     group = P.clean_group(F.col("raw_group"))
     mails = F.filter(F.transform(F.concat("scripted", "mailto"), lambda x: F.lower(F.trim(x))), W.email_ok)
     phones = F.filter(F.transform(F.concat("tel", F.array(F.coalesce("cell_phone", F.lit("")))), W.clean_phone), lambda x: x.isNotNull())
@@ -417,7 +416,7 @@ def staff_rows(pages: DataFrame, spec, signals: int = 5) -> DataFrame:
         "profile_url", F.col("url").alias("source_url"), "photo_url", (F.size("g.emails") > 0).alias("shared_email"),
     ).withColumn("is_coach", P.is_coaching_title(F.col("title")))
     once = materialise(dedupe_page(people, spec), "staff")
-    return shared_emails(colleague_departments(once, "page_id"), page="page_id")
+    return shared_emails(colleague_departments(once, "page_id"), page="page_id"), errors
 
 
 def athletics_share(people: DataFrame, least: float = 0.10) -> DataFrame:
