@@ -5,11 +5,13 @@
    that hold such a gram. Segments of equal content (equal gram hash and equal XXH3 of their words, two unlike hashes) are
    one class with its least id.
 2. Automata: the passages of the classes of a gram are compiled into Aho-Corasick automata over word numbers
-   (pyahocorasick), each with the least id of its passages. A shard holds whole grams, up to `shard` segments; a gram with
-   more classes is dealt passage by passage, by a hash of the passage, into as many parts as it needs.
+   (pyahocorasick), each with the least id of its passages. A shard holds whole grams, up to `shard` segments.
 3. Streaming: the text of every class is streamed through the automaton of its shard, and every occurrence takes the
    least id. A text meets only the shards its own grams name, so shards and documents don't multiply. What a class
    learns holds for all documents that have it.
+4. A gram of over DEAL classes: its passages are first aggregated by their words, map-side, so one in any number of contexts is one row
+   with its least id, and those of one document go. What is left is dealt into parts of about DEAL passages, a part's segments
+   into slices of about DEAL, and each slice streams through its part's automaton in a group of its own.
 
 Passages in one document only don't count. Null text has no words; a null id is the greatest, and two null ids don't
 count against each other; rows of the same id neither. Ties don't arise: the least id alone counts. An empty table gives
@@ -22,14 +24,16 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
 from rosterlake.llm.keys import Shield, join_hot, schema_of
-from rosterlake.tables import materialise
+from rosterlake.llm.order import broadcast_few
+from rosterlake.tables import forget, materialise
 
-#: Classes of one gram in a shard, about; beyond it the gram's passages are dealt by their hash.
+#: Classes of one gram in a shard; beyond it, passages in an automaton and segments in a slice, about.
 DEAL = 2000
 
 
@@ -81,41 +85,25 @@ def _segments(window: int, gram: int):
     return run
 
 
-_CUT = pa.schema([("a", pa.int64()), ("part", pa.int64()), ("seg", pa.int64()), ("lo", pa.int64()), ("own", pa.list_(pa.int32())), ("words", pa.string())])
+_CUT = pa.schema([("a", pa.int64()), ("seg", pa.int64()), ("lo", pa.int64()), ("words", pa.string())])
 
 
 def _cut(window: int, hold: int = 8 << 20):
-    """Segments as text, each with the windows that are to be settled in its part of the gram."""
+    """Segments as text."""
 
     def run(batches):
         for rows, buf, off in B.slices(batches, "text"):
             start, end, first = B.words(buf, off)
             flat, start, end = B.joined(buf, start, end)
             raw = flat.tobytes()
-            sums = B.prefix(B.span(B.prefix(B.byte_values(flat)), start, end)) if len(raw) <= 4 << 20 else None
             out, size = {k: [] for k in _CUT.names}, 0
             for i, segs in enumerate(rows.column("segs")):
                 for g in segs.as_py():
                     b, n = int(first[i]) + (g["x"] >> 32), g["x"] >> 16 & 0xFFFF
                     text = raw[start[b] : end[b + n - 2 + window]].decode()
-                    parts = -(-g["k"] // DEAL)
-                    j = np.arange(n)
-                    if parts == 1:
-                        dealt = [(0, j)]
-                    else:
-                        if sums is not None:
-                            h = B.span(sums, b + j, b + j + window)
-                        else:  # of a very long text, the segment's own
-                            a = np.array([0, end[b + n - 2 + window] - start[b]])
-                            w = slice(b, b + n - 1 + window)
-                            own = B.prefix(B.span(B.prefix(B.byte_values(flat[start[b] : start[b] + a[1]])), start[w] - start[b], end[w] - start[b]))
-                            h = B.span(own, j, j + window)
-                        part = (h % B.U(parts)).astype(np.int64)
-                        dealt = [(int(q), j[part == q]) for q in np.unique(part)]
-                    for part, own in dealt:
-                        for k, v in zip(out, (g["a"], part, g["seg"], g["lo"], own.tolist(), text)):
-                            out[k].append(v)
-                        size += len(text)
+                    for k, v in zip(out, (g["a"], g["seg"], g["lo"], text)):
+                        out[k].append(v)
+                    size += len(text)
                 if size > hold:
                     yield pa.RecordBatch.from_pydict(out, schema=_CUT)
                     out, size = {k: [] for k in _CUT.names}, 0
@@ -125,49 +113,130 @@ def _cut(window: int, hold: int = 8 << 20):
     return run
 
 
+class Finder:
+    """An automaton over the numbers of words: passages with the least id of each."""
+
+    def __init__(self, least: dict[tuple[str, ...], int]):
+        self.number: dict[str, int] = {}
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, lo in least.items():
+            self.auto.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in key), lo)
+        self.auto.make_automaton()
+
+    def earlier(self, words: list[str], window: int, lo: int) -> list[int]:
+        """Windows of a text that are passages of an id under lo; a word that no passage has is 0."""
+        return [stop - window + 1 for stop, least in self.auto.iter(tuple(self.number.get(w, 0) for w in words)) if least < lo] if len(self.auto) else []
+
+
+def _hits(found) -> pa.RecordBatch:
+    found = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "seg", "j"])
+
+
 def _shard(window: int, shard: int):
-    """Compile and stream one shard after another; rows come sorted by (a, part)."""
+    """Compile and stream one shard after another; rows come sorted by a."""
 
     def settle(rows: list[dict]):
-        number: dict[str, int] = {}
-        seqs = [tuple([number.setdefault(w, len(number) + 1) for w in r["words"].split(" ")]) for r in rows]
+        texts = [r["words"].split(" ") for r in rows]
         least: dict[tuple, int] = {}
-        for r, q in zip(rows, seqs):
-            lo = r["lo"]
-            for j in r["own"]:
-                key = q[j : j + window]
-                if (old := least.get(key)) is None or lo < old:
-                    least[key] = lo
-        auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, lo in least.items():
-            auto.add_word(key, lo)
-        auto.make_automaton()
-        for r, q in zip(rows, seqs):
-            own = set(r["own"])
-            hit = sorted(j for stop, lo in auto.iter(q) if (j := stop - window + 1) in own and lo < r["lo"])
-            for j in hit:
+        for r, q in zip(rows, texts):
+            for j in range(len(q) - window + 1):
+                key = tuple(q[j : j + window])
+                if (old := least.get(key)) is None or r["lo"] < old:
+                    least[key] = r["lo"]
+        finder = Finder(least)
+        for r, q in zip(rows, texts):
+            for j in finder.earlier(q, window, r["lo"]):
                 yield r["a"], r["seg"], j
 
     def run(batches):
         rows, last = [], None
-
-        def out(found):
-            found = list(found)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "seg", "j"])
-
         for batch in batches:
             for r in batch.to_pylist():
-                if len(rows) >= shard and (r["a"], r["part"]) != last:
-                    yield out(settle(rows))
+                if len(rows) >= shard and r["a"] != last:
+                    yield _hits(settle(rows))
                     rows = []
                 rows.append(r)
-                last = (r["a"], r["part"])
+                last = r["a"]
         if rows:
-            yield out(settle(rows))
+            yield _hits(settle(rows))
+
+    return run
+
+
+def _passages(window: int):
+    """(a, h, words, lo) of each window of a segment, h a hash of its words."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                rows = batch.slice(i, 4096).to_pylist()
+                out = []
+                for r in rows:
+                    q = r["words"].split(" ")
+                    for j in range(len(q) - window + 1):
+                        text = " ".join(q[j : j + window])
+                        out.append((r["a"], xxhash.xxh3_64_intdigest(text) >> 1, text, r["lo"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["a", "h", "words", "lo"])
 
     return run
 
 
+def _parts_of(window: int):
+    """A segment once for each part of its gram that one of its windows falls into."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                rows = batch.slice(i, 4096)
+                take, part = [], []
+                for k, (text, parts) in enumerate(zip(rows.column("words").to_pylist(), rows.column("parts").to_pylist())):
+                    q = text.split(" ")
+                    mine = {(xxhash.xxh3_64_intdigest(" ".join(q[j : j + window])) >> 1) % parts for j in range(len(q) - window + 1)} if parts > 1 else {0}
+                    take += [k] * len(mine)
+                    part += sorted(mine)
+                names = ["a", "seg", "lo", "words"]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[rows.column(c).take(pa.array(take, pa.int64())) for c in names]], names=["part", *names])
+
+    return run
+
+
+def _stream(window: int):
+    """Groups of (a, part, slice), in order, the passages of the part before the segments of the slice."""
+
+    def run(batches):
+        key, least, finder = None, {}, None
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if (now := (r["a"], r["part"], r["slice"])) != key:
+                    key, least, finder = now, {}, None
+                if r["seg"] is None:
+                    least[tuple(r["words"].split(" "))] = r["lo"]
+                    continue
+                finder = finder or Finder(least)
+                found += [(r["a"], r["seg"], j) for j in finder.earlier(r["words"].split(" "), window, r["lo"])]
+            yield _hits(found)
+
+    return run
+
+
+def hot_streams(segments: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """segments(a, seg, lo, words), a table, of hot grams -> (a, part, slice, seg, lo, words): the recurring passages of each part (seg
+    null), again in each of its slices, and each slice's segments; and the tables that it reads."""
+    each = segments.mapInArrow(_passages(window), "a long, h long, words string, lo long")
+    each = each.groupBy("a", "h", "words").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("lo < hi")
+    passages = materialise(each.select("a", "h", "words", "lo"), "passages")
+    parts = materialise(passages.groupBy("a").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts")), "parts")
+    dealt = segments.join(broadcast_few(parts), "a").mapInArrow(_parts_of(window), "part int, a long, seg long, lo long, words string")
+    dealt = materialise(dealt, "dealt")
+    slices = materialise(dealt.groupBy("a", "part").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("slices")), "slices")
+    own = dealt.join(broadcast_few(slices), ["a", "part"]).select("a", "part", F.pmod(F.xxhash64("seg"), F.col("slices")).cast("int").alias("slice"), "seg", "lo", "words")
+    said = passages.join(broadcast_few(parts), "a").withColumn("part", (F.col("h") % F.col("parts")).cast("int")).join(broadcast_few(slices), ["a", "part"])
+    said = said.select("a", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("seg"), "lo", "words")
+    return own.unionByName(said), [passages, parts, dealt, slices]
+
+
 def _finish(window: int):
     def run(batches):
         for rows, buf, off in B.slices(batches, "text"):
@@ -194,7 +263,7 @@ def _finish(window: int):
 
 
 def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: int = 4000) -> DataFrame:
-    """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at words s to s + n - 1 go."""
+    """keyed(docs) with a column text -> (_id, _th, s, n), a table: windows that start at words s to s + n - 1 go."""
     if not 1 <= gram <= window <= 65_535:
         raise ValueError("a window has a gram of one word or more, and 65,535 words at most")
     src = docs.select("_id", "_th", "text")
@@ -203,18 +272,30 @@ def repeated_passages(docs: DataFrame, window: int = 13, gram: int = 4, shard: i
     found = materialise(src.mapInArrow(_segments(window, gram), "_id long, _th long, x long, a long, seg long").join(again, "a", "left_semi"), "candidates")
     classes = materialise(found.groupBy("a", "seg").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_th", "x")).alias("r")), "classes")
     many = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
-    need = classes.join(many, "a").select("r._id", "r._th", F.struct("r.x", "a", "seg", "k", F.col("r._id").alias("lo")).alias("g"))
-    need = need.groupBy("_id", "_th").agg(F.collect_list("g").alias("segs"))
-    one = src.join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    texts = one.mapInArrow(_cut(window), "a long, part long, seg long, lo long, own array<int>, words string").repartition("a", "part").sortWithinPartitions("a", "part")
-    met = texts.mapInArrow(_shard(window, shard), "a long, seg long, j int")
+    many = materialise(many, "grams")
+
+    def cut(grams: DataFrame) -> DataFrame:
+        need = classes.join(grams, "a", "left_semi").select("r._id", "r._th", F.struct("r.x", "a", "seg", F.col("r._id").alias("lo")).alias("g"))
+        need = need.groupBy("_id", "_th").agg(F.collect_list("g").alias("segs"))
+        return src.join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).mapInArrow(_cut(window), "a long, seg long, lo long, words string")
+
+    texts = cut(many.where(F.col("k") <= DEAL)).repartition("a").sortWithinPartitions("a")
+    met, made = texts.mapInArrow(_shard(window, shard), "a long, seg long, j int"), [again, found, classes, many]
+    if many.where(F.col("k") > DEAL).limit(1).count():
+        segments = materialise(cut(many.where(F.col("k") > DEAL)), "segments")
+        streams, tables = hot_streams(segments, window)
+        on = ["a", "part", "slice"]
+        met = met.unionByName(streams.repartition(*on).sortWithinPartitions(*on, F.col("seg").asc_nulls_first()).mapInArrow(_stream(window), "a long, seg long, j int"))
+        made += [segments, *tables]
     met = met.groupBy("a", "seg").agg(F.collect_set("j").alias("js"))
     verdict = materialise(classes.select("a", "seg", "c", F.col("r._id").alias("lo")).join(met, ["a", "seg"], "left"), "verdicts")
     at, n = F.shiftright("x", 32).cast("int"), F.shiftright("x", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
     j = join_hot(found, verdict, ["a", "seg"], "inner").select("_id", "_th", at.alias("s"), n.alias("n"), "lo", "js")
     # a later document loses the whole segment, the first one the windows that an earlier document has in another class
     run = F.when(F.col("_id") > F.col("lo"), F.array(F.struct("s", "n"))).otherwise(F.transform("js", lambda k: F.struct((F.col("s") + k).alias("s"), F.lit(1).alias("n"))))
-    return j.where("_id > lo or js is not null").select("_id", "_th", F.explode(run).alias("r")).select("_id", "_th", "r.s", "r.n")
+    out = materialise(j.where("_id > lo or js is not null").select("_id", "_th", F.explode(run).alias("r")).select("_id", "_th", "r.s", "r.n"), "passages")
+    forget(*made, verdict)
+    return out
 
 
 def phrase_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 13, gram: int = 4, shard: int = 4000) -> DataFrame:
@@ -222,8 +303,7 @@ def phrase_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     space)."""
     shield = Shield(docs, text_col, id_col)
     src = shield.keyed()
-    runs = materialise(repeated_passages(src, window, gram, shard), "passages")
-    per = runs.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
+    per = repeated_passages(src, window, gram, shard).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
     full = src.join(per, ["_id", "_th"], "left")
     out = full.mapInArrow(_finish(window), schema_of(full, "segs", "_id", "_th") + ", _words bigint, _spans array<struct<start:bigint,end:bigint>>, _kept string")
     return shield.restore(out, "_words", "_spans", "_kept")

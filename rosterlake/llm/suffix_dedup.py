@@ -12,7 +12,10 @@ All suffixes of a corpus are far more than the corpus, so the array is sparse an
    token by token, and equal neighbours at full depth are repeats. Splitters are leading bytes, so a run of equal
    leading bytes never crosses a boundary: neighbours across one differ within the leading token, which is the whole
    comparison there. A gram with very many classes is dealt by ranges of the window offset (equal windows have equal
-   offsets), and each range by the bytes that all its windows share, so its work has no fixed number of buckets.
+   offsets), and each range by the bytes that all its windows share.
+4. What these bytes leave together in a bucket of over 2 * DEAL rows are contexts of one passage: there each window is told by its
+   anchor, offset and two unlike hashes, and equal windows are counted map-side before anything is shuffled, so a passage in any
+   number of contexts is one row of each task and never a bucket.
 
 Matches never cross documents; they may overlap, and lie within one document. Null text counts as empty; a text shorter
 than min_bytes is kept whole; repeated rows are copies of each other, and no result depends on the order of ties; a null id
@@ -23,6 +26,8 @@ added are _spans and _kept (replaced if there).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
 from rosterlake.llm.keys import Shield, join_hot, schema_of
-from rosterlake.tables import materialise
+from rosterlake.llm.order import broadcast_few
+from rosterlake.tables import forget, materialise
 
 #: Classes of one gram in a bucket, about; beyond it the gram is dealt by window offset.
 DEAL = 2000
@@ -179,6 +185,40 @@ def _bucket(min_bytes: int, gram: int, hold: int = 3 << 20):
     return run
 
 
+def _hot_windows(min_bytes: int, gram: int):
+    """Every window of a row that belongs to its part: anchor, offset, two unlike hashes of its bytes, where it starts."""
+    width = min_bytes - gram + 1
+    names = ["a", "d", "h", "g", "_id", "_th", "s", "lone"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                rows = batch.slice(i, 512)
+                buf, off = B.column_bytes(rows.column("text"))
+                if not len(buf):
+                    continue
+                n, p, packed = (rows.column(c).to_numpy() for c in ("n", "p", "part"))
+                row = np.repeat(np.arange(rows.num_rows), n)
+                rel = B.ranges(np.zeros(rows.num_rows, np.int64), n)
+                d = p[row] - rel
+                mine = d * (packed[row] & 0xFFFF) // width == packed[row] >> 16
+                row, rel, d = row[mine], rel[mine], d[mine]
+                at = off[row] + rel
+                sums = B.prefix(B.byte_values(buf))
+                take = pa.array(row)
+                own = [rows.column(c).take(take) for c in ("a", "_id", "_th", "s", "lone")]
+                found = B.signed(B.span(sums, at, at + min_bytes)), B.signed(B.digests(buf.tobytes(), at, at + min_bytes))
+                start = pa.array((own[3].to_numpy() + rel).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(d.astype(np.int32)), *found, own[1], own[2], start, own[4]], names=names)
+
+    return run
+
+
+def hot_buckets(texts: DataFrame) -> DataFrame:
+    """(lead, part, core) of the buckets of over 2 * DEAL rows, a table: one row for at least as many rows of texts."""
+    return materialise(texts.groupBy("lead", "part", "core").agg(F.count("*").alias("k")).where(F.col("k") > 2 * DEAL).select("lead", "part", "core"), "hot")
+
+
 def _finish(min_bytes: int, with_text: bool):
     def run(batches):
         for rows, buf, off in B.slices(batches, "text"):
@@ -207,7 +247,7 @@ def _finish(min_bytes: int, with_text: bool):
 
 
 def repeated_windows(docs: DataFrame, min_bytes: int = 400, gram: int = 208) -> DataFrame:
-    """keyed(docs) with a column text -> (_id, _th, s, n): windows that start at bytes s to s + n - 1 are repeated."""
+    """keyed(docs) with a column text -> (_id, _th, s, n), a table: windows that start at bytes s to s + n - 1 are repeated."""
     if not 8 <= gram <= min_bytes <= 65_535:
         raise ValueError("a window has a gram of 8 bytes or more and 65,535 bytes at most")
     src = docs.select("_id", "_th", "text")
@@ -221,8 +261,20 @@ def repeated_windows(docs: DataFrame, min_bytes: int = 400, gram: int = 208) ->
     need = need.groupBy("_id", "_th").agg(F.collect_list("g").alias("segs"))
     one = src.join(need, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
     texts = materialise(one.mapInArrow(_cut(min_bytes, gram), "lead binary, part int, core long, text binary, a long, _id long, _th long, s int, n int, p int, lone boolean"), "suffixes")
-    sorted_ = texts.repartitionByRange("lead", "part", "core").sortWithinPartitions("lead", "part", "core")
-    return copies.union(sorted_.mapInArrow(_bucket(min_bytes, gram), "_id long, _th long, s int, n int"))
+    hot, on = hot_buckets(texts), ["lead", "part", "core"]
+    cool = texts.join(broadcast_few(hot), on, "left_anti")
+    sorted_ = cool.repartitionByRange("lead", "part", "core").sortWithinPartitions("lead", "part", "core")
+    parts = [copies, sorted_.mapInArrow(_bucket(min_bytes, gram), "_id long, _th long, s int, n int")]
+    made = [again, found, classes, texts, hot]
+    if hot.limit(1).count():
+        every = texts.join(broadcast_few(hot), on, "left_semi").mapInArrow(_hot_windows(min_bytes, gram), "a long, d int, h long, g long, _id long, _th long, s int, lone boolean")
+        every = materialise(every, "contexts")
+        twice = materialise(every.groupBy("a", "d", "h", "g").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+        parts.append(join_hot(every.where("lone"), twice, ["a", "d", "h", "g"], "left_semi").select("_id", "_th", "s", F.lit(1).alias("n")))
+        made += [every, twice]
+    out = materialise(reduce(DataFrame.union, parts), "windows")
+    forget(*made)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_bytes: int = 400, gram: int | None = None, with_text: bool = False) -> DataFrame:
@@ -232,8 +284,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     gram = gram or (min_bytes * 13) // 25
     shield = Shield(docs, text_col, id_col)
     src = shield.keyed()
-    runs = materialise(repeated_windows(src, min_bytes, gram), "windows")
-    per = runs.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
+    per = repeated_windows(src, min_bytes, gram)
+    per = per.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "n")).alias("segs"))
     full = src.join(per, ["_id", "_th"], "left")
     out = full.mapInArrow(_finish(min_bytes, with_text), schema_of(full, "segs", "_id", "_th") + ", _spans array<struct<start:bigint,end:bigint>>, _kept binary" + ", _kept_text string" * with_text)
     return shield.restore(out, "_spans", "_kept", *(["_kept_text"] if with_text else []))

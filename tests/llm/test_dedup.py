@@ -217,3 +217,54 @@ def test_components_chain_and_star(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(rows, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 140)}}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def _contexts(n, passage, words):
+    """One passage in n contexts that differ in every word around it."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    return [(i, " ".join([*(word() for _ in range(words)), passage, *(word() for _ in range(words))])) for i in range(n)]
+
+
+def test_one_passage_in_very_many_contexts(spark, monkeypatch):
+    """A hot passage is one row before anything is dealt: no group of a stream is far over DEAL, and results are those of brute force."""
+    from rosterlake.llm import phrase_dedup as P
+
+    passage = "the very same thirteen words stand here in each of all the many texts"
+    rows = _contexts(20_000, passage, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    seen, make = [], P.hot_streams
+
+    def watched(segments, window):
+        streams, made = make(segments, window)
+        seen.append(streams.groupBy("a", "part", "slice").count().agg({"count": "max"}).first()[0])
+        return streams, made
+
+    monkeypatch.setattr(P, "hot_streams", watched)
+    got = [(x["doc_id"], x["_words"], sum(s["end"] - s["start"] for s in x["_spans"]), brute.sha(x["_kept"])) for x in phrase_dedup(df).collect()]
+    assert sorted(got, key=str) == brute.phrases(rows)
+    assert len(seen) == 1 and seen[0] <= 2 * P.DEAL
+
+
+def test_one_string_in_very_many_contexts(spark):
+    """The same for bytes: what one bucket would hold is counted by windows instead."""
+    from rosterlake.llm import suffix_dedup as S
+
+    rows = _contexts(6000, prose(77, 75)[:430], 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    tables, make = [], S.hot_buckets
+
+    def watched(texts):
+        hot = make(texts)
+        left = texts.join(hot, ["lead", "part", "core"], "left_anti").groupBy("lead", "part", "core").count().agg({"count": "max"}).first()[0] or 0
+        tables.append((hot.count(), left))
+        return hot
+
+    S.hot_buckets = watched
+    try:
+        out = suffix_dedup(df, min_bytes=400).collect()
+    finally:
+        S.hot_buckets = make
+    got = [(x["doc_id"], len(x["text"].encode()), len(x["text"].encode()) - len(x["_kept"]), len(x["_spans"]), brute.sha(bytes(x["_kept"]))) for x in out]
+    assert sorted(got, key=str) == brute.suffix(rows)
+    assert tables[0][0] > 0 and tables[0][1] <= 2 * S.DEAL
