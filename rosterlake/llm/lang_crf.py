@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.llm import blocks as B
@@ -241,22 +241,21 @@ def train(texts: list[str], labels: list[str], chain: int = 64, rounds: int = 30
 def fit(docs: DataFrame, train_where: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 1200, floor: int = 40, longest: int = 100_000) -> Tagger:
     """Trains on about `sample` rows with text and language where train_where holds: of each language its share of them, but
     `floor` at least, those of the least hash. Texts of over `longest` characters aren't learned from (they are labelled like any
-    other), so the sample is bounded in bytes too. Languages are collected with their counts: they are few by nature."""
+    other), and repeated rows are learned from once, so what reaches the driver is bounded in rows and bytes whatever the table holds. Languages are
+    collected with about how many different rows they have: they are few by nature."""
     size = F.length(text_col)
     rows = docs.where(train_where & F.col(lang_col).isNotNull() & size.between(1, longest)).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    count = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("i", "l", "t"), F.lit(1 << 40)))
+    count = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not count:
         return train([], [])
     quota = {k: max(floor, -(-sample * n // sum(count.values()))) for k, n in count.items()}
-    # twice the quota's share of the hashes, so what tasks send to the driver doesn't grow with their number
-    share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, float(2 * quota[k] / n))])
-    h = F.pmod(F.xxhash64("i", "l", "t"), F.lit(1 << 40))
-    got = rows.where(h < F.element_at(share, F.col("l")) * F.lit(float(1 << 40))).select("i", "l", "t", h.alias("h")).collect()
-    left, chosen = dict(quota), []
-    for r in sorted(got, key=lambda r: (r["h"], r["i"] or "", r["l"], r["t"])):
-        if left[r["l"]] > 0:
-            left[r["l"]] -= 1
-            chosen.append(r)
+    per = lambda value: F.element_at(F.create_map(*[F.lit(x) for k in count for x in (k, value(k))]), F.col("l"))
+    # twice the quota's share of the hashes, repeated rows once; then the quota itself, cut in each task before they meet
+    some = rows.where(F.col("h") < per(lambda k: float(2 * quota[k] / count[k])) * F.lit(float(1 << 40))).dropDuplicates(["i", "l", "t"])
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", F.col("i").asc_nulls_first(), "t"))
+    least = some.withColumn("place", place).where(F.col("place") <= max(quota.values())).where(F.col("place") <= per(lambda k: quota[k]))
+    chosen = sorted(least.collect(), key=lambda r: (r["h"], r["i"] or "", r["l"], r["t"]))
     return train([r["t"] for r in chosen], [r["l"] for r in chosen])
 
 
