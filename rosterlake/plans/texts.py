@@ -433,3 +433,62 @@ def session_windows(spark, sf_dir):
 
     out = sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+#: Hosts of the pages, each with a way its directory is found (way), the known path it may be at (at), and its first page.
+HOSTED = """WITH RECURSIVE raw AS (SELECT page_id, lower(regexp_extract(url, '^https?://(?:www\\.)?([^/?#:]*)', 1)) AS host FROM pages),
+  hosts AS (SELECT host, min(page_id) AS pid, ('0x' || substr(md5(host), 1, 4))::INT % 6 AS way, ('0x' || substr(md5(host), 5, 4))::INT % 7 AS spot FROM raw GROUP BY host),
+  paths AS (SELECT unnest(range(7)) AS n, unnest(['/staff-directory', '/staff.aspx', '/coaches', '/staff', '/sports/staff-directory', '/information/directory', '/athletics/staff-directory']) AS path),
+  fronts AS (SELECT host AS place, -10 * pid - 1 AS page_id, CASE WHEN way = 5 AND spot IN (3, 4) THEN 'blocked' ELSE 'ok' END AS answer, NULL::VARCHAR AS found FROM hosts UNION ALL SELECT 'ath-' || host, -10 * pid - 2, 'ok', NULL::VARCHAR FROM hosts WHERE way = 2),
+  lists AS (SELECT host || path AS place, -10 * pid - 3 AS page_id, 'ok' AS answer, 'athletics' AS found FROM hosts JOIN paths ON n = spot WHERE way = 0 UNION ALL SELECT host || '/team/our-staff', -10 * pid - 3, 'ok', 'athletics' FROM hosts WHERE way = 1
+    UNION ALL SELECT 'ath-' || host || path, -10 * pid - 3, 'ok', 'athletics' FROM hosts JOIN paths ON n = spot WHERE way = 2 UNION ALL SELECT host || '/sports/' || slug || '/coaches/index', -10 * pid - k, 'ok', 'sports' FROM hosts, (VALUES ('golf', 4), ('tennis', 5)) AS v(slug, k) WHERE way = 3
+    UNION ALL SELECT host || '/staff', -10 * pid - 3, 'ok', 'general' FROM hosts WHERE way = 4 UNION ALL SELECT host || '/coaches', -10 * pid - 3, 'robots', NULL::VARCHAR FROM hosts WHERE way = 5 AND spot < 3),
+  served AS (SELECT * FROM fronts UNION ALL SELECT * FROM lists),
+  asked AS (SELECT host AS site, way, host AS h, 0 AS hop FROM hosts UNION ALL SELECT host, way, 'ath-' || host, 1 FROM hosts WHERE way = 2),
+  plan AS (SELECT site, hop, 0 AS kind, 0 AS n, h AS place FROM asked UNION ALL SELECT site, hop, 1, n, h || path FROM asked, paths UNION ALL SELECT site, hop, 2, 0, h FROM asked UNION ALL SELECT site, 0, 3, 1, h || '/team/our-staff' FROM asked WHERE way = 1
+    UNION ALL SELECT site, 2, 4, i, h || '/sports/' || slug || '/coaches/index' FROM asked, (VALUES ('golf', 0), ('tennis', 1)) AS v(slug, i) WHERE way = 3),
+  numbered AS (SELECT p.*, page_id, coalesce(answer, 'network') AS answer, found, row_number() OVER (PARTITION BY site ORDER BY hop, kind, n) AS step FROM plan p LEFT JOIN served USING (place)),
+  walk AS (SELECT * FROM numbered WHERE step = 1 UNION ALL
+    SELECT n.* FROM walk w JOIN numbered n ON n.site = w.site AND n.step = w.step + 1 WHERE coalesce(w.found, '') <> 'athletics' AND NOT (w.kind = 0 AND w.answer <> 'ok') AND NOT (w.kind = 1 AND w.answer = 'robots'))"""
+
+
+def _site_corpus(spark, sf_dir):
+    """The pages as sites: a host's first page is its front page too, and each host's staff is where its name's hash says: at a known
+    path, behind a link, on an athletics host, on sport pages, in a general directory, or nowhere."""
+    raw = table(spark, sf_dir, "pages").select("page_id", "url", "html").withColumn("host", W.bare_host(F.regexp_replace(W.netloc(F.col("url")), ":.*$", "")))
+    part = lambda a: F.conv(F.substring(F.md5("host"), a, 4), 16, 10).cast("int")
+    hosts = raw.groupBy("host").agg(F.min("page_id").alias("pid"), F.min_by("html", "page_id").alias("html")).withColumn("way", part(1) % 6).withColumn("at", part(5) % 7)
+    label = F.initcap(F.regexp_extract("host", r"^(?:[a-z]\.|blog\.)?([a-z]+)", 1))
+    row = lambda name, title: F.concat(F.lit(f"<tr><td>{name} "), label, F.lit(f"</td><td>{title}</td><td><a href='mailto:{name.lower()}@"), "host", F.lit("'>mail</a></td></tr>"))
+    page = lambda group, titles: F.concat(F.lit(f"<title>Staff Directory</title><table><tr><th>Name</th><th>Title</th><th>Email</th></tr><tr><th>{group}</th></tr>"), *[row(n, t) for n, t in zip(("Ann", "Bea", "Cyd", "Dee", "Eve", "Fay"), titles)], F.lit("</table>"))
+    coaches, clerks = page("Men's Golf", ["Head Coach"] * 6), page("Media", ["Clerk"] * 5 + ["Head Coach"])
+    nav = F.when(F.col("way") == 1, F.lit("<a href='/team/our-staff'>Staff Directory</a>")).when(F.col("way") == 2, F.concat(F.lit("<a href='https://ath-"), "host", F.lit("/'>Athletics</a>"))).when(F.col("way") == 3, F.lit("<a href='/sports/tennis/roster'>t</a><a href='/sports/golf/schedule'>g</a>"))
+    known = F.element_at(F.array(*[F.lit(p) for p in V.DIRECTORY_PATHS]), F.col("at") + 1)
+    url = lambda *parts: F.concat(F.lit("https://"), *parts)
+    item = lambda n, where, to, html, status=F.lit(200): F.when(where, F.struct((-10 * F.col("pid") - n).alias("page_id"), to.alias("url"), html.alias("html"), status.cast("int").alias("status")))
+    way = F.col("way")
+    made = [
+        item(1, F.lit(True), url("host", F.lit("/")), F.concat("html", F.coalesce(nav, F.lit(""))), F.when((way == 5) & F.col("at").isin(3, 4), 403).otherwise(200)),
+        item(2, way == 2, url(F.lit("ath-"), "host", F.lit("/")), F.lit("<p>Athletics</p>")),
+        item(3, way == 0, url("host", known), coaches), item(3, way == 1, url("host", F.lit("/team/our-staff")), coaches), item(3, way == 2, url(F.lit("ath-"), "host", known), coaches),
+        item(4, way == 3, url("host", F.lit("/sports/golf/coaches/index")), coaches), item(5, way == 3, url("host", F.lit("/sports/tennis/coaches/index")), coaches),
+        item(3, way == 4, url("host", F.lit("/staff")), clerks), item(3, (way == 5) & (F.col("at") < 3), url("host", F.lit("/coaches")), F.lit(""), F.lit(V.ROBOTS_STATUS)),
+    ]
+    extra = hosts.select(F.explode(F.array_compact(F.array(*made))).alias("p")).select("p.*")
+    return hosts.select(F.col("host").alias("domain")), raw.select("page_id", "url", "html", F.lit(200).alias("status")).unionByName(extra)
+
+
+@register("discovery_visits", HOSTED + " SELECT site, step, CASE WHEN hop = 2 THEN 0 ELSE hop END AS hop, kind, place, page_id, answer FROM walk")
+def discovery_visits(spark, sf_dir):
+    """What is asked of each site, in order, up to where the search ends."""
+    from rosterlake.operators.discovery import discover
+
+    return discover(*_site_corpus(spark, sf_dir), person())[0].drop("n")
+
+
+@register("discovery_outcomes", HOSTED + """ SELECT site, coalesce(arg_min(found, step) FILTER (WHERE found IN ('athletics', 'sports')), CASE WHEN bool_or(found = 'general') THEN 'coaches' END, 'none') AS found,
+  arg_min(page_id, step) FILTER (WHERE found IS NOT NULL) AS page_id, arg_min(place, step) FILTER (WHERE found IS NOT NULL) AS place, count(*) AS visits FROM walk GROUP BY site""")
+def discovery_outcomes(spark, sf_dir):
+    from rosterlake.operators.discovery import discover
+
+    return discover(*_site_corpus(spark, sf_dir), person())[1]
