@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,56 @@ def page(rows: DataFrame, sort: str, key: str = "key", descending=False, offset:
     return out.offset(offset).limit(limit)
 
 
+def _page_order(rows: DataFrame, sort: str, key: str, descending: bool) -> tuple[DataFrame, list[Column]]:
+    """rows with the columns their order goes by, _blank, _value and the key, and that order."""
+    if sort not in rows.columns:
+        raise ValueError(f"no column {sort}")
+    kind = dict(rows.dtypes)[sort]
+    rows = rows.withColumn("_blank", is_blank(F.col(sort), kind).cast("int")).withColumn("_value", sort_value(F.col(sort), kind))
+    return rows, [F.col("_blank").asc(), F.col("_value").desc_nulls_last() if descending else F.col("_value").asc_nulls_last(), F.col(key).asc()]
+
+
+def page_after(rows: DataFrame, sort: str, after: tuple | None = None, key: str = "key", descending=False, limit: int = 50) -> tuple[DataFrame, Callable[[], tuple | None]]:
+    """(page, cursor): the rows that come after a cursor in the order of `page`, and a function that gives the page's own cursor, None if it
+    is empty. A cursor is the place of a page's last row, so a page far into the order reads past nothing: the rows before it are filtered
+    out, pushed into the scan where the sorted column is stored as it is, and the top-k holds `limit` rows at any depth."""
+    ordered, by = _page_order(rows, sort, key, descending)
+    if after is not None:
+        blank, value, last = after
+        v, further = F.col("_value"), F.col(key) > F.lit(last)
+        if value is None:  # the last of its kind
+            rest = v.isNull() & further
+        else:
+            beyond = v < F.lit(value) if descending else v > F.lit(value)
+            rest = v.isNull() | beyond | ((v == F.lit(value)) & further)
+        rest = (F.col("_blank") > blank) | ((F.col("_blank") == blank) & rest)
+        ordered = ordered.where(rest)
+    out = ordered.orderBy(*by).limit(limit)
+
+    def cursor() -> tuple | None:
+        end = out.orderBy(*[o for o in (F.col("_blank").desc(), F.col("_value").asc_nulls_first() if descending else F.col("_value").desc_nulls_first(), F.col(key).desc())]).select("_blank", "_value", key).first()
+        return tuple(end) if end else None
+
+    return out.select(*rows.columns), cursor
+
+
+def page_at(rows: DataFrame, sort: str, number: int, key: str = "key", descending=False, limit: int = 50) -> DataFrame:
+    """Page `number` (from 0) with the order of `page`, for pages far from the start: the rows' keys are dealt into ranges, whose counts
+    tell in which ones the page lies; only those are ordered."""
+    from rosterlake.tables import materialise
+
+    ordered, by = _page_order(rows, sort, key, descending)
+    ranged = ordered.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "pages").withColumn("_part", F.shiftright("_at", 33))
+    counts = sorted((r["_part"], r["n"], r["first"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect())  # a row a range
+    low, high, before, wanted = number * limit, (number + 1) * limit, 0, F.lit(False)
+    for _, n, first in counts:
+        if before < high and before + n > low:
+            wanted |= F.col("_at").between(first + max(0, low - before), first + min(n, high - before) - 1)
+        before += n
+    return ranged.where(wanted).orderBy("_at").select(*rows.columns)
+
+
 def page_count(total: int, per_page: int) -> int:
     return max(1, -(-total // per_page))
 

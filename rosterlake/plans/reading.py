@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rosterlake.functions import people as P
@@ -12,7 +14,7 @@ from rosterlake.operators import queries as Q
 from rosterlake.plans.adapters import adapter, cte
 from rosterlake.plans.catalog import register
 from rosterlake.plans.lifecycle import with_lists
-from rosterlake.tables import table
+from rosterlake.tables import shared_dir, table
 
 
 def _people(spark, sf_dir):
@@ -196,6 +198,27 @@ for _name, _desc, _word in (("blank_last_page_asc", False, "ASC"), ("blank_last_
     register(_name, cte("people") + f", p AS (SELECT key, coalesce(email, email2) AS e FROM people) SELECT key, coalesce(e, '') AS first_email FROM p ORDER BY e IS NULL, lower(e) {_word}, key LIMIT 100 OFFSET 40")(_page(_desc))
 
 
+_MAILED = cte("people") + ", p AS (SELECT key, coalesce(email, email2) AS e FROM people), o AS (SELECT key, e, row_number() OVER (ORDER BY e IS NULL, lower(e) DESC, key) - 1 AS i, count(*) OVER () AS n FROM p) "
+
+
+@register("keyset_pages", _MAILED + "SELECT i // 40 AS page, key, coalesce(e, '') AS first_email FROM o WHERE i < 160")
+def keyset_pages(spark, sf_dir):
+    """Four pages in turn, each from the cursor of the one before."""
+    p, parts, after = _people(spark, sf_dir), [], None
+    for n in range(4):
+        rows, cursor = Q.page_after(p, "emails", after, descending=True, limit=40)
+        parts.append(rows.select(F.lit(n).alias("page"), "key", F.coalesce(F.get("emails", 0), F.lit("")).alias("first_email")))
+        after = cursor()
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("deep_page", _MAILED + "SELECT key, coalesce(e, '') AS first_email FROM o WHERE i // 50 = n // 2 // 50")
+def deep_page(spark, sf_dir):
+    """The page in the middle of all people."""
+    p = _people(spark, sf_dir)
+    return Q.page_at(p, "emails", p.count() // 2 // 50, descending=True).select("key", F.coalesce(F.get("emails", 0), F.lit("")).alias("first_email"))
+
+
 @register("sort_by_joined_division", cte("people", "institutions") + HOSTS + " SELECT p.key, d.division FROM people p LEFT JOIN divisions d ON school_domain = host ORDER BY division IS NULL, lower(division) DESC, p.key LIMIT 200")
 def sort_by_joined_division(spark, sf_dir):
     p = L.with_division(adapter(spark, sf_dir, "people"), adapter(spark, sf_dir, "institutions"))
@@ -223,6 +246,19 @@ def record_search(spark, sf_dir):
     return c.where(Q.record_search(c, "Build")).select("c_custkey")
 
 
+@register("indexed_search", "SELECT n AS needle, c_custkey FROM customer, (VALUES ('build'), ('#00000012'), ('r#'), ('mer#0'), ('77')) AS v(n) WHERE contains(lower(c_name), n) OR contains(lower(c_mktsegment), n) OR contains(c_custkey::VARCHAR, n)")
+def indexed_search(spark, sf_dir):
+    """Customers that have each of some needles, frequent, rare and short ones, by an index over all of them."""
+    from functools import reduce
+
+    from rosterlake.operators.search import SearchIndex
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    index = SearchIndex.build(c, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", key="c_custkey", buckets=16)
+    parts = [index.search(n).select(F.lit(n.lower()).alias("needle"), "c_custkey") for n in ("Build", "#00000012", "R#", "mer#0", "77")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @register("state_filter", cte("institutions") + f" SELECT key FROM institutions WHERE {STATE.format('state')} IN ('CA', 'NY') OR {STATE.format('state')} IS NULL")
 def state_filter(spark, sf_dir):
     return adapter(spark, sf_dir, "institutions").where(Q.state_in(F.col("state"), ["California", "ny"], unknown_too=True)).select("key")
