@@ -19,6 +19,7 @@ from rosterlake.functions.text import null_blank, strip
 from rosterlake.functions.web import normalize_domain
 from rosterlake.schemas import OUTCOME, EntitySpec
 from rosterlake.sources import source
+from rosterlake.sources.json_array import read_objects
 
 
 def quarantine(spark: SparkSession, path: str) -> str | None:
@@ -43,16 +44,13 @@ def quarantine(spark: SparkSession, path: str) -> str | None:
 @source("store")
 def read_store(spark: SparkSession, path: str, spec: EntitySpec, lines: bool = False) -> DataFrame:
     """A store file, {"leads": [...]} or a bare list: unknown fields dropped, rows without a required field skipped, the
-    last of equal keys kept; an unreadable file is an empty store. Such a file is one task's; with lines, path holds one
-    JSON row a line, as exports write it, and is read in splits."""
+    last of equal keys kept; an unreadable file is an empty store. Either is read in splits; with lines, path holds one
+    JSON row a line, as exports write it."""
     if lines:
         rows = spark.read.schema(spec.schema).json(path).withColumn("pos", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
         return _store_rows(rows, spec)
-    raw = spark.read.text(path, wholetext=True).select("value")
-    bare = F.startswith(F.ltrim("value"), F.lit("["))
-    wrapped = F.when(bare, F.concat(F.lit('{"leads":'), "value", F.lit("}"))).otherwise(F.col("value"))
-    parsed = raw.select(F.from_json(wrapped, T.StructType([T.StructField("leads", T.ArrayType(spec.schema))]), {"mode": "PERMISSIVE"}).alias("s"))
-    return _store_rows(parsed.select(F.posexplode("s.leads").alias("pos", "r")).where("r is not null").select("pos", "r.*"), spec)
+    parsed = read_objects(spark, path).select(F.struct("file", "pos").alias("pos"), F.from_json("value", spec.schema, {"mode": "PERMISSIVE"}).alias("r"))
+    return _store_rows(parsed.where("r is not null").select("pos", "r.*"), spec)
 
 
 def _store_rows(rows: DataFrame, spec: EntitySpec) -> DataFrame:
