@@ -48,6 +48,47 @@ def penalty_stream(log: DataFrame, factor: float = 2.0, cap: float = 16.0, host:
     return push_backs(log, host, seq).groupBy("host").applyInPandasWithState(step, PENALTY, kept, "update", GroupStateTimeout.NoTimeout)
 
 
+def idle_penalty_stream(log: DataFrame, idle: float, late: str = "1 hour", factor: float = 2.0, cap: float = 16.0, host: str = "host", seq: str = "seq") -> DataFrame:
+    """penalty_stream that forgets: a host that hasn't answered for `idle` seconds of the log's own time (its column ts) loses its state,
+    and starts anew when it is heard of again. What is kept is the hosts of the last `idle` seconds, however many there have been. A host that is
+    forgotten is said once more, with multiplier 1 and no responses. Needs a state store with timers (RocksDB)."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    from rosterlake.operators.reconcile import PENALTY, after, push_backs
+
+    class Penalties(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("penalty", "penalty double, until double, n long, timer long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            penalty, until, n, timer = self.state.get() if self.state.exists() else (1.0, None, 0, None)
+            end = timer
+            pdf = pd.concat(list(rows)).sort_values("at", kind="stable")
+            for ts, step, wait in zip(pdf["ts"].tolist(), pdf["step"].tolist(), pdf["wait"].tolist()):
+                if end is not None and ts * 1000 > end:  # back after all that time, whether or not its timer has gone off
+                    penalty, until, n = 1.0, None, 0
+                penalty, n = after(penalty, (step,), factor, cap), n + 1
+                until = ts + wait if wait and wait > 0 else until
+                end = max(end or 0, int((ts + idle) * 1000))
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+            self.state.update((penalty, until, n, end))
+            yield pd.DataFrame({"host": [key[0]], "penalty": [penalty], "cooldown_until": pd.Series([until], dtype="float64"), "responses": [n]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.state.clear()
+            yield pd.DataFrame({"host": [key[0]], "penalty": [1.0], "cooldown_until": pd.Series([None], dtype="float64"), "responses": [0]})
+
+        def close(self):
+            pass
+
+    rows = push_backs(log.withWatermark("ts", late), host, seq)
+    return rows.groupBy("host").transformWithStateInPandas(Penalties(), PENALTY, "Update", "EventTime")
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     w = F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
