@@ -398,3 +398,9 @@ def set_difference(spark, sf_dir):
 def taxonomy_report(spark, sf_dir):
     s = _spoken(spark, sf_dir).select(F.explode(P.sport_labels(F.col("raw"))).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
     return s.withColumn("base", P.sport_base(F.col("label"))).rollup("base", "label").agg(F.sum("n").alias("n")).where("base is not null")
+
+
+@register("taxonomy_rare", "WITH x AS (SELECT 1)" + SAID + ", n AS (SELECT label, count(*) AS n, regexp_replace(label, '^(Men''s|Women''s) ', '') AS base FROM said GROUP BY label) SELECT base, label, n, n < 50 AS rare, sum(n) OVER (PARTITION BY base) AS base_total FROM n")
+def taxonomy_rare(spark, sf_dir):
+    """Labels with their group's total, and whether fewer than 50 rows have them."""
+    return Q.sport_facet(_spoken(spark, sf_dir), P.sport_labels(F.col("raw"))).select("base", "label", "n", "rare", "base_total")

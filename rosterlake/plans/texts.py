@@ -12,7 +12,7 @@ from rosterlake.functions import web as W
 from rosterlake.operators import html as H
 from rosterlake.plans.adapters import adapter, cte
 from rosterlake.plans.catalog import register
-from rosterlake.plans.reading import HOSTS
+from rosterlake.plans.reading import HOSTS, NORM
 from rosterlake.schemas import person
 from rosterlake.sources import files, members
 from rosterlake.tables import materialise, table
@@ -383,6 +383,44 @@ def repair_pipeline(spark, sf_dir):
     return out
 
 
+@register(
+    "name_repair",
+    cte("people") + " SELECT name, school_domain, concat_ws('; ', email, email2) AS emails, 2 AS folded FROM people WHERE name LIKE 'Customer#%'",
+)
+def name_repair(spark, sf_dir):
+    """People of whom there is a second record under a name with a jersey number or a class year: without it, both are one."""
+    from rosterlake import repairs as R
+
+    p = adapter(spark, sf_dir, "people").where("name like 'Customer#%'")
+    none = F.array().cast("array<string>")
+    one = p.select("key", "name", "school_domain", F.when(F.col("email").isNotNull(), F.array("email")).otherwise(none).alias("emails"))
+    marked = F.when(F.col("id") % 2 == 0, F.concat(F.lit("#"), (F.col("id") % 99).cast("string"), F.lit(" "), F.col("name"))).otherwise(F.concat("name", F.lit(" '25")))
+    two = p.select(F.concat("key", F.lit("-2")).alias("key"), marked.alias("name"), "school_domain", F.when(F.col("email2").isNotNull(), F.array("email2")).otherwise(none).alias("emails"))
+    out = R.names(one.unionByName(two).withColumn("profile_url", F.lit(None).cast("string")), person())
+    return out.select("name", "school_domain", F.array_join("emails", "; ").alias("emails"), F.col("_n").alias("folded"))
+
+
+@register(
+    "workbook_import",
+    cte("sheet", "institutions") + f""", b AS (SELECT {NORM.format('school')} AS n, lower(state) AS s, arg_min('h' || key, key) AS host FROM institutions GROUP BY ALL)
+    SELECT pos, 'Ann Bell' AS name, b.host AS school_domain, CASE WHEN pos % 2 = 0 THEN 'Head Coach' ELSE 'Director' END AS title, 'Men''s Basketball' AS sport, 'c' || pos || '@x.edu' AS emails, '+1 231 555 ' || (1000 + pos % 9000) AS phones, pos % 2 = 0 AS is_coach
+    FROM sheet t JOIN b ON {NORM.format('t.school')} = b.n AND lower(CASE t.state WHEN 'California' THEN 'CA' WHEN 'TX' THEN 'Texas' WHEN 'New York' THEN 'NY' ELSE 'Ontario' END) = b.s WHERE pos % 9 <> 0 AND pos % 5 <> 0 AND t.state IS NOT NULL""",
+)
+def workbook_import(spark, sf_dir):
+    """Sheet rows as a positional workbook: those not removed and with a name, at a blocked school, as people."""
+    from rosterlake import repairs as R
+
+    i = adapter(spark, sf_dir, "institutions").select("school", "state", F.concat(F.lit("h"), "key").alias("host"), F.col("key").alias("pos"))
+    pos, text = F.col("pos"), F.col("pos").cast("string")
+    state = F.when(F.col("state") == "California", "CA").when(F.col("state") == "TX", "Texas").when(F.col("state") == "New York", "NY").when(F.col("state") == "ON", "Ontario").alias("state")
+    rows = adapter(spark, sf_dir, "sheet").select(
+        "pos", "school", state, F.when(pos % 9 == 0, "Y").alias("removed"), F.when(pos % 5 != 0, "Ann").alias("first"), F.when(pos % 5 != 0, "Bell").otherwise(" ").alias("last"),
+        F.when(pos % 2 == 0, "Head Coach").otherwise("Director").alias("position"), F.concat(F.lit(" C"), text, F.lit("@X.edu")).alias("email"), F.concat(F.lit("(231) 555-"), (1000 + pos % 9000).cast("string")).alias("phone"),
+    )
+    out = R.workbook_people(rows, i)
+    return out.select("pos", "name", "school_domain", "title", "sport", F.array_join("emails", "; ").alias("emails"), F.array_join("phones", "; ").alias("phones"), "is_coach")
+
+
 @register("affected_domains", cte("people") + " SELECT school_domain, count(*) AS rows FROM people WHERE name IN ('TBA', '---') GROUP BY school_domain ORDER BY rows DESC, school_domain LIMIT 10")
 def affected_domains(spark, sf_dir):
     from rosterlake import repairs as R
