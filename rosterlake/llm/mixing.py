@@ -10,7 +10,8 @@ The budget of tokens is a number, or "cover": the least that reads every source
 no document. A source's share of it is read as whole passes and a part of one. Documents lie in blocks by a keyed hash of
 their id and text; each pass permutes the blocks by another key, a part takes whole blocks while they fit, and of the next
 block the documents, in permuted order, that fit. So no order over a whole source is needed: a hot source is many blocks,
-block sums are pre-aggregated, and only blocks, never documents, are accumulated per source.
+block sums are pre-aggregated, and what comes before a block is summed in two steps, over ranges of the order and within one, so no
+task has a source's blocks.
 
 Tokens are words here. Null text has none: it weighs nothing and goes with its block. A null source is a source of its own;
 repeated rows are copies with the same place; a null id hashes like any value; an empty table gives an empty result. A source
@@ -29,6 +30,8 @@ from rosterlake.llm.quality_rules import word_count
 from rosterlake.tables import materialise
 
 BLOCK = 1024
+#: Blocks of a source whose running sum is one task's; a source has as many such ranges of its order as it needs.
+RANGE = 4096
 
 
 def exponent(totals: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | str = "cover", grid: int = 32, rounds: int = 9) -> float:
@@ -92,16 +95,27 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
         return df.join(F.broadcast(side) if few else side, F.col(on).eqNullSafe(F.col("_of"))).drop("_of")
 
     dealt = with_source(plan_rows, "_s").withColumn("_block", F.pmod("_key", "blocks"))
-    sums = dealt.groupBy("_s", "_block").agg(F.sum("_tokens").alias("t"), F.first("passes").alias("passes"), F.first("left").alias("left"))
-    order = Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), F.col("passes"), F.col("_block")), "_block")
-    before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("_s", "_block").agg(F.sum("_tokens").alias("t"), F.first("passes").alias("passes"), F.first("left").alias("left"), F.first("blocks").alias("blocks"))
+    # tokens before a block in the pass's order: those of the ranges of the order before its own, and of its own range before it
+    turn_of = F.xxhash64(F.lit(seed), F.col("passes"), F.col("_block"))
+    ranges = F.ceil(F.col("blocks") / RANGE).cast("long")
+    sums = sums.withColumn("_turn", turn_of).withColumn("_range", F.floor((F.col("_turn") / F.lit(2.0**64) + 0.5) * ranges).cast("long"))
+    sums = materialise(sums, "blocks")
+    earlier = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.groupBy("_s", "_range").agg(F.sum("t").alias("t")).select(F.col("_s").alias("_of"), F.col("_range").alias("_r"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_start"))
+    starts = materialise(starts, "ranges")
+    within = Window.partitionBy("_s", "_range").orderBy("_turn", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("t").over(within), F.lit(0))
     room = F.greatest(F.lit(0).cast("long"), F.least("t", F.col("left") - before))
-    placed = materialise(sums.select("_s", "_block", "passes", "t", room.alias("room")), "blocks")
+    few_ranges = starts.limit(100_001).count() <= 100_000
+    ranged = sums.join(F.broadcast(starts) if few_ranges else starts, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_r")))
+    placed = materialise(ranged.select("_s", "_block", "passes", "t", room.alias("room")), "blocks")
     # one block a source at most is cut: its documents, in permuted order, up to the last that fits
     turn = F.xxhash64(F.col("passes"), F.col("_key"))
     cut = placed.where("room > 0 and room < t").select(F.col("_s").alias("_of"), F.col("_block").alias("_b"), "room")
     inside = Window.partitionBy("_of", "_b").orderBy("turn", "_key")
     fits = dealt.join(cut, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b"))).select("_of", "_b", "room", "_key", "_tokens", turn.alias("turn"))
+    fits = fits.groupBy("_of", "_b", "room", "_key", "turn").agg(F.sum("_tokens").alias("_tokens"))  # repeated rows go together
     fits = fits.withColumn("_run", F.sum("_tokens").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("_run <= room")
     edge = fits.groupBy("_of", "_b").agg(F.max(F.struct("turn", "_key")).alias("edge"))
     plan = placed.join(edge, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b")), "left")

@@ -150,3 +150,16 @@ def test_mixing_by_definition(spark):
         want += [(*rows[k], e, block[k]) for k in mine for e in range(n[k])]
     assert sorted(((x["doc_id"], x["text"], x["source"], x["_epoch"], x["_block"]) for x in out), key=str) == sorted(want, key=str)
     assert len({x["_place"] for x in out}) >= len(set(want)) - 1
+
+
+def test_blocks_are_summed_by_ranges(spark, monkeypatch):
+    """Sources of many blocks, and a text that a third of them are: the same readings whatever the ranges are."""
+    from rosterlake.llm import mixing
+
+    rows = [(i, "w " * (i % 7 + 1), "a" if i % 3 else "b") for i in range(400)] + [(7, "again and again", "a")] * 150
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = []
+    for size in (mixing.RANGE, 3):
+        monkeypatch.setattr(mixing, "RANGE", size)
+        out.append(sorted(map(tuple, mixing.mix(df, target_entropy=0.68, budget=2500, block=4).select("doc_id", "source", "_epoch", "_block", "_place").collect())))
+    assert out[0] == out[1] and len(out[0]) > 400
