@@ -297,12 +297,13 @@ def decode_slice(m: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return out[drop], ends - np.append(0, np.cumsum(np.diff(ends) > 0))
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 29, variants: int = 8, model: str = MODEL) -> DataFrame:
-    """docs with _pieces (array<int>). A row's variant is a keyed hash of its id, of `variants` many."""
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 29, variants: int | None = None, model: str = MODEL) -> DataFrame:
+    """docs with _pieces (array<int>). A row's variant is a keyed hash of its id: each id has its own, or one of `variants` many if that is given."""
     m = load(model)
     shield = Shield(docs, text_col, id_col)
     names = shield.own
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(shield.id).cast("string")), F.lit(variants)).alias("_variant")
+    variant = F.xxhash64(F.lit(seed), F.col(shield.id).cast("string"))
+    variant = (F.pmod(variant, F.lit(variants)) if variants else variant).alias("_variant")
 
     def run(batches):
         for rows, buf, off in B.slices(batches, "text", SLICE):
