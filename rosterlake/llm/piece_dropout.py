@@ -297,8 +297,8 @@ def decode_slice(m: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return out[drop], ends - np.append(0, np.cumsum(np.diff(ends) > 0))
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 29, variants: int | None = None, model: str = MODEL) -> DataFrame:
-    """docs with _pieces (array<int>). A row's variant is a keyed hash of its id: each id has its own, or one of `variants` many if that is given."""
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 29, variants: int | None = 8, model: str = MODEL) -> DataFrame:
+    """docs with _pieces (array<int>). A row's variant is a keyed hash of its id, one of `variants` many; with None each id has its own, which shares less work."""
     m = load(model)
     shield = Shield(docs, text_col, id_col)
     names = shield.own
