@@ -177,3 +177,15 @@ def test_a_refused_site_falls_back_to_the_college(spark):
     assert got["uni.edu"] == got["go-a.edu"] == ("ok", 1, "https://uni.edu/staff", "A") and got["old.edu"] == ("ok", 6, "https://go-b.edu/staff", "B")
     kept = people.where("seed = 'uni.edu'").collect()
     assert [(r["name"], r["sport"], r["department"], r["notes"]) for r in kept] == [("Co Ach", "Baseball", None, [V.TITLE_NOTE])]
+
+
+def test_unterminated_references_stay_as_written():
+    page = H.page_facts("<title>R&amp;D &copy 5 &ampx; cut&amp</title><body>R&amp;D &foo; end &quot<a href='/x?a=1&copy=2&amp;b=3'>R&D</a><script type='application/ld+json'>{\"@type\":\"Organization\",\"name\":\"A&B\"}</script>", "https://a.org/")
+    assert page["title"] == "R&D &copy 5 &ampx; cut&amp"
+    assert page["links"][0]["href"] == "/x?a=1&copy=2&b=3" and page["links"][0]["label"] == "R&D" and page["ld_name"] == "A&B"
+
+
+def test_only_named_references_are_read():
+    page = "<title>a &quot;b&quot; &lt;c&gt; &amp;lt; &#65; &copy;</title>"
+    assert H.page_facts(page, "https://a.org/")["title"] == 'a "b" <c> &lt; A ©'
+    assert H.page_facts(page, "https://a.org/", ("lt", "gt", "amp"))["title"] == "a &quot;b&quot; <c> &lt; &#65; &copy;"
