@@ -185,6 +185,10 @@ def test_unterminated_references_stay_as_written():
     assert page["links"][0]["href"] == "/x?a=1&copy=2&b=3" and page["links"][0]["label"] == "R&D" and page["ld_name"] == "A&B"
 
 
+def test_visible_text_keeps_unterminated_references():
+    assert H.page_facts("<body>R&amp;D &foo; end &quot<p>﷐&amp", "https://a.org/")["text"] == "R&D &foo; end &quot ﷐&amp"
+
+
 def test_only_named_references_are_read():
     page = "<title>a &quot;b&quot; &lt;c&gt; &amp;lt; &#65; &copy;</title>"
     assert H.page_facts(page, "https://a.org/")["title"] == 'a "b" <c> &lt; A ©'
