@@ -105,3 +105,26 @@ def test_page_that_fails_is_kept_with_its_error(spark):
     assert raw._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     people, errors = H.staff_and_errors(pages, schemas.person(), 0)
     assert [r["name"] for r in people.collect()] == ["Ann Lee"] and [r["page_id"] for r in errors.collect()] == [2]
+
+
+def _same_without_settling(page: str) -> int:
+    settled = [n.settled is not None for n in parse(page, H._settle("https://a.edu/")).walk()]
+    got, keep = H.staff_parts(page, "https://a.edu/"), H._settle
+    H._settle = lambda base: None
+    try:
+        assert got == H.staff_parts(page, "https://a.edu/")
+    finally:
+        H._settle = keep
+    return sum(settled)
+
+
+def test_rows_that_only_are_rows_let_their_elements_go():
+    row = "<tr><td>Ann Lee<td>Coach</td><td><a href='mailto:a@a.edu'>m</a><a href='/coaches/ann-lee'>p</a></tr>"
+    rows = row * 500
+    tree = parse(f"<h2>Golf</h2><table><tr><th>Name<th>Title</tr>{rows}</table>", H._settle("https://a.edu/"))
+    assert sum(1 for _ in tree.walk()) == 503  # the heading, the table and the rows
+    assert _same_without_settling(f"<h2>Golf</h2><table><tr><th>Name<th>Title</tr>{rows}</table>") == 501
+    held = ["<li>{}</li>", "<h2>{}", "<div class=staff>{}</div>", "<div class='s-person-card'>{}</div>"]
+    assert all(_same_without_settling(x.format(f"<table>{row}</table>")) == 0 for x in held)
+    inside = f"<table><tr><td><table>{row}</table></td></tr><tr><td><h3>Golf</h3></tr></table>"
+    assert _same_without_settling(inside) == 0
