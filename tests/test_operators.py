@@ -193,3 +193,13 @@ def test_only_named_references_are_read():
     page = "<title>a &quot;b&quot; &lt;c&gt; &amp;lt; &#65; &copy;</title>"
     assert H.page_facts(page, "https://a.org/")["title"] == 'a "b" <c> &lt; A ©'
     assert H.page_facts(page, "https://a.org/", ("lt", "gt", "amp"))["title"] == "a &quot;b&quot; <c> &lt; &#65; &copy;"
+
+
+def test_pages_are_parsed_in_pieces():
+    import pyarrow as pa
+
+    html = ["x" * 10] * 200 + [None, "y" * (H.PIECE_BYTES + 5), "z"] + ["w" * (H.PIECE_BYTES // 4)] * 9
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "html": html})
+    pieces = [*H._pieces([batch])]
+    assert [i for p in pieces for i in p.column("page_id").to_pylist()] == list(range(len(html)))
+    assert all(p.num_rows == 1 or p.num_rows <= H.PIECE_PAGES and sum(len(h or "") for h in p.column("html").to_pylist()) <= H.PIECE_BYTES for p in pieces)
