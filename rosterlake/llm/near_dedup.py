@@ -2,13 +2,13 @@
 component is what links reach.
 
 Shingles are those of SimHash (XXH64, seed 42, of words of the lower-cased text), as sets. Equal sets are one class. Two
-classes are candidates if they agree in one of 40 bands of 8 MinHash values each, or if their SimHash fingerprints differ
-in at most 2 bits; at a similarity of 0.8 a pair misses all bands with a chance of 0.0006, at 0.9 of 1e-10. Candidates are
+classes are candidates if they agree in one of 53 bands of 6 MinHash values each, or if their SimHash fingerprints differ
+in at most 2 bits; at a similarity of 0.8 a pair misses all bands with a chance of 1e-7, at 0.9 of 1e-17. Candidates are
 joined to components, and within each the sets themselves are compared, so no pair below `least` links.
 
 A component of up to `hold` classes is one task's. A larger one is dealt in blocks: its sets are compared with some 16 pivots of
-it, which settles a group of near copies in one pass; what met no pivot is then compared with all, block against block. Blocks
-answer with spanning links, never with pairs. A class without a candidate ships nothing.
+it, which settles a group of near copies in one pass; what does not reach the largest group that the pivots make is then compared
+with all, block against block. Blocks answer with spanning links, never with pairs. A class without a candidate ships nothing.
 
 Rows that go, and rows whose sets are asked for, are broadcast only when they have been counted and are `few` at most; so a
 text is shuffled only beyond that. Empty sets (null and blank texts) are one class and similar to nothing else; of rows equal in
@@ -30,7 +30,7 @@ from rosterlake.llm.keys import Shield
 from rosterlake.llm.simhash import _LOWER, fingerprints_of, near_links
 from rosterlake.tables import materialise
 
-BANDS, ROWS = 40, 8
+BANDS, ROWS = 53, 6
 _FACTOR = (B.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -203,8 +203,11 @@ def _large(sets: DataFrame, least: float, block: int) -> DataFrame:
     pivots = sets.where(F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("k")) < 16).select("root", every("k").alias("b"), "cls", "set")
     blocks = sets.select("root", deal("k").alias("b"), "cls", "set")
     first = materialise(blocks.groupBy("root", "b").cogroup(pivots.groupBy("root", "b")).applyInArrow(_meet(least), cast), "pivots")
-    met = first.select(F.col("u").alias("cls")).union(first.select("v")).distinct()
-    rest = sets.join(met, "cls", "left_anti").select("root", "cls", "set")
+    # within one group all are linked already; a set of another one may be a link between groups, although it met a pivot
+    group = connected_components(first).select(F.col("node").alias("cls"), F.col("root").alias("g"))
+    group = materialise(sets.select("root", "cls").join(group, "cls"), "groups")
+    most = group.groupBy("root", "g").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("g", F.struct("n", "g")).alias("g"))
+    rest = sets.join(group.join(most, ["root", "g"]).select("cls"), "cls", "left_anti").select("root", "cls", "set")
     rest = materialise(rest.join(rest.groupBy("root").agg(F.count("*").alias("r")), "root"), "rest")
     if rest.limit(1).count() == 0:
         return first

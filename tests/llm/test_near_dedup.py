@@ -80,3 +80,35 @@ def test_large_components_are_dealt(spark):
     docs = spark.createDataFrame(rows + [rows[-1]], "doc_id long, text string").repartition(4)
     got = sorted(x["doc_id"] for x in near_keep_one(docs, hold=8).collect())
     assert got == sorted(heads(rows)) == sorted(x["doc_id"] for x in near_keep_one(docs, few=0).collect())
+
+
+def test_a_link_between_sets_that_met_different_pivots(spark):
+    """Sets 0 and 1, and 2 and 3, are near copies; the one link between the two groups is 1 to 2. Pivots are every set but 1 and 2."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from rosterlake.llm.graph import connected_components
+    from rosterlake.llm.near_dedup import _large
+
+    chain = [np.arange(10 * i, 10 * i + 100, dtype=np.uint64) for i in range(4)]  # neighbours have 90 of 110 in common
+    k = 40
+    h = {r["c"]: r["h"] for r in spark.range(5000).select(F.col("id").alias("c"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(k)).alias("h")).collect()}
+    pivot, plain = iter([c for c, v in h.items() if v < 16]), iter([c for c, v in h.items() if v >= 16])
+    cls = [next(pivot), next(plain), next(plain), next(pivot)]
+    sets = spark.createDataFrame([(7, c, bytearray(x.tobytes()), k) for c, x in zip(cls, chain)], "root long, cls long, set binary, k long")
+    roots = {r["node"]: r["root"] for r in connected_components(_large(sets, 0.8, 8)).collect()}
+    assert len(roots) == 4 and len(set(roots.values())) == 1
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    import numpy as np
+
+    from rosterlake.llm.near_dedup import bands_of
+
+    r = np.random.default_rng(5)
+    missed = 0
+    for _ in range(40):
+        x = r.integers(0, 1 << 63, (500, 100), dtype=np.uint64)  # 80 of 100 in common, by 10 on either side
+        both = bands_of([np.sort(row[part]) for row in x for part in (slice(0, 90), slice(10, 100))])
+        missed += int((both[::2] != both[1::2]).all(axis=1).sum())
+    assert missed == 0
