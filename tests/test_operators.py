@@ -203,3 +203,25 @@ def test_pages_are_parsed_in_pieces():
     pieces = [*H._pieces([batch])]
     assert [i for p in pieces for i in p.column("page_id").to_pylist()] == list(range(len(html)))
     assert all(p.num_rows == 1 or p.num_rows <= H.PIECE_PAGES and sum(len(h or "") for h in p.column("html").to_pylist()) <= H.PIECE_BYTES for p in pieces)
+
+
+def test_visible_text_of_odd_pages_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from rosterlake.plans import catalog
+    from tests.oracle import compare
+
+    odd = [
+        None, "", "<p>no body", "<body>a &eacute; &#65; &hellip; &nbsp; &copy; &apos; &amp;lt; &lt;b&gt; &amp", "<body>&nbsp;a&nbsp;&nbsp;b", "<body>a  b ", "<body>a\x0b\x0bb  c\x85　d　 ",
+        "<body>a</body>tail</html>more", "<body>a</body><body>b", "<body>5<6, a < b<p>c<d", "<body>a<!-- x", "<body>a<p cla", "<body>a<", "<body>a<!-- x > y -->b<br/>c", "<body>a</b>b</body>\n<script>x</script>\n",
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("INSERT INTO pages VALUES (?, 'https://a.org/', ?)", [*enumerate(odd)])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    assert compare(catalog.queries()["visible_text_len"](spark, str(tmp_path)), con, catalog.oracle_sql()["visible_text_len"]) == ""
+
+
+def test_a_text_is_one_piece():
+    page = H.page_facts("<title>1<2</title><body><a href='/x'>a<3</a> 5<6</body> end", "https://a.org/")
+    assert page["text"] == "a<3 5<6 end" and page["links"][0]["label"] == "a<3" and page["title"] == "1<2"
