@@ -51,7 +51,7 @@ def _fronts(hosts: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, D
     front = pages.withColumn("place", place_of(F.col("url"))).join(hosts.select(F.col("host").alias("place")).distinct(), "place", "left_semi")
     front = front.where(W.status_class(F.col("status")) == "ok").groupBy("place").agg(F.min(F.struct("page_id", "url", "html")).alias("p"))
     front = materialise(front.select(F.col("place").alias("host"), "p.*"), "fronts")
-    links = materialise(H.page_links(H.facts(front.select("page_id", "url", "html"))), "links")
+    links = materialise(H.page_links(H.facts(front.select("page_id", "url", "html"), only=("links",))), "links")
     own = front.select("page_id", "host")
     order = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), F.asc("pos")))
     best = H.directory_links(links).withColumn("n", order).join(own, "page_id").select("host", place_of(F.col("url")).alias("place"), "n")

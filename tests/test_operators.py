@@ -225,3 +225,11 @@ def test_visible_text_of_odd_pages_equals_its_sql(spark, tmp_path):
 def test_a_text_is_one_piece():
     page = H.page_facts("<title>1<2</title><body><a href='/x'>a<3</a> 5<6</body> end", "https://a.org/")
     assert page["text"] == "a<3 5<6 end" and page["links"][0]["label"] == "a<3" and page["title"] == "1<2"
+
+
+def test_asked_facts_alone_are_made(spark):
+    pages = spark.createDataFrame([(1, "https://www.acme.org/", PAGE), (2, "https://acme.org/jobs", "<p>We are hiring"), (3, "https://b.org/", None)], "page_id long, url string, html string")
+    some, full = H.facts(pages, only=("links",)), H.facts(pages)
+    assert some.columns == ["page_id", "url", "links", "error"] and some.collect() == full.select(some.columns).collect()
+    assert list(H.page_facts(PAGE, "https://www.acme.org/", only=("title", "links"))) == ["title", "links"]
+    assert H.facts(pages, only=("html", "title")).columns == ["page_id", "url", "html", "title", "error"]
