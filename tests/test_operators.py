@@ -233,3 +233,12 @@ def test_asked_facts_alone_are_made(spark):
     assert some.columns == ["page_id", "url", "links", "error"] and some.collect() == full.select(some.columns).collect()
     assert list(H.page_facts(PAGE, "https://www.acme.org/", only=("title", "links"))) == ["title", "links"]
     assert H.facts(pages, only=("html", "title")).columns == ["page_id", "url", "html", "title", "error"]
+
+
+@pytest.mark.parametrize("name", ["internal_links_scored", "outbound_domains", "page_socials", "page_links"])
+def test_queries_of_links_take_links_alone_from_python(spark, sf, name):
+    from rosterlake.plans import catalog
+
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    made = next(x for x in plan.splitlines() if "MapInArrow" in x).rpartition("[")[2]
+    assert [c.split("#")[0].strip() for c in made.split("]")[0].split(",")] == ["page_id", "url", "links", "error"]
