@@ -268,3 +268,32 @@ def test_one_string_in_very_many_contexts(spark):
     got = [(x["doc_id"], len(x["text"].encode()), len(x["text"].encode()) - len(x["_kept"]), len(x["_spans"]), brute.sha(bytes(x["_kept"]))) for x in out]
     assert sorted(got, key=str) == brute.suffix(rows)
     assert tables[0][0] > 0 and tables[0][1] <= 2 * S.DEAL
+
+
+def _few_letters(n, length):
+    """A string of two letters in n contexts of its own, and prose in which two rows each share a passage."""
+    r = random.Random(31)
+    core = "".join(r.choice("ab") for _ in range(14))
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 40))) + core + "".join(r.choice("ab") for _ in range(r.randint(0, 40)))) for i in range(n)]
+    shared = [prose(300 + k, length) for k in range(n)]
+    return rows + [(1000 + i, prose(1000 + i, 3) + " " + shared[i % n] + " " + prose(2000 + i, 3)) for i in range(2 * n)]
+
+
+def _suffix_result(df, **how):
+    out = suffix_dedup(df, **how).collect()
+    return sorted([(x["doc_id"], len(x["text"].encode()), len(x["text"].encode()) - len(x["_kept"]), len(x["_spans"]), brute.sha(bytes(x["_kept"]))) for x in out], key=str)
+
+
+def test_suffix_dedup_gram_shorter_than_leading_bytes(spark):
+    """Ranges are made by bytes that all windows of an anchor share, so equal windows meet however many ranges there are."""
+    rows = _few_letters(300, 15)
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = _suffix_result(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=24)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.suffix(rows, 24)
