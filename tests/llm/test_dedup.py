@@ -297,3 +297,27 @@ def test_suffix_dedup_gram_shorter_than_leading_bytes(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == brute.suffix(rows, 24)
+
+
+def test_suffix_dedup_tasks_follow_the_windows(spark, monkeypatch):
+    """Ranges stay apart, so a task of the sort has about TASK windows however large the parts are that Spark puts together; and a gram
+    that is dealt by offset ships each window once."""
+    from rosterlake.llm import suffix_dedup as S
+
+    rows = _few_letters(300, 8)
+    seen, order = [], S.in_ranges
+
+    def watched(cool):
+        own = cool.selectExpr("_id", "_th", "explode(sequence(s, s + n - 1)) w").groupBy("_id", "_th", "w").count()
+        out = order(cool)
+        tasks = [x["n"] for x in out.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+        seen.append((own.agg({"count": "max"}).first()[0], max(tasks), sum(tasks)))
+        return out
+
+    monkeypatch.setattr(S, "DEAL", 7)
+    monkeypatch.setattr(S, "TASK", 500)
+    monkeypatch.setattr(S, "in_ranges", watched)
+    got = _suffix_result(spark.createDataFrame(rows, "doc_id long, text string"), min_bytes=24, gram=12)
+    assert got == brute.suffix(rows, 24)
+    (copies, longest, total), = seen
+    assert total > 10 * S.TASK and longest <= 4 * S.TASK and copies == 1
